@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import language_id, packing, toxicity
+from tallyline.llm import language_id, neighbours, packing, quotes, spans, syncmers, toxicity, warc
 from tallyline.llm.common import remainder
 from tallyline.llm.tables import table
 
@@ -31,6 +31,33 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("entries"), F.col("edited_entries"), F.col("next_entries")
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text(own).alias("fingerprint"), syncmers.as_text(edited).alias("edited_fingerprint"),
+        syncmers.likeness(own, edited).alias("near_edited"), syncmers.likeness(own, after).alias("near_next"),
+    )
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_name="removed")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "position", "parent", "depth", "linked", "quotes", "body")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(True))
@@ -40,7 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_fingerprints, op4_sentence_spans, op5_warc, op6_neighbours, op9_language_id, op10_quotes)}
 
 
 def oracle_sql() -> dict[str, str]:
