@@ -1,12 +1,79 @@
-"""The corpus pipeline: documents in, packed pieces out."""
+"""The corpus pipeline: documents in, packed pieces of clean, distinct text out.
 
+Each stage takes the documents its predecessor kept. Results of one stage are written as
+Parquet to the shared folder and read again by the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyline.llm import jaccard, language_id, packing, spans, toxicity
+from tallyline.llm.common import materialise
+from tallyline.llm.queries import tokenizer
+from tallyline.llm.tables import table
+
+#: SQL can express neither the models nor the packing; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found with a probability of one half or more."""
+    model = language_id.learn(docs)
+    found = language_id.identify(docs, model, lang_name="_lang_pred", score_name="_lang_score")
+    return found.filter(language_id.accepted(F.col("_lang_pred"), F.col("_lang_score"))).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7; the model learns from labelled documents among these."""
+    model = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, name="_toxic_score").filter(F.col("_toxic_score") < 0.7).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones: that with the smallest doc_id, one of its repeated rows.
+
+    Rows with a null doc_id stay.
+    """
+    found = jaccard.similar(docs).select(F.col("doc_id").alias("_id"), "class_id")
+    gone = found.filter("_id <> class_id").select("_id").distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return left.withColumn("_n", first).filter(F.col("doc_id").isNull() | (F.col("_n") == 1)).drop("_n")
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the sentences of repeated spans; n_chars follows the text."""
+    cleaned = spans.remove_repeated(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences, as op2's query returns them."""
+    pieces = packing.pack(docs, tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("sentence_spans", drop_repeated_spans),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import language_id, neighbours, packing, quotes, spans, syncmers, toxicity, warc
+from tallyline.llm import jaccard, language_id, neighbours, packing, pieces, quotes, spans, syncmers, toxicity, warc
 from tallyline.llm.common import remainder
 from tallyline.llm.tables import table
 
@@ -53,6 +53,15 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", F.crc32("piece_ids").alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
+
+
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link(table(spark, sf_dir, "conversations"))
     return linked.select("conv_id", "turn", "role", "position", "parent", "depth", "linked", "quotes", "body")
@@ -67,7 +76,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_fingerprints, op4_sentence_spans, op5_warc, op6_neighbours, op9_language_id, op10_quotes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_fingerprints, op4_sentence_spans, op5_warc, op6_neighbours, op7_jaccard, op8_pieces, op9_language_id, op10_quotes)}
 
 
 def oracle_sql() -> dict[str, str]:
