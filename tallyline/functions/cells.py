@@ -62,19 +62,19 @@ def plain(value: Decimal) -> str:
     return "0" if text in ("-0", "") else text
 
 
-@F.pandas_udf("struct<text:string, number:decimal(38,18)>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("number", T.DecimalType(38, 18))]))
 def _slow_number(values: pd.Series) -> pd.DataFrame:
     found = [python_decimal(v) for v in values]
     wide = Context(prec=60)
     return pd.DataFrame({"text": [None if d is None else plain(d) for d in found], "number": [None if d is None or abs(d) >= 10**20 else wide.quantize(d, Decimal("1e-18")) for d in found]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _as_python_text(value) -> str | None:
     return None if value is None else str(value)
 
@@ -151,7 +151,7 @@ def day_key(value: Column, kind: T.DataType) -> Column:
         return F.lit(None).cast("string")
     t = strip(value)
     bare = F.when(t.rlike(ISO_DATE), F.date_format(t.try_cast("date"), "yyyy-MM-dd"))
-    return F.coalesce(bare, F.when(t.rlike(ISO_TIME), F.date_format(F.replace(t, F.lit(" "), F.lit("T")).try_cast("timestamp"), "yyyy-MM-dd")))
+    return F.coalesce(bare, F.when(t.rlike(ISO_TIME), F.date_format(F.regexp_replace(t, "^([0-9-]{10})[T ]([0-9]{2}:[0-9]{2})(?=Z|[+-]|$)", "$1T$2:00").try_cast("timestamp"), "yyyy-MM-dd")))
 
 
 def is_grouped(value: Column, kind: T.DataType) -> Column:
