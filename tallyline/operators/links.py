@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Receipts: chain, position, name, input_hash, output_hash, row_count.
-_ORDER = Window.partitionBy("chain").orderBy("position")
+def _order():
+    return Window.partitionBy("chain").orderBy("position")
 
 
 def link_check(receipts: DataFrame) -> DataFrame:
     """Every link with what it should and does refer to, and whether it is the chain's first broken one."""
-    seen = receipts.withColumn("expected", F.lag("output_hash").over(_ORDER)).filter("position > 0")
+    seen = receipts.withColumn("expected", F.lag("output_hash").over(_order())).filter("position > 0")
     broken = seen.withColumn("broken", ~F.col("expected").eqNullSafe(F.col("input_hash")))
     first = F.min(F.when(F.col("broken"), F.col("position"))).over(Window.partitionBy("chain"))
     return broken.withColumn("first_broken", F.coalesce(first == F.col("position"), F.lit(False))).select("chain", "position", "name", "expected", F.col("input_hash").alias("found"), "broken", "first_broken")
@@ -22,7 +23,7 @@ def coverage_gaps(receipts: DataFrame) -> DataFrame:
     prefix = F.substring_index("name", "_", 1)
     number = F.when(prefix.rlike("^[0-9]{3}$"), prefix.cast("int"))
     placed = receipts.withColumn("number", number).withColumn("all", F.count("number").over(Window.partitionBy("chain")) == F.count("*").over(Window.partitionBy("chain")))
-    before = placed.filter("all").withColumn("previous", F.lag("number").over(_ORDER))
+    before = placed.filter("all").withColumn("previous", F.lag("number").over(_order()))
     start = F.when((F.col("position") == 0) & (F.col("number") != 0), F.format_string("chain starts at %03d, not 000", "number"))
     jump = F.when(F.col("number") != F.col("previous") + 1, F.format_string("numbering jumps %03d -> %03d", "previous", "number"))
     return before.select("chain", "position", F.coalesce(start, jump).alias("gap")).filter("gap is not null")
@@ -30,7 +31,7 @@ def coverage_gaps(receipts: DataFrame) -> DataFrame:
 
 def row_deltas(receipts: DataFrame) -> DataFrame:
     """Each stage's rows against the last stage before it that had a row count."""
-    earlier = F.last("row_count", ignorenulls=True).over(_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.last("row_count", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     return receipts.select("chain", "position", "name", "row_count", (F.col("row_count") - earlier).alias("row_delta"))
 
 
