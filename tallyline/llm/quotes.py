@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+MARKS = r"^[ \t]*(>[> \t]*)"
 #: A line that announces a quotation.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$"
 
