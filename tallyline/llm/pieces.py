@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -124,14 +125,15 @@ class PieceModel:
 class PieceCodec:
     """Encodes and decodes batches; compares what it encodes with the sentencepiece library, if ``verify``."""
 
-    def __init__(self, data: bytes, verify: bool = True, max_words: int = 400_000):
+    def __init__(self, data: bytes, verify: bool = True, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.spec = PieceModel(data)
         self.whole, self.bare = self.spec.tokenizer(), Tokenizer(self.spec.model())
         self.cut = self.spec.cuts_at_marks()
         self.max_words = max_words
-        self.kept: dict[str, tuple[tuple[int, ...], bool]] = {}
+        self.kept: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.wrong: set[str] = set()
         self.judge = None
         if verify:
             import sentencepiece
@@ -142,21 +144,20 @@ class PieceCodec:
         found = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch(texts, add_special_tokens=False), strict=True)]
         return found, [a == b for a, b in zip(found, self.judge.encode(texts), strict=True)] if self.judge and texts else [True] * len(texts)
 
-    def _words(self, words: list[str]) -> list[tuple[tuple[int, ...], bool]]:
-        """Ids of words, those after a line end with its byte; and whether sentencepiece agrees."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, those after a line end with its byte; words on which sentencepiece disagrees are noted."""
         kept = self.kept
         if len(kept) > self.max_words:
             kept.clear()
+            self.wrong.clear()
         new = [w for w in words if w not in kept]
-        for low in range(0, len(new), 20_000):
-            some = new[low : low + 20_000]
+        for low in range(0, len(new), 10_000):
+            some = new[low : low + 10_000]
             encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
-            found = [tuple(e.ids) for e in encode([w if w[0] == "\n" else MARK + w for w in some], add_special_tokens=False)]
-            same = [True] * len(some)
+            found = [e.ids for e in encode([w if w[0] == "\n" else MARK + w for w in some], add_special_tokens=False)]
             if self.judge:
-                asked = self.judge.encode(some)
-                same = [list(a) == (b[1:] if w[0] == "\n" else b) for w, a, b in zip(some, found, asked, strict=True)]
-            kept.update(zip(some, zip(found, same, strict=True), strict=True))
+                self.wrong.update(w for w, a, b in zip(some, found, self.judge.encode(some), strict=True) if a != (b[1:] if w[0] == "\n" else b))
+            kept.update((w, array("I", ids).tobytes()) for w, ids in zip(some, found, strict=True))
         return [kept[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,14 +168,15 @@ class PieceCodec:
         if len(own):
             lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(own)), "\n", " \n"), " ")
             chunks = lists.flatten().dictionary_encode()
-            found = self._words(chunks.dictionary.to_pylist())
-            sizes = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found))
-            flat = np.fromiter(chain.from_iterable(f[0] for f in found), dtype=np.uint32, count=int(sizes.sum()))
+            words = chunks.dictionary.to_pylist()
+            found = self._words(words)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            flat = np.frombuffer(b"".join(found), dtype=np.uint32)
             index = chunks.indices.to_numpy(zero_copy_only=False)
             ids, each = gather(flat, np.cumsum(sizes) - sizes, sizes, index)
             stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             lengths[own] = np.diff(np.concatenate([[0], np.cumsum(each)])[stops], prepend=0)
-            wrong = np.concatenate([[0], np.cumsum(~np.fromiter((f[1] for f in found), dtype=bool, count=len(found))[index])])
+            wrong = np.concatenate([[0], np.cumsum(np.fromiter((w in self.wrong for w in words), dtype=bool, count=len(words))[index])])
             same[own] = np.diff(wrong[stops], prepend=0) == 0
         if len(rest):
             found, agree = self._texts(texts.take(pa.array(rest)).to_pylist())
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
         codec = PieceCodec(data, verify)
         for batch in batches:
             texts = arrow_texts(batch.column(at))
-            for low, high in ranges(texts):
+            for low, high in ranges(texts, 4_000_000):
                 ids, lengths, same = codec.encode(texts.slice(low, high - low))
                 stops = np.cumsum(lengths)
                 own = [ids[s - n : s].astype("<u4") for s, n in zip(stops, lengths, strict=True)]
