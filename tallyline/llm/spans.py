@@ -1,7 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
 A sentence ends at a stop, a line's end, or before a capitalised word, as passages
-are often pasted into the middle of a sentence. From each sentence the shortest run
+are often pasted into the middle of a sentence; very long ones are cut at words picked
+by checksum. From each sentence the shortest run
 of two or more sentences with ``least_words`` words is hashed. Equal hashes of all
 documents meet in one aggregate, which keeps the first occurrence (smallest key, then
 place); every other one is joined back and the sentences that it covers are removed.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -27,15 +29,29 @@ from tallyline.llm.common import free_name, materialise
 
 BOUND = re.compile(r"(?<=[.!?…|:;])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ])|(?<=[。！？])")
 LEAST_WORDS = 16
+#: A sentence of more words is cut further, after words that their checksum picks, so that passages without stops have places to begin and end.
+LONG = 40
+_WORD = re.compile(r"\S+\s*")
+
+
+def _cut(sentence: str) -> list[str]:
+    out, held = [], []
+    for word in _WORD.findall(sentence):
+        held.append(word)
+        if zlib.crc32(word.strip().lower().encode()) % 8 == 0:
+            out.append("".join(held))
+            held = []
+    return [*out, "".join(held)] if held else out
 
 
 def sentences(text: str) -> list[str]:
     """The sentences; each but the last holds the white space after it, so together they are the text."""
     cuts = [m.end() for m in BOUND.finditer(text)]
-    if not cuts:
-        return [text] if text else []
     found = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-    return [s for s in found if s]
+    if found[0] and found[0][0].isspace():  # white space before the first word belongs to it
+        lead = len(found[0]) - len(found[0].lstrip())
+        return [text[:lead] + s if i == 0 else s for i, s in enumerate(sentences(text[lead:]))] or [text]
+    return [p for s in found if s for p in (_cut(s) if s.count(" ") > LONG else (s,))]
 
 
 def runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:

@@ -63,7 +63,7 @@ def test_next_rows_over_buckets(spark, per_bucket):
 
 
 def test_sentences_rebuild_the_text():
-    for text in ["", "One. Two!  Three\nfour Five six. ", "no stop at all", "日本。語！です", " lead. Trail ", "A.B. c"]:
+    for text in ["", "One. Two!  Three\nfour Five six. ", "no stop at all", "日本。語！です", " lead. Trail ", "A.B. c", " \n ", "  " + "low word salad " * 60, "x" * 50]:
         assert "".join(spans.sentences(text)) == text
 
 
@@ -90,6 +90,17 @@ def test_repeated_passages_go(spark):
     assert spans.remove_repeated(df.limit(0)).count() == 0
 
 
+def test_a_passage_without_stops_goes(spark):
+    rng = random.Random(9)
+    passage = words(rng, 90)
+    rows = [(i, " ".join(words(rng, 60) + passage + words(rng, 60))) for i in range(4)]
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 4):
+        left = len(got[i].split())
+        assert 100 < left < 160 and got[i].startswith(rows[i][1][:150]) and got[i].endswith(rows[i][1][-150:])
+
+
 def test_runs_by_hand():
     parts = ["a b c. ", "d e. ", "f g h i. ", "j."]
     assert [(i, j) for i, j, _ in spans.runs(parts, 6)] == [(0, 3), (1, 3)]
