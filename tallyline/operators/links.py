@@ -50,3 +50,26 @@ def superseded(annotations: DataFrame) -> DataFrame:
 def on_receipts(annotations: DataFrame, receipts: DataFrame) -> DataFrame:
     """Annotations whose target is a receipt of a chain."""
     return annotations.join(receipts.select(F.col("output_hash").alias("target")).distinct(), "target", "left_semi")
+
+
+def gap_columns(columns: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Columns (chain, position, column) that first appear at or after a gap (chain, position): nothing accounts for their origin."""
+    first = columns.groupBy("chain", "column").agg(F.min("position").alias("first"))
+    start = gaps.groupBy("chain").agg(F.min("position").alias("gap"))
+    return first.join(start, "chain").filter(F.col("first") >= F.col("gap")).select("chain", "column", "first")
+
+
+def break_grid(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Whole-table totals (section, period, name, value) at a broken link: metric, expected, found, delta of what differs."""
+    from tallyline.operators.totals import delta_rows
+
+    whole = lambda df: df.filter(F.col("section").isin("row_count", "column_count", "numeric_sums", "null_counts"))
+    metric = F.when(F.col("section") == "null_counts", F.concat(F.lit("null_counts["), F.col("name"), F.lit("]"))).when(F.col("section") == "numeric_sums", F.col("name")).otherwise(F.col("section"))
+    return delta_rows(whole(expected), whole(found)).select(metric.alias("metric"), F.col("before").alias("expected"), F.col("after").alias("found"), "delta")
+
+
+def changed_columns(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Columns whose sums or null counts differ at a broken link."""
+    from tallyline.operators.totals import delta_rows
+
+    return delta_rows(expected, found).filter(F.col("section").isin("numeric_sums", "null_counts")).select(F.col("name").alias("column")).distinct()

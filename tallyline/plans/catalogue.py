@@ -289,6 +289,29 @@ def coverage_gaps(spark, sf_dir):
     return links.coverage_gaps(_chains(spark, sf_dir))
 
 
+@query(f"WITH r AS (SELECT *, o_orderstatus AS col FROM {_RECEIPTS}), g AS (SELECT chain, min(position) AS gap FROM r WHERE position > 0 AND position % 13 = 0 GROUP BY 1), f AS (SELECT chain, col, min(position) AS first FROM r GROUP BY ALL) SELECT f.chain, f.col AS \"column\", f.first FROM f JOIN g USING (chain) WHERE f.first >= g.gap")
+def gap_columns(spark, sf_dir):
+    from pyspark.sql import Window
+
+    placed = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("position"), F.col("o_orderstatus").alias("column"))
+    return links.gap_columns(placed, links.coverage_gaps(_chains(spark, sf_dir)))
+
+
+_GRID = "SELECT 'row_count' AS metric, count(*)::VARCHAR AS expected, count(*) FILTER (p_size <> 7)::VARCHAR AS found FROM part UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', {_plain(f'sum({_num(c)})')}, {_plain(f'sum({_num(c)}) FILTER (p_size <> 7)')} FROM part" for c in ("p_partkey", "p_size", "p_retailprice"))
+
+
+@query(f"WITH g AS ({_GRID}) SELECT *, {_plain('found::DECIMAL(38,6) - expected::DECIMAL(38,6)')} AS delta FROM g")
+def break_grid(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    return links.break_grid(totals.long_totals(part), totals.long_totals(part.filter("p_size <> 7")))
+
+
+@query("SELECT unnest(['p_partkey', 'p_size', 'p_retailprice']) AS \"column\"")
+def changed_columns(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    return links.changed_columns(totals.long_totals(part), totals.long_totals(part.filter("p_size <> 7")))
+
+
 @query(f"WITH r AS (SELECT chain, position, CASE WHEN o_orderkey % 3 <> 0 THEN row_count END AS rows FROM {_RECEIPTS}) SELECT chain, position, printf('%03d_step.json', position + position // 13) AS name, rows AS row_count, rows - last_value(rows IGNORE NULLS) OVER (PARTITION BY chain ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS row_delta FROM r")
 def timeline_row_delta(spark, sf_dir):
     return links.row_deltas(_chains(spark, sf_dir))
