@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -23,6 +26,17 @@ def ranges(texts, max_bytes: int = 16_000_000) -> Iterator[tuple[int, int]]:
         low = high
 
 
+@contextlib.contextmanager
+def without_gc() -> Iterator[None]:
+    """Spares walks over many small objects; what a task left in cycles is freed at its end, as workers are reused."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
 def remainder(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     col = F.col(key) if isinstance(key, str) else key
@@ -43,8 +57,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_work: dict[str, SparkSession] = {}
+
+
+def _tidy() -> None:
+    """Deletes what this driver left in the shared folder: results that depend on it end with the driver."""
+    for path, spark in list(_work.items()):
+        with contextlib.suppress(Exception):  # the session may be gone already
+            discard(spark, path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tallyline-{name}-{uuid.uuid4().hex}"
+    if not _work:
+        atexit.register(_tidy)
+    path = f"{shared_folder(spark)}/tallyline-{name}-{uuid.uuid4().hex}"
+    _work[path] = spark
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -58,10 +86,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes work folders through Hadoop's file system, wherever they are."""
     jvm = spark.sparkContext._jvm
     for path in paths:
+        _work.pop(path, None)
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard_frames(*frames: DataFrame) -> None:
+    """Deletes the folders that materialised frames were read from; nothing may depend on them any more."""
+    for df in frames:
+        discard(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles()})
+
+
 def free_name(taken: Sequence[str], wanted: str) -> str:
     """wanted, or wanted with underscores until no column of the input has that name (case-insensitively)."""
     low = {x.lower() for x in taken}

@@ -6,7 +6,7 @@ sampled token of its set, so sets that share it are split into one bucket. A run
 from one coordinate and splits any bucket larger than ``bucket`` again on further
 coordinates, chosen by the bucket itself, two children for each set, which keeps the
 expected number of similar sets that stay together above one. Small buckets, and
-those that splitting doesn't shrink, are compared by brute force in tiles of bounded size.
+those whose sets are similar on average, are compared by brute force in tiles of bounded size.
 Runs are repeated until a pair at the threshold is missed with a probability of less
 than 1 - recall. Sketches only choose; every link is confirmed on whole sets.
 
@@ -22,7 +22,6 @@ keys are null. Rows with equal keys are separate documents. Only key and text ar
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, discard, materialise, ranges, word_ids
+from tallyline.llm.common import arrow_texts, discard_frames, materialise, ranges, without_gc, word_ids
 
 WORD = re.compile(r"\w+")
 COORDINATES = 64
@@ -105,11 +104,11 @@ def _hash_sets(texts: pa.Array, sketch: bool) -> tuple[pa.Array, pa.Array, pa.Ar
 
 def _hasher(sketch: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        for batch in batches:
-            texts = arrow_texts(batch.column(1))
-            for low, high in ranges(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *_hash_sets(texts.slice(low, high - low), sketch)], names=["key", "node", "size", "data"])
+        with without_gc():
+            for batch in batches:
+                texts = arrow_texts(batch.column(1))
+                for low, high in ranges(texts, 8_000_000):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *_hash_sets(texts.slice(low, high - low), sketch)], names=["key", "node", "size", "data"])
 
     return run
 
@@ -132,6 +131,17 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _dense(members: DataFrame, sketch: DataFrame, share: float = 0.5, coordinates: int = 16) -> DataFrame:
+    """(path, dense) of buckets: dense if the members agree with one of them, drawn by hash, in half of the coordinates on average.
+
+    Such a bucket holds near-copies, which further splitting would only multiply.
+    """
+    held = members.select("node", "path").join(sketch, "node").select("path", F.xxhash64("node", "path").alias("lot"), F.substring("sketch", 1, 4 * coordinates).alias("part"))
+    drawn = materialise(held.groupBy("path").agg(F.min(F.struct("lot", "part")).alias("drawn")), "drawn")
+    alike = sum(((F.substring("part", 4 * c + 1, 4) == F.substring("drawn.part", 4 * c + 1, 4)).cast("int") for c in range(coordinates)), F.lit(0))
+    return held.join(drawn, "path").groupBy("path").agg((F.avg(alike) >= share * coordinates).alias("dense"))
+
+
 def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame:
     """(node, leaf, n): leaf buckets with n >= 2 nodes; leaf holds the run's number in its upper bits."""
     def word(coordinate):
@@ -146,11 +156,14 @@ def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame:
     for d in range(depth + 1):
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         level = materialise(level.join(counts, "path").select("node", "path", "n"), "paths")
-        done = level if d == depth else level.filter(F.col("n") <= bucket)
-        leaves = done if leaves is None else leaves.unionByName(done)
         big = level.filter(F.col("n") > bucket)
         if d == depth or not big.limit(1).count():
+            leaves = level if leaves is None else leaves.unionByName(level)
             break
+        big = materialise(big.join(_dense(big, sketch), "path", "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "paths")
+        done = level.filter(F.col("n") <= bucket).unionByName(big.filter("dense").select("node", "path", "n"))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        big = big.filter("not dense")
         first = F.pmod(F.xxhash64("path", F.lit(d)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - d)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES)).cast("int")
         run = F.shiftrightunsigned("path", 56)
@@ -166,23 +179,22 @@ def _tiled(members: DataFrame, tile: int) -> DataFrame:
     return members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "n")
 
 
-def _first_here(leaf: int, leaves: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the pair's first common leaf is this one."""
-    out = np.ones(len(i), dtype=bool)
+def _earlier(leaf: int, leaves: list[np.ndarray]) -> np.ndarray:
+    """By node, a bitmap of its leaves before this one."""
     before = [x[x < leaf] for x in leaves]
     codes = {v: k for k, v in enumerate(sorted({int(v) for x in before for v in x}))}
-    if not codes:
-        return out
-    n = len(codes)
-    words = np.zeros((len(leaves), -(-n // 8)), dtype=np.uint8)
+    words = np.zeros((len(leaves), -(-len(codes) // 8)), dtype=np.uint8)
     for r, x in enumerate(before):
         for v in x:
             k = codes[int(v)]
             words[r, k >> 3] |= 1 << (k & 7)
-    for low in range(0, len(i), 200_000):
-        at = slice(low, low + 200_000)
-        out[at] = ~(words[i[at]] & words[j[at]]).any(axis=1)
-    return out
+    return words
+
+
+def _first_here(earlier: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether no earlier leaf holds both nodes of the pair."""
+    parts = [~(earlier[i[low : low + 200_000]] & earlier[j[low : low + 200_000]]).any(axis=1) for low in range(0, len(i), 200_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
 def _pairs_of_tile(a: int, b: int, own: np.ndarray, passes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -204,6 +216,7 @@ def _candidates(threshold: float):
             node, own, size = (t.column(n).to_numpy() for n in ("node", "own", "size"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), COORDINATES)
             low_bits = np.ascontiguousarray(sketch.astype(np.uint16).T)
+            earlier = _earlier(leaf, [np.array(x, dtype=np.int64) for x in t.column("leaves").to_pylist()])
 
             def passes(rows, columns, size=size, low_bits=low_bits):
                 equal = np.zeros((len(rows), len(columns)), dtype=np.uint8)
@@ -214,7 +227,8 @@ def _candidates(threshold: float):
 
             some = np.zeros(len(node), dtype=bool)
             for i, j in _pairs_of_tile(a, b, own, passes):
-                some[i] = some[j] = True
+                first = _first_here(earlier, i, j)
+                some[i[first]] = some[j[first]] = True
             k = int(some.sum())
             if k:
                 yield pa.RecordBatch.from_arrays([pa.array([leaf] * k), pa.array([a] * k, pa.int32()), pa.array([b] * k, pa.int32()), pa.array(node[some]), pa.array(own[some], pa.int32())], names=["leaf", "a", "b", "node", "own"])
@@ -261,7 +275,7 @@ def _verified(threshold: float):
             leaf, a, b = (t.column(i)[0].as_py() for i in range(3))
             node, own, copies = (t.column(n).to_numpy() for n in ("node", "own", "copies"))
             sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("data").to_pylist()]
-            leaves = [np.array(x, dtype=np.int64) for x in t.column("leaves").to_pylist()]
+            earlier = _earlier(leaf, [np.array(x, dtype=np.int64) for x in t.column("leaves").to_pylist()])
             size, count = _intersections(sets)
 
             def passes(rows, columns, size=size, count=count):
@@ -271,7 +285,7 @@ def _verified(threshold: float):
             links = np.zeros(len(node), dtype=np.int64)
             root = np.arange(len(node))
             for i, j in _pairs_of_tile(a, b, own, passes):
-                first = _first_here(leaf, leaves, i, j)
+                first = _first_here(earlier, i, j)
                 np.add.at(links, i[first], copies[j[first]])
                 np.add.at(links, j[first], copies[i[first]])
                 while True:  # least label of either end, until no edge disagrees
@@ -291,7 +305,6 @@ def _verified(threshold: float):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (node, root): each component's smallest node, by labels and pointer jumping."""
-    spark = edges.sparkSession
     both = materialise(edges.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct(), "edges")
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
@@ -302,7 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = least.join(up, "new", "left").select("node", F.col("root").alias("old"), F.least("new", "up").alias("root"))
         after = materialise(jumped, "labels")
         changed = after.filter("old <> root").limit(1).count()
-        discard(spark, *{f.rpartition("/")[0] for x in (labels, least) for f in x.inputFiles()})
+        discard_frames(labels, least)
         labels = after.select("node", "root")
         if not changed:
             return labels
@@ -321,7 +334,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     leaves = _paths(nodes.select("node", "sketch"), min(runs, COORDINATES), bucket, depth)
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     facts = materialise(nodes.join(held, "node"), "leaves")
-    tiles = _tiled(leaves.join(facts.select("node", "size", "sketch"), "node").select("leaf", "n", "node", "size", "sketch"), tile).select("leaf", "a", "b", "node", "own", "size", "sketch")
+    tiles = _tiled(leaves.join(facts.select("node", "size", "sketch", "leaves"), "node").select("leaf", "n", "node", "size", "sketch", "leaves"), tile).select("leaf", "a", "b", "node", "own", "size", "sketch", "leaves")
     some = tiles.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(_candidates(threshold), "leaf long, a int, b int, node long, own int")
     some = materialise(some, "candidates")
     wanted = some.select("node").distinct()
@@ -335,6 +348,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     counted = found.groupBy("node").agg(F.sum("links").alias("near")).join(roots, "node", "left")
     classes = nodes.select("node", "copies").join(counted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     placed = materialise(base.select("key", "node").join(classes, "node", "left"), "classes")
-    named = placed.filter("node is not null").groupBy("root").agg(F.min("key").alias("class_id"))
+    discard_frames(base, nodes, facts, some, found, roots)
+    named = materialise(placed.filter("node is not null").groupBy("root").agg(F.min("key").alias("class_id")), "names")
     out = placed.join(named, "root", "left").select("key", "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return out.withColumnRenamed("key", key)
