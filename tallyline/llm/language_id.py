@@ -12,7 +12,6 @@ is null teach nothing. Other columns of the input stay as they are.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections import Counter
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, ranges, unit_hash, word_ids
+from tallyline.llm.common import arrow_texts, ranges, unit_hash, without_gc, word_ids
 
 ORDERS = (5, 4, 3, 2, 1)
 WORD = re.compile(r"[^\W\d_]+")
@@ -139,10 +138,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_nam
     schema = docs.select("*", F.lit("").alias(lang_name), F.lit(0.0).alias(score_name)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        for batch in batches:
-            langs, scores = model.predict(arrow_texts(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_name, score_name])
+        with without_gc():
+            for batch in batches:
+                langs, scores = model.predict(arrow_texts(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_name, score_name])
 
     return docs.mapInArrow(run, schema)
 

@@ -16,7 +16,6 @@ are encoded one by one; the other columns are passed on.
 
 from __future__ import annotations
 
-import gc
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
@@ -28,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, gather, ranges
+from tallyline.llm.common import arrow_texts, gather, ranges, without_gc
 from tallyline.llm.packing import IRREGULAR
 
 MARK = "▁"
@@ -200,16 +199,16 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
     schema = docs.select("*", F.lit(b"").alias("piece_ids"), F.lit(0).cast("long").alias("n_pieces"), F.lit("").alias("decoded"), F.lit(True).alias("parity")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        codec = PieceCodec(data, verify)
-        for batch in batches:
-            texts = arrow_texts(batch.column(at))
-            for low, high in ranges(texts, 4_000_000):
-                ids, lengths, same = codec.encode(texts.slice(low, high - low))
-                stops = np.cumsum(lengths)
-                own = [ids[s - n : s].astype("<u4") for s, n in zip(stops, lengths, strict=True)]
-                decoded = codec.decode([x.tolist() for x in own])
-                added = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lengths), pa.array(decoded, pa.string()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(width)), *added], names=[*batch.schema.names, "piece_ids", "n_pieces", "decoded", "parity"])
+        with without_gc():
+            codec = PieceCodec(data, verify)
+            for batch in batches:
+                texts = arrow_texts(batch.column(at))
+                for low, high in ranges(texts, 4_000_000):
+                    ids, lengths, same = codec.encode(texts.slice(low, high - low))
+                    stops = np.cumsum(lengths)
+                    own = [ids[s - n : s].astype("<u4") for s, n in zip(stops, lengths, strict=True)]
+                    decoded = codec.decode([x.tolist() for x in own])
+                    added = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lengths), pa.array(decoded, pa.string()), pa.array(same)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(width)), *added], names=[*batch.schema.names, "piece_ids", "n_pieces", "decoded", "parity"])
 
     return docs.mapInArrow(run, schema)

@@ -15,7 +15,6 @@ All columns are passed on; removal may leave an empty text.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import free_name, materialise
+from tallyline.llm.common import free_name, materialise, without_gc
 
 BOUND = re.compile(r"(?<=[.!?…|:;])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ])|(?<=[。！？])")
 LEAST_WORDS = 16
@@ -78,19 +77,19 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
     """(key, first, stop, hash) of every run of every text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        for batch in batches:
-            at, first, stop, hashes = [], [], [], []
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                for i, j, h in runs(sentences(value), least_words) if value else ():
-                    at.append(k)
-                    first.append(i)
-                    stop.append(j)
-                    hashes.append(h)
-                if len(at) > 100_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
-                    at, first, stop, hashes = [], [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
+        with without_gc():
+            for batch in batches:
+                at, first, stop, hashes = [], [], [], []
+                for k, value in enumerate(batch.column(1).to_pylist()):
+                    for i, j, h in runs(sentences(value), least_words) if value else ():
+                        at.append(k)
+                        first.append(i)
+                        stop.append(j)
+                        hashes.append(h)
+                    if len(at) > 100_000:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
+                        at, first, stop, hashes = [], [], [], []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, first int, stop int, hash long")

@@ -14,7 +14,6 @@ scored one by one. Without labels of both kinds every score is 0. A null key is
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, ranges, remainder, unit_hash, word_ids
+from tallyline.llm.common import arrow_texts, ranges, remainder, unit_hash, without_gc, word_ids
 
 WORD = re.compile(r"\w+")
 GRAMS = (2, 3, 4, 5)
@@ -296,9 +295,9 @@ def score(docs: DataFrame, model: GatedNetwork, text: str = "text", name: str =
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        for batch in batches:
-            found = model.score(arrow_texts(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+        with without_gc():
+            for batch in batches:
+                found = model.score(arrow_texts(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
