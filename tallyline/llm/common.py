@@ -26,6 +26,17 @@ def ranges(texts, max_bytes: int = 16_000_000) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the allocators can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def without_gc() -> Iterator[None]:
     """Spares walks over many small objects; what a task left in cycles is freed at its end, as workers are reused."""
@@ -35,6 +46,7 @@ def without_gc() -> Iterator[None]:
     finally:
         gc.enable()
         gc.collect()
+        _give_back()
 
 
 def remainder(key: str | Column, n: int) -> Column:
@@ -133,7 +145,10 @@ def gather(flat, starts, sizes, index) -> tuple:
     own = sizes[index]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[index] - ends + own, own) + np.arange(total)], own
+    kind = np.int32 if len(flat) < 1 << 31 and total < 1 << 31 else np.int64  # half the memory where it does
+    at = np.repeat((starts[index] - ends + own).astype(kind), own)
+    at += np.arange(total, dtype=kind)
+    return flat[at], own
 
 
 def arrow_texts(column):
