@@ -15,7 +15,6 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, gather, ranges
+from tallyline.llm.common import arrow_texts, gather, ranges, without_gc
 
 #: Blanks and line ends cut a text where each stands alone between other characters; other texts are encoded whole.
 IRREGULAR = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -50,7 +49,7 @@ class ChunkEncoder:
     ids of a bounded number of words are kept from batch to batch.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,28 +59,37 @@ class ChunkEncoder:
         self.bare = Tokenizer(self.tokenizer.model)
         self.letters = byte_letters()
         self.max_words = max_words
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for k in range(0, len(texts), 10_000) for e in encode(texts[k : k + 10_000], add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words, each with the blank before it where it has one."""
-        kept, known = self.kept, {}
-        if len(kept) > self.max_words:
-            kept.clear()
-        new = [w for w in words if w not in kept]
-        plain = [w for w in new if w.removeprefix(" ").isalpha()]
-        if plain:
-            mapped = "\n".join(plain).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+    def _units(self, words: list[str], plain: np.ndarray) -> np.ndarray:
+        """Places of words in the store, each with the blank before it where it has one; plain: those of letters alone."""
+        if len(self.at) > self.max_words:
+            self._forget()
+        at, new = self.at, []
+        for k, w in enumerate(words):
+            if w not in at:
+                at[w] = len(at)
+                new.append(k)
+        plain = plain[new].tolist()
+        for low in range(0, len(new), 20_000):
+            some, bare = [words[k] for k in new[low : low + 20_000]], plain[low : low + 20_000]
+            mapped = "\n".join(w for w, p in zip(some, bare, strict=True) if p).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
             encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
-            for k in range(0, len(plain), 10_000):
-                kept.update(zip(plain[k : k + 10_000], (tuple(e.ids) for e in encode(mapped[k : k + 10_000], add_special_tokens=False)), strict=True))
-        known = {w for w in plain}
-        other = [w for w in new if w not in known]
-        kept.update(zip(other, map(tuple, self._whole(other)), strict=True))
-        return [kept[w] for w in words]
+            one = iter(encode(mapped, add_special_tokens=False))
+            other = iter(self._whole([w for w, p in zip(some, bare, strict=True) if not p]))
+            found = [next(one).ids if p else next(other) for p in bare]
+            self.sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            self.flat.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32))
+        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        return np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))
 
     def encode(self, texts: list[str] | pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's; ``end``, unless None, follows each text."""
@@ -106,23 +114,28 @@ class ChunkEncoder:
         marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
         lists = pc.split_pattern(marked, " ")
         chunks = lists.flatten().dictionary_encode()
-        words, line = chunks.dictionary.to_pylist(), tuple(self._whole(["\n"])[0])
-        cores, tails = [], []
-        for w in words:
-            lead = w[0]
-            text = w[1:] if lead in "\x01\n" else " " + w
-            core = text.rstrip(".,")
-            if core.removeprefix(" ").isalpha():
-                cores.append(core)
-                tails.append(text[len(core) :])
-            else:
-                cores.append(text)
-                tails.append("")
-        stops = sorted(set(tails))
-        ends = dict(zip(stops, map(tuple, self._whole(stops)), strict=True))
-        found = [i + ends[t] if w[0] != "\n" else line + i + ends[t] for w, i, t in zip(words, self._words(cores), tails, strict=True)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        words = chunks.dictionary
+        lead, text = pc.utf8_slice_codeunits(words, 0, 1), pc.utf8_slice_codeunits(words, 1)
+        line = pc.equal(lead, LINE).to_numpy(zero_copy_only=False)
+        blank = pc.invert(pc.or_(pc.equal(lead, LINE), pc.equal(lead, FIRST)))
+        text = pc.if_else(blank, words, text)
+        core = pc.utf8_rtrim(text, ".,")
+        plain = pc.utf8_is_alpha(core)
+        core = pc.if_else(plain, core, text)
+        cut = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+        tails = np.where(cut == pc.utf8_length(text).to_numpy(zero_copy_only=False), 0, 1 + pc.ends_with(text, ",").to_numpy(zero_copy_only=False))
+        tails = np.array(["", ".", ","], dtype=object)[tails]
+        for k in np.flatnonzero(pc.utf8_length(text).to_numpy(zero_copy_only=False) - cut > 1):
+            tails[k] = text[int(k)].as_py()[cut[k] :]
+        cores = pc.if_else(blank, pc.binary_join_element_wise(" ", core, ""), core).dictionary_encode()
+        letters = pc.utf8_is_alpha(pc.utf8_ltrim(cores.dictionary, " ")).to_numpy(zero_copy_only=False)
+        stops = sorted({"\n", "", *tails})
+        unit = self._units(cores.dictionary.to_pylist() + stops, np.concatenate([letters, np.zeros(len(stops), dtype=bool)]))
+        stop = dict(zip(stops, unit[len(letters) :], strict=True))
+        parts = np.stack([np.where(line, stop["\n"], stop[""]), unit[cores.indices.to_numpy(zero_copy_only=False)], np.array([stop[t] for t in tails])], axis=1)
+        sizes = self.sizes[0]
+        flat, each = gather(self.flat[0], np.cumsum(sizes) - sizes, sizes, parts.ravel())
+        sizes = each.reshape(-1, 3).sum(axis=1)
         ids, own = gather(flat, np.cumsum(sizes) - sizes, sizes, chunks.indices.to_numpy(zero_copy_only=False))
         per_text = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return ids, np.diff(np.concatenate([[0], np.cumsum(own)])[per_text], prepend=0)
@@ -207,7 +220,7 @@ class Packer:
         self.open = [[] for _ in range(self.size + 1)]
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 0, max_bytes: int = 32_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 0, max_bytes: int = 5_000_000) -> DataFrame:
     """A row per piece: key, start, length, doc_tokens, sequence_id, offset, padded_to, ids (little-endian, unsigned, 32 bits each).
 
     padded_to is the sequence's length in the output: its own where that is a power
@@ -216,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def rows(packer: Packer, base: int, at: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         while packer.closed:
-            some, packer.closed = packer.closed[:4096], packer.closed[4096:]
+            some, packer.closed = packer.closed[:1024], packer.closed[1024:]
             out: list[list] = [[] for _ in range(8)]
             for window in some:
                 offset, length = 0, sum(len(p[2]) for p in window)
@@ -229,23 +242,23 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_to", "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
-        encoder, packer = ChunkEncoder(tokenizer), Packer(size)
-        base, at, kind = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0, None
-        for batch in batches:
-            kind = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), arrow_texts(batch.column(1))
-            for low, high in ranges(texts, max_bytes):
-                ids, lengths = encoder.encode(texts.slice(low, high - low), end)
-                stop = np.cumsum(lengths)
-                for k in range(low, high):
-                    packer.add(keys[k], ids[stop[k - low] - lengths[k - low] : stop[k - low]].astype("<u4"))
-                n = len(packer.closed)
+        with without_gc():
+            encoder, packer = ChunkEncoder(tokenizer), Packer(size)
+            base, at, kind = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0, None
+            for batch in batches:
+                kind = batch.column(0).type
+                keys, texts = batch.column(0).to_pylist(), arrow_texts(batch.column(1))
+                for low, high in ranges(texts, max_bytes):
+                    ids, lengths = encoder.encode(texts.slice(low, high - low), end)
+                    stop = np.cumsum(lengths)
+                    for k in range(low, high):
+                        packer.add(keys[k], ids[stop[k - low] - lengths[k - low] : stop[k - low]].astype("<u4"))
+                    n = len(packer.closed)
+                    yield from rows(packer, base, at, kind)
+                    at += n
+            packer.finish()
+            if packer.closed:
                 yield from rows(packer, base, at, kind)
-                at += n
-        packer.finish()
-        if packer.closed:
-            yield from rows(packer, base, at, kind)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_to long, ids binary").withColumnRenamed("key", key)
