@@ -81,7 +81,8 @@ class AnisotropicQuantiser:
         pick = rng.choice(len(parts), 16, replace=len(parts) < 16)
         self.words = parts[pick].transpose(1, 0, 2).copy()
         for _ in range(rounds):
-            codes, own = self._choose(parts, 1)
+            blocks = [self._choose(parts[k : k + 2000], 1) for k in range(0, len(parts), 2000)]  # bounds the tables' memory
+            codes, own = (np.concatenate(x) for x in zip(*blocks, strict=True))
             total = own.sum(axis=1)
             for m in range(self.parts):
                 x, rest = parts[:, m], total - own[:, m]
