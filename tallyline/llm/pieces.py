@@ -103,7 +103,7 @@ class PieceModel:
         return models.BPE(ids, [m[3] for m in sorted(merges)], unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
 
     def tokenizer(self):
-        from tokenizers import Regex, Tokenizer, decoders, normalizers
+        from tokenizers import Regex, Tokenizer, normalizers
 
         made = Tokenizer(self.model())
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
@@ -114,11 +114,17 @@ class PieceModel:
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
         made.normalizer = normalizers.Sequence(steps)
+        made.decoder = self.decoder(strip=True)
+        return made
+
+    def decoder(self, strip: bool):
+        """Undoes the marker and byte fallback; strip takes the dummy prefix away again."""
+        from tokenizers import decoders
+
         undo = [decoders.Replace(MARK, " ")] if self.escape else []
         undo += [decoders.ByteFallback()] if self.byte_fallback else []
         undo.append(decoders.Fuse())
-        made.decoder = decoders.Sequence(undo + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []))
-        return made
+        return decoders.Sequence(undo + ([decoders.Strip(" ", 1, 0)] if strip and self.dummy_prefix else []))
 
 
 class PieceCodec:
@@ -131,7 +137,8 @@ class PieceCodec:
         self.whole, self.bare = self.spec.tokenizer(), Tokenizer(self.spec.model())
         self.cut = self.spec.cuts_at_marks()
         self.max_words = max_words
-        self.kept: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.kept: dict[str, tuple[bytes, str]] = {}  # ids as 32-bit integers, and the text they decode to
+        self.bare.decoder = self.spec.decoder(strip=False)
         self.wrong: set[str] = set()
         self.judge = None
         if verify:
@@ -143,8 +150,8 @@ class PieceCodec:
         found = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch(texts, add_special_tokens=False), strict=True)]
         return found, [a == b for a, b in zip(found, self.judge.encode(texts), strict=True)] if self.judge and texts else [True] * len(texts)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, those after a line end with its byte; words on which sentencepiece disagrees are noted."""
+    def _words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of words, those after a line end with its byte, and what they decode to; words on which sentencepiece disagrees are noted."""
         kept = self.kept
         if len(kept) > self.max_words:
             kept.clear()
@@ -156,11 +163,16 @@ class PieceCodec:
             found = [e.ids for e in encode([w if w[0] == "\n" else MARK + w for w in some], add_special_tokens=False)]
             if self.judge:
                 self.wrong.update(w for w, a, b in zip(some, found, self.judge.encode(some), strict=True) if a != (b[1:] if w[0] == "\n" else b))
-            kept.update((w, array("I", ids).tobytes()) for w, ids in zip(some, found, strict=True))
+            texts = self.bare.decode_batch(found, skip_special_tokens=False)
+            kept.update((w, (array("I", ids).tobytes(), text)) for w, ids, text in zip(some, found, texts, strict=True))
         return [kept[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the number of each text's, and by text whether sentencepiece agrees."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """All ids, the number of each text's, by text whether sentencepiece agrees, and what its ids decode to.
+
+        Bytes of one character never lie in two words, so the words' decoded texts make up the text's.
+        """
+        decoded = [""] * len(texts)
         odd = pc.or_(pc.match_substring_regex(texts, IRREGULAR), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         own, rest = np.flatnonzero(~odd if self.cut else odd & False), np.flatnonzero(odd | (not self.cut))
         ids, lengths, same = np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=bool)
@@ -169,22 +181,28 @@ class PieceCodec:
             chunks = lists.flatten().dictionary_encode()
             words = chunks.dictionary.to_pylist()
             found = self._words(words)
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            flat = np.frombuffer(b"".join(found), dtype=np.uint32)
+            sizes = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found)) // 4
+            flat = np.frombuffer(b"".join(f[0] for f in found), dtype=np.uint32)
             index = chunks.indices.to_numpy(zero_copy_only=False)
             ids, each = gather(flat, np.cumsum(sizes) - sizes, sizes, index)
             stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             lengths[own] = np.diff(np.concatenate([[0], np.cumsum(each)])[stops], prepend=0)
+            said, places, low = [f[1] for f in found], index.tolist(), 0
+            for row, high in zip(own.tolist(), stops.tolist(), strict=True):
+                decoded[row] = "".join([said[k] for k in places[low:high]]).removeprefix(" ")
+                low = high
             wrong = np.concatenate([[0], np.cumsum(np.fromiter((w in self.wrong for w in words), dtype=bool, count=len(words))[index])])
             same[own] = np.diff(wrong[stops], prepend=0) == 0
         if len(rest):
             found, agree = self._texts(texts.take(pa.array(rest)).to_pylist())
+            for row, text in zip(rest.tolist(), self.decode(found), strict=True):
+                decoded[row] = text
             starts = np.zeros(len(texts), dtype=np.int64)
             starts[own] = np.cumsum(lengths[own]) - lengths[own]
             lengths[rest], same[rest] = [len(f) for f in found], agree
             starts[rest] = len(ids) + np.cumsum(lengths[rest]) - lengths[rest]
             ids, _ = gather(np.concatenate([ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32)]), starts, lengths, np.arange(len(texts)))
-        return ids, lengths, same
+        return ids, lengths, same, decoded
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -204,10 +222,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
             for batch in batches:
                 texts = arrow_texts(batch.column(at))
                 for low, high in ranges(texts, 4_000_000):
-                    ids, lengths, same = codec.encode(texts.slice(low, high - low))
+                    ids, lengths, same, decoded = codec.encode(texts.slice(low, high - low))
                     stops = np.cumsum(lengths)
                     own = [ids[s - n : s].astype("<u4") for s, n in zip(stops, lengths, strict=True)]
-                    decoded = codec.decode([x.tolist() for x in own])
                     added = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lengths), pa.array(decoded, pa.string()), pa.array(same)]
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(width)), *added], names=[*batch.schema.names, "piece_ids", "n_pieces", "decoded", "parity"])
 

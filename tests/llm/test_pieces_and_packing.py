@@ -111,11 +111,11 @@ def test_unigram_models_with_byte_fallback():
     codec = pieces.PieceCodec(data)
     assert codec.spec.kind == pieces.UNIGRAM and codec.spec.byte_fallback
     texts = ["ab ba", "abba é", "a\nb", "", " ab"]
-    ids, lengths, same = codec.encode(pa.array(texts))
+    ids, lengths, same, said = codec.encode(pa.array(texts))
     judge = sentencepiece.SentencePieceProcessor(model_proto=data)
     stops = np.cumsum(lengths)
     own = [ids[s - n : s].tolist() for s, n in zip(stops, lengths, strict=True)]
-    assert own == judge.encode(texts) and same.all() and codec.decode(own) == texts
+    assert own == judge.encode(texts) and same.all() and codec.decode(own) == said == texts
 
 
 def test_crc_of_ids():
