@@ -2,8 +2,8 @@
 
 A sentence ends at a stop, a line's end, or before a capitalised word, as passages
 are often pasted into the middle of a sentence; very long ones are cut at words picked
-by checksum. From each sentence the shortest run
-of two or more sentences with ``least_words`` words is hashed. Equal hashes of all
+by checksum. The shortest run of two or more sentences with ``least_words`` words from
+each sentence, and the shortest to each sentence, are hashed. Equal hashes of all
 documents meet in one aggregate, which keeps the first occurrence (smallest key, then
 place); every other one is joined back and the sentences that it covers are removed.
 Case and white space don't count.
@@ -53,26 +53,61 @@ def sentences(text: str) -> list[str]:
     return [p for s in found if s for p in (_cut(s) if s.count(" ") > LONG else (s,))]
 
 
-def runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, sentence after the last, hash) of the shortest long enough run from each sentence.
-
-    Text without blanks counts a word for every six characters.
-    """
+def _measured(parts: list[str]) -> tuple[list[str], list[int]]:
+    """The sentences as they are compared, and their words; text without blanks counts a word for every six characters."""
     plain = [" ".join(p.lower().split()) for p in parts]
-    words = [max(p.count(" ") + 1, len(p) // 6) if p else 0 for p in plain]
+    return plain, [max(p.count(" ") + 1, len(p) // 6) if p else 0 for p in plain]
+
+
+def _from_starts(words: list[int], least_words: int) -> Iterator[tuple[int, int]]:
+    """The shortest long enough run from each sentence."""
     end, held = 0, 0
-    for i in range(len(parts)):
+    for i in range(len(words)):
         if end < i:
             end, held = i, 0
-        while end < len(parts) and (held < least_words or end - i < 2):
+        while end < len(words) and (held < least_words or end - i < 2):
             held += words[end]
             end += 1
         if held < least_words or end - i < 2:
             return
-        yield i, end, xxhash.xxh64_intdigest(" ".join([p for p in plain[i:end] if p])) - (1 << 63)
+        yield i, end
         held -= words[i]
 
 
+def _to_ends(words: list[int], least_words: int) -> Iterator[tuple[int, int]]:
+    """The shortest long enough run that ends with each sentence."""
+    first, held = 0, 0
+    for end, n in enumerate(words, 1):
+        held += n
+        while end - first > 2 and held - words[first] >= least_words:
+            held -= words[first]
+            first += 1
+        if held >= least_words and end - first >= 2:
+            yield first, end
+
+
+def _hash(plain: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join([p for p in plain if p])) - (1 << 63)
+
+
+def runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """(first sentence, sentence after the last, hash) of the shortest long enough run from each sentence."""
+    plain, words = _measured(parts)
+    for i, j in _from_starts(words, least_words):
+        yield i, j, _hash(plain[i:j])
+
+
+def covering_runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """runs() and the shortest long enough run to each sentence, each once.
+
+    Together they cover every sentence of any long enough run: from a sentence too near to
+    the run's end to begin one, the run to that end reaches back over it.
+    """
+    plain, words = _measured(parts)
+    for i, j in sorted({*_from_starts(words, least_words), *_to_ends(words, least_words)}):
+        yield i, j, _hash(plain[i:j])
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, first, stop, hash) of every run of every text."""
 
@@ -81,7 +116,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
             for batch in batches:
                 at, first, stop, hashes = [], [], [], []
                 for k, value in enumerate(batch.column(1).to_pylist()):
-                    for i, j, h in runs(sentences(value), least_words) if value else ():
+                    for i, j, h in covering_runs(sentences(value), least_words) if value else ():
                         at.append(k)
                         first.append(i)
                         stop.append(j)

@@ -107,6 +107,28 @@ def test_runs_by_hand():
     assert [(i, j) for i, j, _ in spans.runs(["a b c d e f g. ", "h."], 6)] == [(0, 2)]
 
 
+def test_every_sentence_of_a_long_enough_run_is_covered():
+    parts = ["a b c. ", "d e. ", "f g h i. ", "j."]
+    assert [(i, j) for i, j, _ in spans.covering_runs(parts, 6)] == [(0, 3), (1, 3), (1, 4)]
+    rng = random.Random(5)
+    for _ in range(200):
+        passage = [" ".join(words(rng, rng.randint(1, 12))) + ". " for _ in range(rng.randint(2, 8))]
+        if sum(len(p.split()) for p in passage) < 16:
+            continue
+        texts = [[f"own{k} word. ", *passage, f"tail{k} of it. "] for k in range(2)]
+        hashes = [{h for *_, h in spans.covering_runs(t, 16)} for t in texts]
+        covered = {k for i, j, h in spans.covering_runs(texts[1], 16) if h in hashes[0] for k in range(i, j)}
+        assert covered == set(range(1, len(passage) + 1))
+
+
+def test_the_short_end_of_a_repeated_passage_goes(spark):
+    passage = "One two three four five six seven eight nine ten. Apple pear plum fig grape lime kiwi melon. Red green blue pink."
+    own = ["Alpha beta gamma delta.", "Sun moon star comet."]
+    rows = [(i, f"{passage} {own[i]}") for i in range(2)] + [(2, passage)]
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: own[1], 2: ""}
+
+
 # WARC -------------------------------------------------------------------------
 
 
