@@ -8,8 +8,9 @@ documents meet in one aggregate, which keeps the first occurrence (smallest key,
 place); every other one is joined back and the sentences that it covers are removed.
 Case and white space don't count.
 
-Defined results: a null text stays null, an empty one empty. Rows with equal keys count as one
-document, so a repeated row keeps what the first keeps. Null keys come after all others.
+Defined results: a null text stays null, an empty one empty. Rows with equal keys (or null ones)
+and equal texts count as one document, so a repeated row keeps what the first keeps; other texts
+under that key are documents of their own. Null keys come after all others.
 All columns are passed on; removal may leave an empty text.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import free_name, materialise, without_gc
@@ -108,43 +109,52 @@ def covering_runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int
         yield i, j, _hash(plain[i:j])
 
 
+def _row(key: str, text: str) -> Column:
+    """A row's identity: a hash of its key and its text, as keys may be null or stand for several texts."""
+    return F.xxhash64(F.col(key).isNull(), F.col(text).isNull(), F.col(key), F.col(text))
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, first, stop, hash) of every run of every text."""
+    """(key, row, first, stop, hash) of every run of every text; row is the identity of the input's row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch, at, first, stop, hashes):
+            own = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "row", "first", "stop", "hash"])
+
         with without_gc():
             for batch in batches:
                 at, first, stop, hashes = [], [], [], []
-                for k, value in enumerate(batch.column(1).to_pylist()):
+                for k, value in enumerate(batch.column(2).to_pylist()):
                     for i, j, h in covering_runs(sentences(value), least_words) if value else ():
                         at.append(k)
                         first.append(i)
                         stop.append(j)
                         hashes.append(h)
                     if len(at) > 100_000:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
+                        yield made(batch, at, first, stop, hashes)
                         at, first, stop, hashes = [], [], [], []
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "first", "stop", "hash"])
+                yield made(batch, at, first, stop, hashes)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, first int, stop int, hash long")
+    return docs.select(F.col(key).alias("key"), _row(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, row long, first int, stop int, hash long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(key, first, stop) of the spans that aren't the first of their kind."""
-    place = F.struct(F.col("key").isNull().alias("no_key"), F.col("key"), F.col("first"))
-    heads = found.groupBy("hash").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("hash", "head")
+    """(row, first, stop) of the spans that aren't the first of their kind."""
+    place = F.struct(F.col("key").isNull().alias("no_key"), F.col("key"), F.col("row"), F.col("first"))
+    heads = found.groupBy("hash").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("hash", F.col("head.row").alias("head_row"), F.col("head.first").alias("head_first"))
     heads = materialise(heads, "span-heads")
-    again = found.join(heads, "hash")
-    return again.filter(~(F.col("key").eqNullSafe(F.col("head.key")) & (F.col("first") == F.col("head.first")))).select("key", "first", "stop")
+    again = found.select("row", "first", "stop", "hash").join(heads, "hash")
+    return again.filter("row <> head_row or first <> head_first").select("row", "first", "stop")
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, removed_name: str | None = None) -> DataFrame:
     """docs with repeated spans taken out of the text; removed_name adds a column with the number of sentences removed."""
     bits = repeated(spans(docs, key, text, least_words)).distinct()
-    drop, mark = free_name(docs.columns, "_drop"), free_name(docs.columns, "_key")
-    cover = bits.groupBy(F.col("key").alias(mark)).agg(F.collect_list(F.struct("first", "stop")).alias(drop))
-    joined = docs.join(cover, docs[key].eqNullSafe(cover[mark]), "left").drop(mark)
+    drop, mark = free_name(docs.columns, "_drop"), free_name(docs.columns, "_row")
+    cover = bits.groupBy(F.col("row").alias(mark)).agg(F.collect_list(F.struct("first", "stop")).alias(drop))
+    joined = docs.withColumn(mark, _row(key, text)).join(cover, mark, "left").select(*docs.columns, drop)
     at, width = docs.columns.index(text), len(docs.columns)
     taken = removed_name or free_name(docs.columns, "_removed")
     schema = docs.select("*", F.lit(0).alias(taken)).schema

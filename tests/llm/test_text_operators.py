@@ -129,6 +129,18 @@ def test_the_short_end_of_a_repeated_passage_goes(spark):
     assert got == {0: rows[0][1], 1: own[1], 2: ""}
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_under_one_key_are_documents_of_their_own(spark, key):
+    rng = random.Random(12)
+    prose = lambda n: [" ".join(words(rng, 9)).capitalize() + "." for _ in range(n)]
+    passage, own = prose(3), [prose(8), prose(8), prose(2)]
+    first, again = " ".join([*prose(5), *passage]), " ".join([*own[0][:4], *passage, *own[0][4:]])
+    rows = [(1, first), (key, again), (key, " ".join(own[1])), (key, " ".join(own[2])), (key, None), (key, ""), (key, again)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text, r.removed) for r in spans.remove_repeated(df, removed_name="removed").collect())
+    assert got == collections.Counter([(1, first, 0), (key, " ".join(own[0]), 3), (key, " ".join(own[0]), 3), (key, rows[2][1], 0), (key, rows[3][1], 0), (key, None, 0), (key, "", 0)])
+
+
 # WARC -------------------------------------------------------------------------
 
 
