@@ -3,15 +3,16 @@
 A message's lines are parsed to quote levels: the number of leading ``>`` marks, blanks
 between them allowed. Neighbouring lines of one level make a passage. A passage is
 normalised (lower case, white space as single blanks, attribution lines such as "... wrote:"
-left out) and hashed. Every message offers the hashes of its own passages, of all runs of
-their lines, and of its whole body. A quoted passage of level 1 is joined to
+left out) and hashed. A message's body is cut at line ends and after sentences, and every run of
+neighbouring pieces is offered, however the quotation wraps its lines; as runs are many, only
+those are hashed that begin as a quotation of the conversation does and are as long. A quoted passage of level 1 is joined to
 the earlier message that offers its hash, deeper levels to the same by their own hashes;
 the message linked at level 1 is the parent. A message without such a link answers the
 message before it in its conversation, the first one starts a thread.
 
 Defined results: null texts are empty; a null turn sorts first; repeated rows are
 separate messages, placed by a hash of the text; passages shorter than ``least_chars``
-after normalisation link nothing; of several origins the latest earlier one of the same
+after normalisation, an ideograph counting as three, link nothing; of several origins the latest earlier one of the same
 conversation counts. Rows with a null conversation form one conversation. Quoted lines
 are left out of the body. Other columns are not read.
 """
@@ -24,10 +25,51 @@ from pyspark.sql import functions as F
 MARKS = r"^[ \t]*(>[> \t]*)"
 #: A line that announces a quotation.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$"
+#: Scripts that are written without blanks.
+DENSE = r"[\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]"
+DENSE_CHARS = 3
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, white space as single blanks, none beside ideographs, where it is only a line's end."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), f"(?<={DENSE}) | (?={DENSE})", "")
+
+
+def _weight(text: Column) -> Column:
+    return F.length(text) + (DENSE_CHARS - 1) * F.length(F.regexp_replace(text, DENSE.replace("[", "[^", 1), ""))
+
+
+def _pieces(body: Column) -> Column:
+    """Lines cut after their sentences, normalised."""
+    cut = F.split(F.regexp_replace(F.regexp_replace(body, r"([.!?…])\s+", "$1\n"), "([。！？])", "$1\n"), "\n")
+    return F.filter(F.transform(cut, normalised), lambda x: x != "")
+
+
+def _starts(pieces: Column, least_chars: int) -> Column:
+    """array<struct<at:int, anchor:string>>: what a quotation that begins with a piece can begin with."""
+    shorter = range(-(-least_chars // DENSE_CHARS), least_chars)
+
+    def of(at: Column) -> Column:
+        # Pieces hold a character at least, so the beginnings of these hold the anchor, and one more as a blank at the end goes.
+        near = F.transform(F.slice(pieces, at + 1, least_chars), lambda x: F.substring(x, 1, least_chars + 1))
+        begin = F.substring(normalised(F.array_join(near, " ")), 1, least_chars)
+        anchors = F.when(begin.rlike(DENSE), F.array_distinct(F.array(begin, *[F.substring(begin, 1, n) for n in shorter]))).otherwise(F.array(begin))
+        return F.transform(anchors, lambda a: F.struct(at.alias("at"), a.alias("anchor")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), of))
+
+
+def _run(pieces: Column, at: Column, size: Column) -> Column:
+    """The run of pieces from ``at`` with that many characters, null where none ends there."""
+    rest = F.slice(pieces, at + 1, size)
+    begin = F.struct(F.lit(0).alias("n"), F.lit(False).alias("dense"), F.lit(False).alias("hit"))
+
+    def add(done: Column, piece: Column) -> Column:
+        blank = F.when((done["n"] == 0) | done["dense"] | piece.rlike("^" + DENSE), 0).otherwise(1)
+        n = done["n"] + blank + F.length(piece)
+        return F.struct(n.alias("n"), piece.rlike(DENSE + "$").alias("dense"), (done["hit"] | (n == size)).alias("hit"))
+
+    return F.when(F.aggregate(rest, begin, add)["hit"], F.substring(normalised(F.array_join(rest, " ")), F.lit(1), size))
 
 
 def passages(text: Column) -> Column:
@@ -61,15 +103,14 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     parsed = placed.withColumn("passages", passages(F.col("text"))).withColumn("body", F.trim(_without_attribution(F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"))))
     parsed = parsed.withColumns({"quotes": F.size(F.filter("passages", lambda p: p["level"] > 0)), "levels": F.array_max(F.transform("passages", lambda p: p["level"]))})
     cited = parsed.filter("quotes > 0").select("conv", "position", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
-    cited = cited.select("conv", "position", F.col("p.level").alias("level"), normalised(_without_attribution(F.col("p.text"))).alias("quote")).filter(F.length("quote") >= least_chars)
-    cited = cited.select("conv", "position", "level", F.sha2("quote", 256).alias("hash")).distinct()
-    # Only conversations in which something is quoted need to offer their lines.
-    offers = parsed.join(cited.select("conv").distinct(), "conv", "left_semi")
-    lines = F.filter(F.split("body", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.size("lines") - i), lambda n: F.array_join(F.slice("lines", i + 1, n), "\n"))))
-    offered = offers.select("conv", F.col("position").alias("origin"), lines.alias("lines")).filter("size(lines) > 0").select("conv", "origin", F.explode(runs).alias("offer"))
-    sentences = offers.select("conv", F.col("position").alias("origin"), F.explode(F.split(F.regexp_replace("body", r"([.!?])\s+", "$1\n"), "\n")).alias("offer"))
-    offered = offered.unionByName(sentences).select("conv", "origin", F.sha2(normalised(F.col("offer")), 256).alias("hash")).distinct()
+    least_chars = max(1, least_chars)
+    cited = cited.select("conv", "position", F.col("p.level").alias("level"), normalised(_without_attribution(F.col("p.text"))).alias("quote")).filter(_weight(F.col("quote")) >= least_chars)
+    cited = cited.select("conv", "position", "level", F.sha2("quote", 256).alias("hash"), F.substring("quote", 1, least_chars).alias("anchor"), F.length("quote").alias("size")).distinct()
+    # Only conversations in which something is quoted need to offer their pieces.
+    offers = parsed.join(cited.select("conv").distinct(), "conv", "left_semi").select("conv", F.col("position").alias("origin"), _pieces(F.col("body")).alias("pieces")).filter("size(pieces) > 0")
+    starts = offers.select("conv", "origin", F.explode(_starts(F.col("pieces"), least_chars)).alias("start")).select("conv", "origin", "start.at", "start.anchor")
+    likely = starts.join(cited.select("conv", "anchor", "size").distinct(), ["conv", "anchor"]).select("conv", "origin", "at", "size").distinct()
+    offered = likely.join(offers, ["conv", "origin"]).select("conv", "origin", F.sha2(_run(F.col("pieces"), F.col("at"), F.col("size")), 256).alias("hash")).distinct()
     found = cited.join(offered, ["conv", "hash"]).filter("origin < position").groupBy("conv", "position", "level").agg(F.max("origin").alias("origin"))
     direct = found.groupBy("conv", "position").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("origin"), F.sort_array(F.collect_list(F.struct("level", "origin"))).alias("sources"))
     answered = parsed.join(direct, ["conv", "position"], "left").withColumn("parent", F.coalesce("origin", F.when(F.col("position") > 0, F.col("position") - 1))).withColumn("linked", F.col("origin").isNotNull())

@@ -298,3 +298,16 @@ def test_quotes(spark):
     assert got[1, 2].body == "Thanks a lot." and got[1, 2].levels == 2 and [tuple(s) for s in got[1, 2].sources] == [(1, 1), (2, 0)]
     assert (got[2, 1].parent, got[2, 1].linked, got[2, 1].body) == (0, False, "hm") and got[None, 1].body == ""
     assert quotes.link(df.limit(0)).count() == 0
+
+
+def test_quotes_of_parts_of_a_paragraph(spark):
+    body = "First of all, install it. Then read the\nmanual twice. Ask us! Or do something else.\n- a list item\nThe end of it. Bye."
+    asian = "今天天气很好。我们去公园散步。\n明天再说吧。"
+    quoted = [
+        "> Then read the manual twice. Ask us!", "> Then read\n> the manual\n> twice.", "> Or do something else.\n> - a list item\n> The end\n> of it.", "> first of all,  install it. Then read the", "> 我们去公园散步。", "> 我们去公园\n> 散步。明天再说吧。", "> 明天再说吧。",
+        "> the manual twice. Ask", "> Then read the manual twice. Ask", "> Ask us!", "> 公园散步。",
+    ]
+    rows = [(1, 0, "u", body), (1, 1, "u", asian), (1, 2, "u", "Something else entirely.")] + [(1, 3 + i, "u", f"{q}\nyes {i}") for i, q in enumerate(quoted)]
+    got = {r.position: (r.parent, r.linked) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[3 + i] for i in range(7)] == [(0, True)] * 4 + [(1, True)] * 3
+    assert [got[10 + i] for i in range(4)] == [(9 + i, False) for i in range(4)]  # parts of sentences, and what is too short
