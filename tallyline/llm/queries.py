@@ -63,8 +63,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = quotes.link(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "turn", "role", "position", "parent", "depth", "linked", "quotes", "body")
+    ordered = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return ordered.select("conv_id", "turn", "role", "position", "parent", "depth", "place", "linked", "quotes", "body")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

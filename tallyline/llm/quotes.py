@@ -8,7 +8,9 @@ neighbouring pieces is offered, however the quotation wraps its lines; as runs a
 those are hashed that begin as a quotation of the conversation does and are as long. A quoted passage of level 1 is joined to
 the earlier message that offers its hash, deeper levels to the same by their own hashes;
 the message linked at level 1 is the parent. A message without such a link answers the
-message before it in its conversation, the first one starts a thread.
+message before it in its conversation, the first one starts a thread. Conversations are
+given out in the order of their reply trees: a message, then its answers by position, each
+followed by its own.
 
 Defined results: null texts are empty; a null turn sorts first; repeated rows are
 separate messages, placed by a hash of the text; passages shorter than ``least_chars``
@@ -96,7 +98,8 @@ def _without_attribution(text: Column) -> Column:
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least_chars: int = 12) -> DataFrame:
     """A row per message: conv, turn, role, position, parent (position of the answered message, null at a start),
-    linked (by a quotation), quotes (passages), levels (deepest), depth (answers up to the start), body.
+    linked (by a quotation), quotes (passages), levels (deepest), sources (level, origin), depth (answers up to the
+    start), place (in the walk of the reply tree), body.
     """
     raw = messages.select(F.coalesce(F.struct(F.col(conv).alias("id"))).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = raw.withColumn("position", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.xxhash64("text", "role"), "text")) - 1)
@@ -114,15 +117,40 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     found = cited.join(offered, ["conv", "hash"]).filter("origin < position").groupBy("conv", "position", "level").agg(F.max("origin").alias("origin"))
     direct = found.groupBy("conv", "position").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("origin"), F.sort_array(F.collect_list(F.struct("level", "origin"))).alias("sources"))
     answered = parsed.join(direct, ["conv", "position"], "left").withColumn("parent", F.coalesce("origin", F.when(F.col("position") > 0, F.col("position") - 1))).withColumn("linked", F.col("origin").isNotNull())
-    return _depths(answered.select("conv", "turn", "role", "position", "parent", "linked", "quotes", "levels", "sources", "body")).withColumn("conv", F.col("conv.id")).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
+    return _walked(answered.select("conv", "turn", "role", "position", "parent", "linked", "quotes", "levels", "sources", "body")).withColumn("conv", F.col("conv.id")).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
 
 
-def _depths(messages: DataFrame) -> DataFrame:
-    """Adds depth and thread order: parents come earlier, so one pass over a conversation's parents in order gives both.
+def _walked(messages: DataFrame) -> DataFrame:
+    """Adds depth and place, the message's number in a walk of its reply tree: parents before children, siblings by position.
 
     A conversation's (position, parent) pairs, two integers a message, are gathered in one row.
+    Parents come earlier, so one pass in order gives depth and path. Along first children a path
+    only counts on, so it grows with branches, not with depth: 0 and the count for the message
+    itself, before that 1, the count (negative, as deeper branches come first) and the position
+    for each step to a later child.
     """
-    tree = messages.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("position", "parent"))).alias("tree"))
-    depth = F.aggregate("tree", F.array().cast("array<int>"), lambda done, m: F.concat(done, F.array(F.coalesce(F.get(done, m["parent"]) + 1, F.lit(0)))))
-    depths = tree.select("conv", F.posexplode(depth).alias("position", "depth"))
-    return messages.join(depths, ["conv", "position"])
+    earlier = F.lag("parent").over(Window.partitionBy("conv").orderBy("parent", "position"))
+    marked = messages.select("conv", "position", "parent", (~F.coalesce(earlier == F.col("parent"), F.lit(False))).alias("first"))
+    tree = marked.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("position", "parent", "first"))).alias("tree"))
+    none = F.array().cast("array<struct<path:array<int>,depth:int>>")
+
+    def add(done: Column, m: Column) -> Column:
+        above = F.get(done, m["parent"])
+        count = F.element_at(above["path"], -1)
+        stem = F.slice(above["path"], 1, F.size(above["path"]) - 2)
+        onward = F.concat(stem, F.array(F.lit(0), count + 1))
+        branch = F.concat(stem, F.array(F.lit(1), -count, m["position"], F.lit(0), F.lit(0)))
+        path = F.when(m["parent"].isNull(), F.array(F.lit(0), F.lit(0))).when(m["first"], onward).otherwise(branch)
+        return F.concat(done, F.array(F.struct(path.alias("path"), F.coalesce(above["depth"] + 1, F.lit(0)).alias("depth"))))
+
+    walk = F.sort_array(F.transform(F.aggregate("tree", none, add), lambda x, i: F.struct(x["path"].alias("path"), i.alias("position"), x["depth"].alias("depth"))))
+    # Without a branch the walk is the order of positions.
+    straight = F.transform("tree", lambda m, i: F.struct(F.array().cast("array<int>").alias("path"), i.alias("position"), i.alias("depth")))
+    walk = F.when(F.exists("tree", lambda m: m["parent"] != m["position"] - 1), walk).otherwise(straight)
+    places = tree.select("conv", F.posexplode(walk).alias("place", "m")).select("conv", "place", "m.position", "m.depth")
+    return messages.join(places, ["conv", "position"])
+
+
+def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least_chars: int = 12) -> DataFrame:
+    """link()'s rows, conversations one after another, each in the order of its reply tree; body is the text without quotations."""
+    return link(messages, conv, turn, role, text, least_chars).orderBy(conv, "place")

@@ -311,3 +311,23 @@ def test_quotes_of_parts_of_a_paragraph(spark):
     got = {r.position: (r.parent, r.linked) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [got[3 + i] for i in range(7)] == [(0, True)] * 4 + [(1, True)] * 3
     assert [got[10 + i] for i in range(4)] == [(9 + i, False) for i in range(4)]  # parts of sentences, and what is too short
+
+
+def test_conversations_in_reply_order(spark):
+    rng = random.Random(2)
+    rows, want = [(0, i, "u", f"plain {i}") for i in range(4)], [(0, i, i, i) for i in range(4)]
+    for conv in range(1, 6):
+        parents = [None] + [rng.choice([i, i, rng.randint(0, i)]) for i in range(30)]
+        rows += [(conv, i, "u", (f"> This is message number {p} of it.\n" if p is not None else "") + f"This is message number {i} of it.") for i, p in enumerate(parents)]
+
+        def walk(i, depth):
+            yield i, depth
+            for j, p in enumerate(parents):  # noqa: B023
+                if p == i:
+                    yield from walk(j, depth + 1)
+
+        want += [(conv, k, i, depth) for k, (i, depth) in enumerate(walk(0, 0))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = quotes.conversations(df).collect()
+    assert [(r.conv_id, r.place, r.position, r.depth) for r in got] == want
+    assert all(">" not in r.body for r in got)
