@@ -6,7 +6,7 @@ Parquet to the shared folder and read again by the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import jaccard, language_id, packing, spans, toxicity
@@ -32,15 +32,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones: that with the smallest doc_id, one of its repeated rows.
+    """One row of each class of similar ones: that with the smallest doc_id, null last.
 
-    Rows with a null doc_id stay.
+    A row is told by its doc_id and its text, so other texts under one doc_id, or without one,
+    are documents of their own. Texts without words have no class: equal ones under one doc_id
+    count once, those with a null doc_id stay.
     """
-    found = jaccard.similar(docs).select(F.col("doc_id").alias("_id"), "class_id")
-    gone = found.filter("_id <> class_id").select("_id").distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("_n", first).filter(F.col("doc_id").isNull() | (F.col("_n") == 1)).drop("_n")
+    no_id = F.col("doc_id").isNull()
+    row = F.struct(no_id.alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("text"))
+    named = docs.withColumn("_row", row)
+    found = jaccard.similar(named, key="_row")
+    first = found.filter("_row = class_id").select("_row", F.col("node").isNull().alias("_wordless")).distinct()
+    kept = named.join(first, "_row").withColumn("_own", F.when(no_id & F.col("_wordless"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_row", "_own"]).select(*docs.columns)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

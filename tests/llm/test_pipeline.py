@@ -75,6 +75,23 @@ def test_stages(spark, corpus, tokenizers_path):
         assert own[0].start == 0 and own[-1].start + own[-1].length == own[0].doc_tokens
 
 
+def test_near_duplicates_under_one_key(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(6)]
+    rows = [
+        (1, texts[0]), (1, texts[1]), (1, None), (1, texts[1]), (5, texts[0].upper()), (5, texts[2]), (None, texts[3]), (None, texts[3]),
+        (None, texts[3] + " zz"), (None, texts[4]), (None, texts[2]), (None, None), (None, None), (9, "!!"), (9, "!!"), (9, "??"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    threes = [r for r in got if r[1] and r[1].startswith(texts[3])]
+    assert len(threes) == 1
+    want = [(1, texts[0]), (1, texts[1]), (1, None), (5, texts[2]), (None, texts[4]), (None, None), (None, None), (9, "!!"), (9, "??")]
+    assert sorted(got, key=repr) == sorted(want + threes, key=repr)
+
+
 def test_run_is_the_stages_in_order(spark, corpus, tokenizers_path):
     import corpus_pipeline
 
