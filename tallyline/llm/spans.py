@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
 A sentence ends at a stop, a line's end, or before a capitalised word, as passages
-are often pasted into the middle of a sentence; very long ones are cut at words picked
-by checksum. The shortest run of two or more sentences with ``least_words`` words from
+are often pasted into the middle of a sentence; all are cut further at words picked
+by checksum, and what lies between two cuts counts as a sentence below. The shortest run of two or more sentences with ``least_words`` words from
 each sentence, and the shortest to each sentence, are hashed. Equal hashes of all
 documents meet in one aggregate, which keeps the first occurrence (smallest key, then
 place); every other one is joined back and the sentences that it covers are removed.
@@ -29,19 +29,28 @@ from tallyline.llm.common import free_name, materialise, without_gc
 
 BOUND = re.compile(r"(?<=[.!?…|:;])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ])|(?<=[。！？])")
 LEAST_WORDS = 16
-#: A sentence of more words is cut further, after words that their checksum picks, so that passages without stops have places to begin and end.
-LONG = 40
-_WORD = re.compile(r"\S+\s*")
+#: Sentences are cut further after one word in so many, picked by its checksum: host text that runs into a passage then moves no cut within it.
+CUT = 8
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+class _Picked(dict):
+    """Whether a cut follows, by word; holds a bounded number of words."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 50_000:
+            self.clear()
+        picked = self[word] = zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0
+        return picked
+
+
+_picked = _Picked()
 
 
 def _cut(sentence: str) -> list[str]:
-    out, held = [], []
-    for word in _WORD.findall(sentence):
-        held.append(word)
-        if zlib.crc32(word.strip().lower().encode()) % 8 == 0:
-            out.append("".join(held))
-            held = []
-    return [*out, "".join(held)] if held else out
+    found = _WORD.findall(sentence)
+    cuts = [k for k, word in enumerate(found[:-1], 1) if _picked[word]]
+    return ["".join(found[i:j]) for i, j in zip([0, *cuts], [*cuts, len(found)], strict=True)] if cuts else [sentence]
 
 
 def sentences(text: str) -> list[str]:
@@ -51,7 +60,12 @@ def sentences(text: str) -> list[str]:
     if found[0] and found[0][0].isspace():  # white space before the first word belongs to it
         lead = len(found[0]) - len(found[0].lstrip())
         return [text[:lead] + s if i == 0 else s for i, s in enumerate(sentences(text[lead:]))] or [text]
-    return [p for s in found if s for p in (_cut(s) if s.count(" ") > LONG else (s,))]
+    return [s for s in found if s]
+
+
+def pieces(text: str) -> list[str]:
+    """The sentences, cut by content; together they are the text."""
+    return [p for s in sentences(text) for p in _cut(s)]
 
 
 def _measured(parts: list[str]) -> tuple[list[str], list[int]]:
@@ -126,7 +140,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
             for batch in batches:
                 at, first, stop, hashes = [], [], [], []
                 for k, value in enumerate(batch.column(2).to_pylist()):
-                    for i, j, h in covering_runs(sentences(value), least_words) if value else ():
+                    for i, j, h in covering_runs(pieces(value), least_words) if value else ():
                         at.append(k)
                         first.append(i)
                         stop.append(j)
@@ -150,7 +164,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, removed_name: str | None = None) -> DataFrame:
-    """docs with repeated spans taken out of the text; removed_name adds a column with the number of sentences removed."""
+    """docs with repeated spans taken out of the text; removed_name adds a column with the number of sentences removed, as a whole or in part."""
     bits = repeated(spans(docs, key, text, least_words)).distinct()
     drop, mark = free_name(docs.columns, "_drop"), free_name(docs.columns, "_row")
     cover = bits.groupBy(F.col("row").alias(mark)).agg(F.collect_list(F.struct("first", "stop")).alias(drop))
@@ -165,12 +179,13 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for value, ranges in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 n = 0
                 if ranges:
-                    parts = sentences(value)
-                    kept = [True] * len(parts)
+                    cut = [_cut(s) for s in sentences(value)]
+                    kept = [True] * sum(map(len, cut))
                     for r in ranges:
                         kept[r["first"] : r["stop"]] = [False] * (r["stop"] - r["first"])
-                    n = len(kept) - sum(kept)
-                    value = "".join(p for p, k in zip(parts, kept, strict=True) if k).strip()
+                    left = iter(kept)
+                    n = sum([not all([next(left) for _ in parts]) for parts in cut])
+                    value = "".join(p for p, k in zip([p for parts in cut for p in parts], kept, strict=True) if k).strip()
                 texts.append(value)
                 gone.append(n)
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : width], pa.array(gone, pa.int32())]

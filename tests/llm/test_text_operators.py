@@ -141,6 +141,17 @@ def test_texts_under_one_key_are_documents_of_their_own(spark, key):
     assert got == collections.Counter([(1, first, 0), (key, " ".join(own[0]), 3), (key, " ".join(own[0]), 3), (key, rows[2][1], 0), (key, rows[3][1], 0), (key, None, 0), (key, "", 0)])
 
 
+@pytest.mark.parametrize("blank", [" ", "\t"])
+def test_cuts_do_not_depend_on_the_host(spark, blank):
+    rng = random.Random(31)
+    passage = [*words(rng, 29), "end.", *words(rng, 24), "stop."]
+    rows = [(i, blank.join([*words(rng, 8), *passage])) for i in range(4)]
+    assert all("".join(spans.pieces(t)) == t for t in [rows[0][1], "日本。 語が b c d e f g h i j k。 ", "\ta  b\tc " * 30])
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(8 <= len(got[i].split()) < 32 for i in range(1, 4))
+
+
 # WARC -------------------------------------------------------------------------
 
 
