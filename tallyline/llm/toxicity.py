@@ -3,8 +3,8 @@
 A word enters as an embedding of its own (hashed) beside one summed over its
 character n-grams (hashed, two to five characters, word edges marked). Two gated
 recurrent layers read a window of words in either direction, attention pools their
-states, a logistic unit scores the window. Every text is covered by overlapping
-windows, all of them are scored, and the text's score is that of its worst window.
+states, a logistic unit scores the window. Every text is covered by windows that
+overlap by half, all of them are scored, and the text's score is that of its worst window.
 The network is trained in numpy; in training a text's windows share its label by a
 log-sum-exp, so that the windows at fault are found without being marked.
 
@@ -83,7 +83,7 @@ class WordTable:
 class GatedNetwork:
     """The network; its size is fixed by the constructor's parameters, whatever it learns from."""
 
-    def __init__(self, buckets: int = 1 << 15, char_dim: int = 8, word_dim: int = 4, hidden: int = 6, window: int = 24, step: int = 20, seed: int = 7):
+    def __init__(self, buckets: int = 1 << 15, char_dim: int = 8, word_dim: int = 4, hidden: int = 6, window: int = 24, step: int = 12, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.buckets, self.hidden, self.window, self.step = buckets, hidden, window, step
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)

@@ -130,3 +130,11 @@ def test_gradients_match_differences():
         down = loss()
         flat[k] = before
         assert abs((up - down) / 2e-2 - np.asarray(grads[name]).reshape(-1)[k]) < 5e-3, name
+
+
+def test_half_a_window_lies_whole_in_some_window():
+    model = toxicity.GatedNetwork()
+    for count in (1, 13, 24, 25, 47, 200):
+        start, length, _ = model.windows(np.array([count]))
+        size = min(13, count)
+        assert all(any(a <= i and i + size <= a + n for a, n in zip(start, length, strict=True)) for i in range(count - size + 1))
