@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,39 @@ def ranges(texts, max_bytes: int = 16_000_000) -> Iterator[tuple[int, int]]:
         low = high
 
 
+#: Bytes of an Arrow batch on its way to Python; Spark's own bound (64 MB) takes several times that in both processes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARKS_BOUND, OWN_BOUND = "67108864b", "4m"
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable], Iterator], schema: Any) -> DataFrame:
+    """df.mapInArrow(run, schema) on batches of about 4 MB, unless the session sets a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == SPARKS_BOUND:
+        conf.set(BATCH_BYTES, OWN_BOUND)
+    return df.mapInArrow(run, schema)
+
+
+_made: dict[str, tuple[Any, Any]] = {}
+
+
+def per_worker(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by a Python worker from task to task; of each kind the last one."""
+    if kind not in _made or _made[kind][0] != key:
+        _made.pop(kind, None)
+        _made[kind] = key, make()
+    return _made[kind][1]
+
+
+def task_threads() -> int:
+    """CPUs of the running task: native libraries may use as many threads."""
+    context = TaskContext.get()
+    threads = context.cpus() if context else os.cpu_count() or 1
+    if context:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # read by the tokenizers library when it first encodes
+    return threads
+
+
 def _give_back() -> None:
     """Returns freed memory to the system, where the allocators can."""
     import ctypes

@@ -5,9 +5,10 @@ normaliser (compiled character map, extra white space, dummy prefix), the metasp
 marker, the scores (of a unigram model as they are, of a byte-pair model as the order of its
 merges) and byte fallback. Batches are encoded and decoded by the library's threads.
 
-Pieces never hold the marker after another character (checked when a model is
-loaded), so a text's ids are those of its words; each distinct word of a batch is
-encoded once, and its ids are compared with the sentencepiece library's.
+Where pieces never hold the marker after another character (checked when a model is
+loaded), a text's ids are those of its words, and each distinct word is encoded and decoded once;
+with other models whole texts are encoded. Each text's ids are compared with those that the sentencepiece
+library gives the whole text. The libraries use as many threads as a task has CPUs.
 
 Defined results: null and empty texts have no ids and decode to an empty text. Texts
 with white space other than single blanks and line ends are encoded whole. Repeated rows
@@ -17,9 +18,7 @@ are encoded one by one; the other columns are passed on.
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, gather, ranges, without_gc
+from tallyline.llm.common import arrow_texts, gather, map_arrow, per_worker, ranges, task_threads, without_gc
 from tallyline.llm.packing import IRREGULAR
+from tallyline.llm.words import WordStore, joined
 
 MARK = "▁"
 #: Numbers of the protobuf's piece types and model types.
@@ -89,8 +89,11 @@ class PieceModel:
             raise ValueError(f"a SentencePiece model of type {self.kind} has no counterpart in tokenizers")
 
     def cuts_at_marks(self) -> bool:
-        """Whether no piece goes on from another character to a marker, or over a line end."""
-        return not self.charsmap and self.escape and self.dummy_prefix and not any(MARK in p[0].lstrip(MARK) or "\n" in p[0] for p in self.pieces)
+        """Whether no piece goes on from another character to a marker, or over a line end.
+
+        Without byte fallback unknown characters on both sides of a cut would be one piece.
+        """
+        return self.byte_fallback and not self.charsmap and self.escape and self.dummy_prefix and not any(MARK in p[0].lstrip(MARK) or "\n" in p[0] for p in self.pieces)
 
     def model(self):
         from tokenizers import models
@@ -130,79 +133,80 @@ class PieceModel:
 class PieceCodec:
     """Encodes and decodes batches; compares what it encodes with the sentencepiece library, if ``verify``."""
 
-    def __init__(self, data: bytes, verify: bool = True, max_words: int = 300_000):
+    def __init__(self, data: bytes, verify: bool = True, max_bytes: int = 16_000_000):
         from tokenizers import Tokenizer
 
+        self.threads = task_threads()
         self.spec = PieceModel(data)
         self.whole, self.bare = self.spec.tokenizer(), Tokenizer(self.spec.model())
-        self.cut = self.spec.cuts_at_marks()
-        self.max_words = max_words
-        self.kept: dict[str, tuple[bytes, str]] = {}  # ids as 32-bit integers, and the text they decode to
         self.bare.decoder = self.spec.decoder(strip=False)
-        self.wrong: set[str] = set()
+        self.cut = self.spec.cuts_at_marks()
+        self.store = WordStore(self._ids_of_words, max_bytes)
+        self.said = pa.array([], pa.string())  # what the ids of each word in the store decode to
         self.judge = None
         if verify:
             import sentencepiece
 
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def _texts(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        found = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch(texts, add_special_tokens=False), strict=True)]
-        return found, [a == b for a, b in zip(found, self.judge.encode(texts), strict=True)] if self.judge and texts else [True] * len(texts)
-
-    def _words(self, words: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of words, those after a line end with its byte, and what they decode to; words on which sentencepiece disagrees are noted."""
-        kept = self.kept
-        if len(kept) > self.max_words:
-            kept.clear()
-            self.wrong.clear()
-        new = [w for w in words if w not in kept]
-        for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
-            encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
-            found = [e.ids for e in encode([w if w[0] == "\n" else MARK + w for w in some], add_special_tokens=False)]
-            if self.judge:
-                self.wrong.update(w for w, a, b in zip(some, found, self.judge.encode(some), strict=True) if a != (b[1:] if w[0] == "\n" else b))
-            texts = self.bare.decode_batch(found, skip_special_tokens=False)
-            kept.update((w, (array("I", ids).tobytes(), text)) for w, ids, text in zip(some, found, texts, strict=True))
-        return [kept[w] for w in words]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """All ids, the number of each text's, by text whether sentencepiece agrees, and what its ids decode to.
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """words: as they follow the marker, or a line end with what follows it."""
+        encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        found = [e.ids for e in encode([w if w[:1] == "\n" else MARK + w for w in words.to_pylist()], add_special_tokens=False)]
+        self.new.append(pa.array(self.bare.decode_batch(found, skip_special_tokens=False), pa.string()))
+        return joined(found)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        self.new: list[pa.Array] = []
+        places = self.store.places(words)
+        self.said = pa.concat_arrays([self.said.slice(0, len(self.store.words) - sum(map(len, self.new))), *self.new])
+        return places
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids, their number by text and the decoded texts, by words.
 
         Bytes of one character never lie in two words, so the words' decoded texts make up the text's.
         """
-        decoded = [""] * len(texts)
-        odd = pc.or_(pc.match_substring_regex(texts, IRREGULAR), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
-        own, rest = np.flatnonzero(~odd if self.cut else odd & False), np.flatnonzero(odd | (not self.cut))
-        ids, lengths, same = np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=bool)
-        if len(own):
-            lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(own)), "\n", " \n"), " ")
-            chunks = lists.flatten().dictionary_encode()
-            words = chunks.dictionary.to_pylist()
-            found = self._words(words)
-            sizes = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found)) // 4
-            flat = np.frombuffer(b"".join(f[0] for f in found), dtype=np.uint32)
-            index = chunks.indices.to_numpy(zero_copy_only=False)
-            ids, each = gather(flat, np.cumsum(sizes) - sizes, sizes, index)
-            stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            lengths[own] = np.diff(np.concatenate([[0], np.cumsum(each)])[stops], prepend=0)
-            said, places, low = [f[1] for f in found], index.tolist(), 0
-            for row, high in zip(own.tolist(), stops.tolist(), strict=True):
-                decoded[row] = "".join([said[k] for k in places[low:high]]).removeprefix(" ")
-                low = high
-            wrong = np.concatenate([[0], np.cumsum(np.fromiter((w in self.wrong for w in words), dtype=bool, count=len(words))[index])])
-            same[own] = np.diff(wrong[stops], prepend=0) == 0
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        chunks = lists.flatten().dictionary_encode()
+        index = self._places(chunks.dictionary)[chunks.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.store.sizes.astype(np.int64)
+        ids, each = gather(self.store.flat, np.cumsum(sizes) - sizes, sizes, index)
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        lengths = np.diff(np.concatenate([[0], np.cumsum(each)])[stops], prepend=0)
+        words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), self.said.take(pa.array(index)))
+        decoded = pc.binary_join(words, "")
+        return ids, lengths, pc.if_else(pc.starts_with(decoded, " "), pc.utf8_slice_codeunits(decoded, 1), decoded)
+
+    def agrees(self, texts: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """By text, whether the sentencepiece library gives it the same ids."""
+        if not self.judge or not len(texts):
+            return np.ones(len(texts), dtype=bool)
+        others, counts = joined(self.judge.encode(texts.to_pylist(), num_threads=self.threads))
+        same = counts == lengths
+        if same.all():
+            wrong = np.concatenate([[0], np.cumsum(others != ids)])
+            stops = np.cumsum(lengths)
+            return wrong[stops] == wrong[stops - lengths]
+        stops, own = np.cumsum(counts), np.cumsum(lengths)
+        return np.array([s and np.array_equal(others[i - n : i], ids[j - n : j]) for s, n, i, j in zip(same, counts, stops, own, strict=True)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """All ids, the number of each text's, by text whether sentencepiece agrees, and what its ids decode to."""
+        regular = pc.invert(pc.or_(pc.match_substring_regex(texts, IRREGULAR), pc.equal(texts, ""))) if self.cut else pa.array(np.zeros(len(texts), dtype=bool))
+        own, rest = texts.filter(regular), texts.filter(pc.invert(regular))
+        ids, sizes, decoded = self._regular(own) if len(own) else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), own)
         if len(rest):
-            found, agree = self._texts(texts.take(pa.array(rest)).to_pylist())
-            for row, text in zip(rest.tolist(), self.decode(found), strict=True):
-                decoded[row] = text
-            starts = np.zeros(len(texts), dtype=np.int64)
-            starts[own] = np.cumsum(lengths[own]) - lengths[own]
-            lengths[rest], same[rest] = [len(f) for f in found], agree
-            starts[rest] = len(ids) + np.cumsum(lengths[rest]) - lengths[rest]
-            ids, _ = gather(np.concatenate([ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32)]), starts, lengths, np.arange(len(texts)))
-        return ids, lengths, same, decoded
+            plain = rest.to_pylist()
+            found = [e.ids if t else [] for t, e in zip(plain, self.whole.encode_batch(plain, add_special_tokens=False), strict=True)]
+            more, counts = joined(found)
+            at = regular.to_numpy(zero_copy_only=False)
+            back = np.empty(len(at), dtype=np.int64)
+            back[np.concatenate([np.flatnonzero(at), np.flatnonzero(~at)])] = np.arange(len(at))
+            sizes = np.concatenate([sizes, counts])
+            decoded = pa.concat_arrays([decoded, pa.array(self.decode(found), pa.string())]).take(pa.array(back))
+            ids, sizes = gather(np.concatenate([ids, more]), np.cumsum(sizes) - sizes, sizes, back)
+        return ids, sizes, self.agrees(texts, ids, sizes), decoded
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -217,15 +221,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = True)
     schema = docs.select("*", F.lit(b"").alias("piece_ids"), F.lit(0).cast("long").alias("n_pieces"), F.lit("").alias("decoded"), F.lit(True).alias("parity")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = per_worker("pieces", (hash(data), verify), lambda: PieceCodec(data, verify))
         with without_gc():
-            codec = PieceCodec(data, verify)
             for batch in batches:
                 texts = arrow_texts(batch.column(at))
-                for low, high in ranges(texts, 4_000_000):
+                for low, high in ranges(texts, 2_000_000):
                     ids, lengths, same, decoded = codec.encode(texts.slice(low, high - low))
-                    stops = np.cumsum(lengths)
-                    own = [ids[s - n : s].astype("<u4") for s, n in zip(stops, lengths, strict=True)]
-                    added = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lengths), pa.array(decoded, pa.string()), pa.array(same)]
+                    ends = np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int32)
+                    packed = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+                    added = [packed, pa.array(lengths), decoded, pa.array(same)]
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(width)), *added], names=[*batch.schema.names, "piece_ids", "n_pieces", "decoded", "parity"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
