@@ -15,8 +15,9 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, gather, ranges, without_gc
+from tallyline.llm.common import arrow_texts, gather, map_arrow, per_worker, ranges, task_threads, without_gc
+from tallyline.llm.words import WordStore, joined
 
 #: Blanks and line ends cut a text where each stands alone between other characters; other texts are encoded whole.
 IRREGULAR = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -39,76 +41,85 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in same else chr(next(rest)) for b in range(256)}
 
 
+def _cuts_at_blanks(spec: dict) -> bool:
+    """Whether the tokenizer's file says what the cuts at blanks, line ends, stops and commas rely on."""
+    before = spec.get("pre_tokenizer") or {}
+    model = spec.get("model") or {}
+    return (
+        before.get("type") == "ByteLevel"
+        and before.get("use_regex") is True
+        and before.get("add_prefix_space") is False
+        and spec.get("normalizer") is None
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", []))
+    )
+
+
 class ChunkEncoder:
-    """Whole texts to ids, the tokenizer called once for each distinct word of a batch.
+    """Whole texts to ids, exactly the tokenizer's own, most of them by distinct words.
 
     The byte-level pre-tokenizer puts a border before each single blank, on both sides
     of a single line end, and between letters and the stops and commas that end a
-    word. So the ids of a text are those of its words, found in Arrow's dictionary.
-    Words of letters alone are one pre-token each and skip the pre-tokenizer. The
-    ids of a bounded number of words are kept from batch to batch.
+    word. So the ids of a text are those of its words, found in Arrow's dictionary, and
+    the tokenizer is called once for each distinct word. Words of letters alone are one pre-token
+    each and skip the pre-tokenizer. Texts with other white space or with an added token of the
+    tokenizer are encoded whole, as are all texts if the tokenizer's file names another
+    pre-tokenizer, a normaliser, or a post-processor.
     """
 
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_bytes: int = 16_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.threads = task_threads()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.bare = Tokenizer(self.tokenizer.model)
         self.letters = byte_letters()
-        self.max_words = max_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        self.by_words = _cuts_at_blanks(spec)
+        self.odd = "|".join([IRREGULAR, *(re.escape(t["content"]) for t in spec["added_tokens"])])
+        self.store = WordStore(self._ids_of_words, max_bytes)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for k in range(0, len(texts), 10_000) for e in encode(texts[k : k + 10_000], add_special_tokens=False)]
-
-    def _units(self, words: list[str], plain: np.ndarray) -> np.ndarray:
-        """Places of words in the store, each with the blank before it where it has one; plain: those of letters alone."""
-        if len(self.at) > self.max_words:
-            self._forget()
-        at, new = self.at, []
-        for k, w in enumerate(words):
-            if w not in at:
-                at[w] = len(at)
-                new.append(k)
-        plain = plain[new].tolist()
-        for low in range(0, len(new), 20_000):
-            some, bare = [words[k] for k in new[low : low + 20_000]], plain[low : low + 20_000]
-            mapped = "\n".join(w for w, p in zip(some, bare, strict=True) if p).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-            encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
-            one = iter(encode(mapped, add_special_tokens=False))
-            other = iter(self._whole([w for w, p in zip(some, bare, strict=True) if not p]))
-            found = [next(one).ids if p else next(other) for p in bare]
-            self.sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-            self.flat.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32))
-        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        return np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """words: each with the blank before it where it has one."""
+        plain = pc.utf8_is_alpha(pc.utf8_ltrim(words, " ")).to_numpy(zero_copy_only=False)
+        mapped = "\n".join(words.filter(pa.array(plain)).to_pylist()).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        letters = [e.ids for e in encode(mapped, add_special_tokens=False)] if plain.any() else []
+        flat, sizes = joined(letters + self._whole(words.filter(pa.array(~plain)).to_pylist()))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return gather(flat, np.cumsum(sizes) - sizes, sizes, back)
 
     def encode(self, texts: list[str] | pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's; ``end``, unless None, follows each text."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         lengths = np.zeros(len(texts), dtype=np.int64)
-        odd = pc.or_(pc.match_substring_regex(texts, IRREGULAR), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(texts, "")).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), dtype=bool)
         own, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
         ids, sizes = self._regular(texts.take(pa.array(own))) if len(own) else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
         lengths[own] = sizes
         if len(rest):
-            whole = self._whole(texts.take(pa.array(rest)).to_pylist())
-            lengths[rest] = [len(x) for x in whole]
+            others, lengths[rest] = joined(self._whole(texts.take(pa.array(rest)).to_pylist()))
             starts = np.zeros(len(texts), dtype=np.int64)
             starts[own] = np.cumsum(sizes) - sizes
             starts[rest] = len(ids) + np.cumsum(lengths[rest]) - lengths[rest]
-            ids, _ = gather(np.concatenate([ids, np.array([i for x in whole for i in x], dtype=np.uint32)]), starts, lengths, np.arange(len(texts)))
+            ids, _ = gather(np.concatenate([ids, others]), starts, lengths, np.arange(len(texts)))
         if end is None:
             return ids, lengths
-        return np.insert(ids, np.cumsum(lengths), end).astype(np.uint32), lengths + 1
+        closed = np.full(len(ids) + len(lengths), end, dtype=np.uint32)
+        inner = np.ones(len(closed), dtype=bool)
+        inner[np.cumsum(lengths + 1) - 1] = False
+        closed[inner] = ids
+        return closed, lengths + 1
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
@@ -116,25 +127,23 @@ class ChunkEncoder:
         chunks = lists.flatten().dictionary_encode()
         words = chunks.dictionary
         lead, text = pc.utf8_slice_codeunits(words, 0, 1), pc.utf8_slice_codeunits(words, 1)
-        line = pc.equal(lead, LINE).to_numpy(zero_copy_only=False)
-        blank = pc.invert(pc.or_(pc.equal(lead, LINE), pc.equal(lead, FIRST)))
+        line = pc.equal(lead, LINE)
+        blank = pc.invert(pc.or_(line, pc.equal(lead, FIRST)))
         text = pc.if_else(blank, words, text)
-        core = pc.utf8_rtrim(text, ".,")
-        plain = pc.utf8_is_alpha(core)
-        core = pc.if_else(plain, core, text)
-        cut = pc.utf8_length(core).to_numpy(zero_copy_only=False)
-        tails = np.where(cut == pc.utf8_length(text).to_numpy(zero_copy_only=False), 0, 1 + pc.ends_with(text, ",").to_numpy(zero_copy_only=False))
-        tails = np.array(["", ".", ","], dtype=object)[tails]
-        for k in np.flatnonzero(pc.utf8_length(text).to_numpy(zero_copy_only=False) - cut > 1):
-            tails[k] = text[int(k)].as_py()[cut[k] :]
+        trimmed = pc.utf8_rtrim(text, ".,")
+        core = pc.if_else(pc.utf8_is_alpha(trimmed), trimmed, text)
+        over = (pc.binary_length(text).to_numpy(zero_copy_only=False) - pc.binary_length(core).to_numpy(zero_copy_only=False)).astype(np.int64)
+        stops = [LINE, "", ".", ","]
+        tail = np.where(over == 0, 1, 2 + pc.ends_with(text, ",").to_numpy(zero_copy_only=False))
+        for k in np.flatnonzero(over > 1):  # runs of stops and commas are rare
+            tail[k] = len(stops)
+            stops.append(text[int(k)].as_py()[-int(over[k]) :])
         cores = pc.if_else(blank, pc.binary_join_element_wise(" ", core, ""), core).dictionary_encode()
-        letters = pc.utf8_is_alpha(pc.utf8_ltrim(cores.dictionary, " ")).to_numpy(zero_copy_only=False)
-        stops = sorted({"\n", "", *tails})
-        unit = self._units(cores.dictionary.to_pylist() + stops, np.concatenate([letters, np.zeros(len(stops), dtype=bool)]))
-        stop = dict(zip(stops, unit[len(letters) :], strict=True))
-        parts = np.stack([np.where(line, stop["\n"], stop[""]), unit[cores.indices.to_numpy(zero_copy_only=False)], np.array([stop[t] for t in tails])], axis=1)
-        sizes = self.sizes[0]
-        flat, each = gather(self.flat[0], np.cumsum(sizes) - sizes, sizes, parts.ravel())
+        unit = self.store.places(pa.concat_arrays([cores.dictionary, pa.array(stops, pa.string())]))
+        stop = unit[len(cores.dictionary) :]
+        parts = np.stack([np.where(line.to_numpy(zero_copy_only=False), stop[0], stop[1]), unit[cores.indices.to_numpy(zero_copy_only=False)], stop[tail]], axis=1)
+        sizes = self.store.sizes.astype(np.int64)
+        flat, each = gather(self.store.flat, np.cumsum(sizes) - sizes, sizes, parts.ravel())
         sizes = each.reshape(-1, 3).sum(axis=1)
         ids, own = gather(flat, np.cumsum(sizes) - sizes, sizes, chunks.indices.to_numpy(zero_copy_only=False))
         per_text = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -220,31 +229,41 @@ class Packer:
         self.open = [[] for _ in range(self.size + 1)]
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 0, max_bytes: int = 5_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 0, max_bytes: int = 4_000_000) -> DataFrame:
     """A row per piece: key, start, length, doc_tokens, sequence_id, offset, padded_to, ids (little-endian, unsigned, 32 bits each).
 
     padded_to is the sequence's length in the output: its own where that is a power
     of two, else ``size``. sequence_id holds the task's number in its upper 31 bits.
     """
 
-    def rows(packer: Packer, base: int, at: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        while packer.closed:
-            some, packer.closed = packer.closed[:1024], packer.closed[1024:]
-            out: list[list] = [[] for _ in range(8)]
-            for window in some:
-                offset, length = 0, sum(len(p[2]) for p in window)
-                for name, start, ids, n in window:
-                    for column, x in zip(out, (name, start, len(ids), n, base + at, offset, length if length & (length - 1) == 0 else size, ids.tobytes()), strict=True):
-                        column.append(x)
-                    offset += len(ids)
-                at += 1
-            kinds = [kind, *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_to", "ids"])
+    def rows(windows: list[list], first: int, kind: pa.DataType) -> pa.RecordBatch:
+        """The pieces of closed windows, which are numbered from ``first`` on."""
+        pieces = [p for window in windows for p in window]
+        number = np.repeat(np.arange(first, first + len(windows)), [len(w) for w in windows])
+        length = np.fromiter((len(p[2]) for p in pieces), dtype=np.int64, count=len(pieces))
+        before = np.cumsum(length) - length
+        opens = np.flatnonzero(np.diff(number, prepend=first - 1))
+        filled = np.add.reduceat(length, opens)[number - first]
+        padded = np.where(filled & (filled - 1), size, filled)
+        data = np.concatenate([p[2] for p in pieces]).astype("<u4")
+        ends = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        start, tokens = (np.fromiter((p[k] for p in pieces), dtype=np.int64, count=len(pieces)) for k in (1, 3))
+        columns = [pa.array([p[0] for p in pieces], kind), *map(pa.array, (start, length, tokens, number, before - before[opens][number - first], padded)), ids]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_to", "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, packer = per_worker("packing", tokenizer, lambda: ChunkEncoder(tokenizer)), Packer(size)
+        at, kind = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            while packer.closed:
+                some, packer.closed = packer.closed[:512], packer.closed[512:]
+                yield rows(some, at, kind)
+                at += len(some)
+
         with without_gc():
-            encoder, packer = ChunkEncoder(tokenizer), Packer(size)
-            base, at, kind = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0, None
             for batch in batches:
                 kind = batch.column(0).type
                 keys, texts = batch.column(0).to_pylist(), arrow_texts(batch.column(1))
@@ -252,13 +271,11 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     ids, lengths = encoder.encode(texts.slice(low, high - low), end)
                     stop = np.cumsum(lengths)
                     for k in range(low, high):
-                        packer.add(keys[k], ids[stop[k - low] - lengths[k - low] : stop[k - low]].astype("<u4"))
-                    n = len(packer.closed)
-                    yield from rows(packer, base, at, kind)
-                    at += n
+                        packer.add(keys[k], ids[stop[k - low] - lengths[k - low] : stop[k - low]])
+                    yield from closed()
             packer.finish()
-            if packer.closed:
-                yield from rows(packer, base, at, kind)
+            yield from closed()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_to long, ids binary").withColumnRenamed("key", key)
+    schema = f"key {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_to long, ids binary"
+    return map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema).withColumnRenamed("key", key)

@@ -9,7 +9,7 @@ import pytest
 
 from tallyline.llm import packing, pieces
 
-TEXTS = ["", " ", "a", "Hello, world. It's U.S. 1,000.5!", "a  b\n\n c \n d\x1cx  y  ", "line one.\nLine two, end", "\nab\ncd\n", "😀 日本語. ñandú, ", "<|endoftext|> x", ".a ,b.", "½. ²x a.b", "word " * 3000, "x" * 20000, "Tab\there", "a​b \u0085"]
+TEXTS = ["", " ", "a", "Hello, world. It's U.S. 1,000.5!", "a  b\n\n c \n d\x1cx  y  ", "line one.\nLine two, end", "\nab\ncd\n", "😀 日本語. ñandú, ", "<|endoftext|> x", "x <|endoftext|> y <|endoftext|", "a<|endoftext|>\nb", ".a ,b.", "½. ²x a.b", "word " * 3000, "x" * 20000, "Tab\there", "a​b \u0085"]
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +17,11 @@ def plain(tokenizers_path):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return lambda text: made.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_whole_texts(tokenizers_path, plain):
-    encoder = packing.ChunkEncoder(tokenizers_path("byte_bpe_50k.json"), max_words=5)
+    encoder = packing.ChunkEncoder(tokenizers_path("byte_bpe_50k.json"), max_bytes=100)
     for _ in range(2):
         ids, lengths = encoder.encode(TEXTS, None)
         stops = np.cumsum(lengths)
@@ -31,6 +30,17 @@ def test_ids_are_those_of_whole_texts(tokenizers_path, plain):
     assert lengths.tolist() == [len(plain("a")) + 1, 1] and ids[-1] == 0
 
 
+def test_other_tokenizers_encode_whole_texts(tokenizers_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_path("word_bpe_49k.json")
+    encoder, other = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_words
+    ids, lengths = encoder.encode(TEXTS, None)
+    stops = np.cumsum(lengths)
+    assert [ids[s - n : s].tolist() for s, n in zip(stops, lengths, strict=True)] == [other.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 def test_level_minimises_squares():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -102,12 +112,39 @@ def _message(*parts):
     return out
 
 
+def _model(kind, fallback, more):
+    named = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *more, ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -4.0, 1), ("▁ab", -5.0, 1), ("ba", -4.5, 1)]
+    data = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in named)
+    return data + _message((2, _message((3, kind), (35, fallback), (40, 0))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_unknown_characters_on_both_sides_of_a_line_end(kind):
+    import sentencepiece
+
+    data = _model(kind, 0, [])
+    codec = pieces.PieceCodec(data)
+    texts = ["abX\nYab", "X\nY Z", "ab ab"]
+    ids, lengths, same, _ = codec.encode(pa.array(texts))
+    stops = np.cumsum(lengths)
+    assert not codec.cut and same.all()
+    assert [ids[s - n : s].tolist() for s, n in zip(stops, lengths, strict=True)] == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
+
+
+def test_parity_is_judged_on_whole_texts(tokenizers_path):
+    codec = pieces.PieceCodec(open(tokenizers_path("piece_bpe_32k.model"), "rb").read())
+    texts = pa.array(["one two", "three", "", "one two"])
+    ids, lengths, same, _ = codec.encode(texts)
+    assert same.all()
+    ids[0] += 1
+    assert codec.agrees(texts, ids, lengths).tolist() == [False, True, True, True]
+    assert codec.agrees(texts, ids[1:], lengths - [1, 0, 0, 0]).tolist() == [False, True, True, True]
+
+
 def test_unigram_models_with_byte_fallback():
     import sentencepiece
 
-    named = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -4.0, 1), ("▁ab", -5.0, 1), ("ba", -4.5, 1)]
-    data = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in named)
-    data += _message((2, _message((3, 1), (35, 1), (40, 0))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    data = _model(1, 1, [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)])
     codec = pieces.PieceCodec(data)
     assert codec.spec.kind == pieces.UNIGRAM and codec.spec.byte_fallback
     texts = ["ab ba", "abba é", "a\nb", "", " ab"]
@@ -115,7 +152,7 @@ def test_unigram_models_with_byte_fallback():
     judge = sentencepiece.SentencePieceProcessor(model_proto=data)
     stops = np.cumsum(lengths)
     own = [ids[s - n : s].tolist() for s, n in zip(stops, lengths, strict=True)]
-    assert own == judge.encode(texts) and same.all() and codec.decode(own) == said == texts
+    assert own == judge.encode(texts) and same.all() and codec.decode(own) == said.to_pylist() == texts
 
 
 def test_crc_of_ids():
