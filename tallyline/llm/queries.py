@@ -20,7 +20,7 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model)
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -9,7 +9,8 @@ The network is trained in numpy; in training a text's windows share its label by
 log-sum-exp, so that the windows at fault are found without being marked.
 
 Defined results: null and empty texts and texts without a word score 0; repeated rows are
-scored one by one. Without labels of both kinds every score is 0. A null key is held out.
+scored one by one. Without labels of both kinds every score is 0. A null key is held out. Other
+columns are passed on; one that has the name of the score raises ValueError.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, ranges, remainder, unit_hash, without_gc, word_ids
+from tallyline.llm.common import arrow_texts, discard_frames, map_arrow, materialise, ranges, remainder, unit_hash, without_gc, word_ids
 
 WORD = re.compile(r"\w+")
 GRAMS = (2, 3, 4, 5)
+#: Bytes of text scored at once.
+SLICE_BYTES = 4_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,7 +153,7 @@ class GatedNetwork:
     def score(self, texts: pa.Array) -> np.ndarray:
         """The worst window's probability by text."""
         out = np.zeros(len(texts))
-        for low, high in ranges(texts, 12_000_000) if self.trained else ():
+        for low, high in ranges(texts, SLICE_BYTES) if self.trained else ():
             ids, counts, words = word_ids(texts.slice(low, high - low), WORD)
             if not len(ids):
                 continue
@@ -263,32 +266,34 @@ class GatedNetwork:
         return grads
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", positives: int = 800, negatives: int = 1280, max_chars: int = 6000, **network) -> GatedNetwork:
-    """Fits on about that many rows of each label, chosen by a hash of the key.
+def learnable(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(key, label) of the keys that may be learned from: those with crc32(key) mod 3 other than 1; of several labels the largest."""
+    return labels.filter(F.col(label).isin(0, 1) & (remainder(key, 3) != 1)).groupBy(key).agg(F.max(label).alias(label))
 
-    Longer texts than max_chars, null texts and null labels are left out of the fit
-    (not of the scoring), so the driver receives a bounded sample. Rows are read in
-    order of the key, so equal tables give equal networks.
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 800, negatives: int = 1280, max_chars: int = 6000, **network) -> GatedNetwork:
+    """Fits on about that many keys of each label (one row a key in ``labels``), chosen by a hash of the key.
+
+    Longer texts than max_chars and null texts are left out of the fit (not of the
+    scoring); of texts that share a key the smallest counts. The driver receives the
+    chosen texts alone; to choose them only keys are shuffled, and the chosen keys, bounded by
+    the two numbers, are broadcast. Texts are learned in order of the key, so equal tables give equal networks.
     """
-    usable = labelled.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    held = {r[0]: r[1] for r in usable.groupBy(label).count().collect()}
+    usable = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
+    known = materialise(usable.select(key).distinct().join(labels.select(key, label), key), "labelled-keys")
+    held = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     model = GatedNetwork(**network)
-    if len(held) < 2:
-        return model
-    share = F.when(F.col(label) == 1, min(1.0, positives / held[1])).otherwise(min(1.0, negatives / held[0]))
-    rows = sorted(usable.filter(unit_hash(key) < share).select(key, text, label).collect())
-    model.train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    if len(held) == 2:
+        share = F.when(F.col(label) == 1, min(1.0, positives / held[1])).otherwise(min(1.0, negatives / held[0]))
+        chosen = F.broadcast(known.filter(unit_hash(key) < share))
+        rows = sorted(usable.select(key, text).join(chosen, key).groupBy(key, label).agg(F.min(text).alias(text)).select(key, text, label).collect())
+        model.train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    discard_frames(known)
     return model
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(key, text, label) of labelled documents that may be learned from: those with crc32(key) mod 3 other than 1."""
-    own = labels.select(key, label).filter(F.col(label).isNotNull() & (remainder(key, 3) != 1)).groupBy(key).agg(F.max(label).alias(label))
-    return docs.select(key, text).join(own, key)
-
-
 def score(docs: DataFrame, model: GatedNetwork, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of label 1 added as column ``name``."""
+    """docs with the probability of label 1 added as column ``name``; ValueError if the input has one of that name."""
     if name.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the input has a column named {name}; give another name")
     at = docs.columns.index(text)
@@ -297,7 +302,9 @@ def score(docs: DataFrame, model: GatedNetwork, text: str = "text", name: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_gc():
             for batch in batches:
-                found = model.score(arrow_texts(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+                texts = arrow_texts(batch.column(at))
+                for low, high in ranges(texts, SLICE_BYTES):
+                    found = model.score(texts.slice(low, high - low))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

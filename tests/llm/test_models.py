@@ -73,9 +73,11 @@ def test_toxicity_held_out(spark):
     rows = toxic_rows()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(5, None), (None, 1)], "doc_id long, toxic int")
-    learned = toxicity.labelled_documents(docs, labels)
+    learned = toxicity.learnable(labels)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in learned.collect())
-    model = toxicity.train(learned)
+    model = toxicity.train(docs, learned)
+    again = toxicity.train(docs.unionByName(docs.limit(50)), learned)  # repeated rows teach once
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
     scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     right = sum((scores[i] >= 0.7) == bool(bad) for i, _, bad in held)
@@ -88,7 +90,7 @@ def test_toxicity_held_out(spark):
     got = [r.score for r in toxicity.score(edges, model).collect()]
     assert got[:3] == [0, 0, 0] and got[3] == got[4] == got[5] > 0
     assert toxicity.score(edges.limit(0), model).count() == 0
-    unlabelled = toxicity.train(learned.limit(0))
+    unlabelled = toxicity.train(docs, learned.limit(0))
     assert {r.score for r in toxicity.score(edges, unlabelled).collect()} == {0.0}
 
 
