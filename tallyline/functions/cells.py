@@ -29,8 +29,20 @@ WIDE_NUMBER = r"^[+-]?[\p{Nd}_]*\.?[\p{Nd}_]*([eE][+-]?[\p{Nd}_]+)?$"
 _EXACT = Context(prec=28, rounding=ROUND_HALF_EVEN)
 
 
+def _visible(code: Column) -> Column:
+    return (code > 32) & (code < 127)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """The text without outer white space; what begins and ends with visible ASCII skips the pattern."""
+    bare = _visible(F.ascii(text)) & _visible(F.ascii(F.substring(text, -1, 1)))
+    return F.when(bare, text).otherwise(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
+
+
+def may_be_number(stripped: Column) -> Column:
+    """Whether the first character of a stripped text is one that a number can begin with: a digit, sign, point, underscore, or not ASCII."""
+    code = F.ascii(stripped)
+    return code.between(48, 57) | code.isin(43, 45, 46, 95) | (code > 127)
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -87,22 +99,37 @@ def _fits(text: Column) -> Column:
     return (fraction - exponent <= 18) & (whole + exponent <= 20) & ~text.rlike(r"[eE][+-]?[0-9]{7,}$")
 
 
-def needs_python(text: Column) -> Column:
+def needs_python(text: Column, stripped: bool = False) -> Column:
     """Whether a text may hold a number that only the slow path reads exactly."""
-    t = strip(text)
-    return t.rlike(WIDE_NUMBER) & t.rlike(r"\p{Nd}") & ~F.coalesce(t.rlike(NUMBER) & _fits(t), F.lit(False))
+    t = text if stripped else strip(text)
+    return may_be_number(t) & t.rlike(WIDE_NUMBER) & t.rlike(r"\p{Nd}") & ~F.coalesce(t.rlike(NUMBER) & _fits(t), F.lit(False))
 
 
 def needs_nfc(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7f]")
 
 
+def text_number(stripped: Column, slow: bool = False) -> Column:
+    """The number that a stripped text reads as, or null."""
+    fast = F.when(may_be_number(stripped) & stripped.rlike(NUMBER) & _fits(stripped), stripped.try_cast(DEC))
+    return F.coalesce(fast, _slow_number(F.when(needs_python(stripped, True), stripped))["number"]) if slow else fast
+
+
+#: Doubles that are a whole number of millionths of at most 15 digits; the closest double to such a number reads back as that number.
+MILLION, EXACT_LIMIT = 1_000_000, 1e15
+
+
+def millionths(value: Column) -> Column:
+    """A double's millionths as a long where they are exact, else null."""
+    wide = value.cast("double")
+    scaled = F.rint(wide * float(MILLION))
+    return F.when((F.abs(scaled) < EXACT_LIMIT) & (scaled / float(MILLION) == wide), scaled.cast("long"))
+
+
 def number(value: Column, kind: T.DataType, slow: bool = False) -> Column:
     """The cell's number as DECIMAL(38,18), null where it has none. Booleans and times have none."""
     if isinstance(kind, T.StringType):
-        t = strip(value)
-        fast = F.when(t.rlike(NUMBER) & _fits(t), t.try_cast(DEC))
-        return F.coalesce(fast, _slow_number(F.when(needs_python(value), t))["number"]) if slow else fast
+        return text_number(strip(value), slow)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         wide = value.cast("double")
         return F.when(F.isnan(wide) | (F.abs(wide) == float("inf")), None).otherwise(wide.cast("string").try_cast(DEC))
@@ -147,9 +174,16 @@ def day_key(value: Column, kind: T.DataType) -> Column:
     """UTC day of a typed date or time, or of ISO-shaped text; else null."""
     if is_temporal(kind):
         return F.date_format(value, "yyyy-MM-dd")
-    if not isinstance(kind, T.StringType):
-        return F.lit(None).cast("string")
-    t = strip(value)
+    return text_day(strip(value)) if isinstance(kind, T.StringType) else F.lit(None).cast("string")
+
+
+def text_day(t: Column) -> Column:
+    """UTC day of a stripped ISO-shaped text; else null."""
+    shaped = (F.substring(t, 5, 1) == "-") & (F.length(t) >= 10)
+    return F.when(shaped, _iso_day(t))
+
+
+def _iso_day(t: Column) -> Column:
     bare = F.when(t.rlike(ISO_DATE), F.date_format(t.try_cast("date"), "yyyy-MM-dd"))
     return F.coalesce(bare, F.when(t.rlike(ISO_TIME), F.date_format(F.regexp_replace(t, "^([0-9-]{10})[T ]([0-9]{2}:[0-9]{2})(?=Z|[+-]|$)", "$1T$2:00").try_cast("timestamp"), "yyyy-MM-dd")))
 
@@ -159,15 +193,17 @@ def is_grouped(value: Column, kind: T.DataType) -> Column:
 
 
 def json_leaf(text: Column, kind: T.DataType) -> Column:
-    """A canonical cell as JSON: text escaped minimally with lower-case codes, booleans bare, null for null."""
+    """A canonical cell of a column of that kind as JSON: text escaped minimally with lower-case codes, booleans bare, null for null."""
     if isinstance(kind, T.BooleanType):
         return F.coalesce(text, F.lit("null"))
+    if is_numeric(kind) or is_temporal(kind):
+        return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
     quoted = F.to_json(F.array(text))
-    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    lowered = quoted
+    lowered = quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
         lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return F.coalesce(F.when(text.rlike(r"[\x00-\x1f]"), lowered).otherwise(quoted), F.lit("null"))
+    plain_ = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.coalesce(F.when(~text.rlike(r"[\x00-\x1f\"\\]"), plain_).when(text.rlike(r"[\x00-\x1f]"), lowered).otherwise(quoted), F.lit("null"))
 
 
 def period_key(created: Column, granularity: str) -> Column:

@@ -42,9 +42,10 @@ def canonical_cells(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def row_json(canon: DataFrame) -> Column:
-    """A canonical row as a JSON array."""
-    parts = [cells.json_leaf(F.col(f"`{n}`").cast("string"), k) for n, k in kinds(canon).items()]
+def row_json(canon: DataFrame, source: dict[str, T.DataType] | None = None) -> Column:
+    """A canonical row as a JSON array; source: the kinds that the columns had, as numbers and times need no escapes."""
+    held = kinds(canon)
+    parts = [cells.json_leaf(F.col(f"`{n}`").cast("string"), (source or held).get(n, k)) for n, k in held.items()]
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")) if parts else F.lit("[]")
 
 
@@ -74,7 +75,7 @@ def document_parts(df: DataFrame, cell_bytes: int = 16_000_000) -> Iterator[byte
     canon = canonical_cells(df)
     names = json.dumps(canon.columns, ensure_ascii=False, separators=(",", ":")).encode()
     yield b'{"headers":' + names + b',"rows":['
-    packed = ordered(canon).select(row_json(canon).alias("row")).mapInArrow(_pack(cell_bytes), "part binary")
+    packed = ordered(canon).select(row_json(canon, kinds(headers.merge(df))).alias("row")).mapInArrow(_pack(cell_bytes), "part binary")
     first = True
     for row in packed.toLocalIterator():
         yield (b"" if first else b",") + bytes(row[0])
@@ -102,9 +103,15 @@ def semantic_hash_row(df: DataFrame) -> DataFrame:
 def row_fingerprint(df: DataFrame) -> DataFrame:
     """An order-free fingerprint in one pass: row count and two sums of row-hash parts. Beside the semantic hash, never instead of it."""
     canon = canonical_cells(df)
-    digest = F.sha2(row_json(canon), 256)
-    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    return canon.agg(F.count("*").alias("row_count"), part(1).alias("sum_a"), part(16).alias("sum_b"))
+    half = lambda at: F.conv(F.substring("digest", at, 15), 16, 10).cast("long")
+    parts = canon.select(F.sha2(row_json(canon, kinds(headers.merge(df))), 256).alias("digest")).select(half(1).alias("a"), half(16).alias("b"))
+    low = (1 << 30) - 1  # halves of 60 bits add up in longs, whatever the number of rows below 2 ** 33
+
+    def total(name: str) -> Column:
+        high = F.sum(F.shiftright(name, 30)).cast("decimal(38,0)")
+        return F.coalesce(high * F.lit(1 << 30).cast("decimal(12,0)") + F.sum(F.col(name).bitwiseAND(low)), F.lit(None)).cast("decimal(38,0)").cast("string")
+
+    return parts.agg(F.count("*").alias("row_count"), total("a").alias("sum_a"), total("b").alias("sum_b"))
 
 
 def evidence_hashes(spark: SparkSession, *paths: str) -> DataFrame:
