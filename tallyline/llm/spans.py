@@ -1,195 +1,224 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends at a stop, a line's end, or before a capitalised word, as passages
-are often pasted into the middle of a sentence; all are cut further at words picked
-by checksum, and what lies between two cuts counts as a sentence below. The shortest run of two or more sentences with ``least_words`` words from
-each sentence, and the shortest to each sentence, are hashed. Equal hashes of all
-documents meet in one aggregate, which keeps the first occurrence (smallest key, then
-place); every other one is joined back and the sentences that it covers are removed.
-Case and white space don't count.
+A sentence ends after a stop or at a line's end. One of more than ``LONG`` words is cut
+further after words picked by a checksum, so that a long passage without stops has parts that
+stand in every copy of it; a part counts as a sentence below. A run may also begin
+at a capitalised word, as passages are often pasted behind an unfinished sentence. The shortest run of two or
+more sentences with ``least_words`` words from each beginning, and the shortest to each
+end, are hashed; together they cover every longer run. Equal hashes of all documents meet in one aggregate,
+which keeps the first occurrence (smallest key, then place); every other one is joined
+back and the words that it covers are removed. Case and white space don't count.
 
 Defined results: a null text stays null, an empty one empty. Rows with equal keys (or null ones)
 and equal texts count as one document, so a repeated row keeps what the first keeps; other texts
-under that key are documents of their own. Null keys come after all others.
-All columns are passed on; removal may leave an empty text.
+under that key are documents of their own. Null keys come after all others. Text without
+blanks counts a word for every six characters. All columns are passed on; one that has the name of the count raises
+ValueError. Removal may leave an empty text.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import free_name, materialise, without_gc
-
-BOUND = re.compile(r"(?<=[.!?…|:;])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ])|(?<=[。！？])")
-LEAST_WORDS = 16
-#: Sentences are cut further after one word in so many, picked by its checksum: host text that runs into a passage then moves no cut within it.
-CUT = 8
-_WORD = re.compile(r"\s*\S+\s*")
-
-
-class _Picked(dict):
-    """Whether a cut follows, by word; holds a bounded number of words."""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) >= 50_000:
-            self.clear()
-        picked = self[word] = zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0
-        return picked
-
-
-_picked = _Picked()
-
-
-def _cut(sentence: str) -> list[str]:
-    found = _WORD.findall(sentence)
-    cuts = [k for k, word in enumerate(found[:-1], 1) if _picked[word]]
-    return ["".join(found[i:j]) for i, j in zip([0, *cuts], [*cuts, len(found)], strict=True)] if cuts else [sentence]
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences; each but the last holds the white space after it, so together they are the text."""
-    cuts = [m.end() for m in BOUND.finditer(text)]
-    found = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-    if found[0] and found[0][0].isspace():  # white space before the first word belongs to it
-        lead = len(found[0]) - len(found[0].lstrip())
-        return [text[:lead] + s if i == 0 else s for i, s in enumerate(sentences(text[lead:]))] or [text]
-    return [s for s in found if s]
-
-
-def pieces(text: str) -> list[str]:
-    """The sentences, cut by content; together they are the text."""
-    return [p for s in sentences(text) for p in _cut(s)]
-
-
-def _measured(parts: list[str]) -> tuple[list[str], list[int]]:
-    """The sentences as they are compared, and their words; text without blanks counts a word for every six characters."""
-    plain = [" ".join(p.lower().split()) for p in parts]
-    return plain, [max(p.count(" ") + 1, len(p) // 6) if p else 0 for p in plain]
-
-
-def _from_starts(words: list[int], least_words: int) -> Iterator[tuple[int, int]]:
-    """The shortest long enough run from each sentence."""
-    end, held = 0, 0
-    for i in range(len(words)):
-        if end < i:
-            end, held = i, 0
-        while end < len(words) and (held < least_words or end - i < 2):
-            held += words[end]
-            end += 1
-        if held < least_words or end - i < 2:
-            return
-        yield i, end
-        held -= words[i]
-
-
-def _to_ends(words: list[int], least_words: int) -> Iterator[tuple[int, int]]:
-    """The shortest long enough run that ends with each sentence."""
-    first, held = 0, 0
-    for end, n in enumerate(words, 1):
-        held += n
-        while end - first > 2 and held - words[first] >= least_words:
-            held -= words[first]
-            first += 1
-        if held >= least_words and end - first >= 2:
-            yield first, end
+from tallyline.llm.common import arrow_texts, free_name, map_arrow, materialise, ranges, without_gc
+
+#: A repeated passage of 50 words whose first LONG run on from the text before it still has LEAST_WORDS in whole sentences.
+LEAST_WORDS = 30
+#: Words of a sentence above which it is cut further, after one word in CUT.
+LONG, CUT = 20, 8
+#: A sentence in a script without blanks ends a token.
+TOKEN = re.compile(r"[^ \t\r\n。！？]*[。！？]|[^ \t\r\n。！？]+")
+STOPS = (".", "!", "?", "…", "。", "！", "？")
+CLOSERS = "\"'”’»)]"
+#: Powers of an odd number and of its inverse modulo 2 ** 64: a run's hash is a difference of prefix sums, moved to the front.
+FACTOR = 0x9E3779B97F4A7C15
+
+
+class Tokens:
+    """The tokens of a slice of texts, one after another, as arrays."""
+
+    def __init__(self, texts: pa.Array):
+        for mark, to in (("\t", " "), ("\r", " "), ("\n", " \n ")):
+            texts = pc.replace_substring(texts, mark, to)
+        if pc.any(pc.match_substring_regex(texts, "[。！？]")).as_py():
+            texts = pc.replace_substring_regex(texts, "([。！？])", "\\1 ")
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        index, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        kept = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)[index]
+        index, text = index[kept], text[kept]
+        line = pc.equal(distinct, "\n").to_numpy(zero_copy_only=False)[index]
+        self.index, self.text = index[~line], text[~line]
+        self.first = np.searchsorted(self.text, np.arange(len(lists) + 1))  # of each text, and the end
+        # A line's end and a text's end close a sentence, as does a stop.
+        last = np.zeros(len(index) + 1, dtype=bool)
+        last[np.flatnonzero(line)] = True
+        last[np.flatnonzero(np.diff(text, append=-1)) + 1] = True
+        bare = pc.utf8_rtrim(distinct, CLOSERS)
+        stops = np.any([pc.ends_with(bare, stop).to_numpy(zero_copy_only=False) for stop in STOPS], axis=0)
+        self.closed = stops[self.index] | last[1:][~line]
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, pc.utf8_lower(distinct).to_pylist()), dtype=np.uint64, count=len(distinct))
+        length = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.weight = np.maximum(1, length // 6 * (length > 40))
+        self.capital = pc.utf8_is_upper(pc.utf8_slice_codeunits(distinct, 0, 1)).to_numpy(zero_copy_only=False)
+
+    def sentences(self) -> np.ndarray:
+        """The number of each token's sentence."""
+        return np.cumsum(self.closed) - self.closed
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs may begin and where they may end, as flags by token: a run is [begin, end]."""
+        sentence = self.sentences()
+        words = np.bincount(sentence, weights=self.weight[self.index], minlength=1)
+        picked = (self.hash >> np.uint64(7)) % np.uint64(CUT) == 0
+        end = self.closed | picked[self.index] & (words[sentence] > LONG)
+        begin = np.ones(len(end), dtype=bool)
+        begin[1:] = end[:-1]
+        return begin | self.capital[self.index], end
+
+    def runs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, token after the last, hash) of the shortest long enough run from each beginning and to each end."""
+        if not len(self.index):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        begin, end = (np.flatnonzero(x) for x in self.bounds())
+        weight = self.weight[self.index]
+        before = np.cumsum(weight) - weight  # words before each token
+        upto = before[end] + weight[end]  # words up to each end
+        # from each beginning: two ends at least, and the words
+        nth = np.maximum(np.searchsorted(end, begin) + 1, np.searchsorted(upto, before[begin] + least_words))
+        fits = nth < len(end)
+        a, b = begin[fits], end[nth[fits]]
+        # to each end: a beginning with another end between, and the words
+        inner = np.searchsorted(end, end) - 1  # the end before this one
+        nearest = np.searchsorted(begin, np.where(inner >= 0, end[inner], -1), side="right") - 1
+        nth = np.minimum(nearest, np.searchsorted(before[begin], upto - least_words, side="right") - 1)
+        fits = nth >= 0
+        a, b = np.concatenate([a, begin[nth[fits]]]), np.concatenate([b, end[fits]])
+        inside = self.text[a] == self.text[b]
+        pairs = np.unique((a[inside] << 32) | (b[inside] + 1))
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        return a, b, self._hashes(a, b)
+
+    def _hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of token runs [a, b)."""
+        own = self.hash[self.index]
+        power, back = (np.full(len(own), f, dtype=np.uint64) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        power[0] = back[0] = 1
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(own * np.cumprod(power))])
+        x = (sums[b] - sums[a]) * np.cumprod(back)[a]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _unique(docs: DataFrame, key: str, text: str) -> bool:
+    """Whether the key is a whole number, never null, and stands for one text."""
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    sums = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("sum")).groupBy("key").agg(F.min("sum").alias("least"), F.max("sum").alias("most"))
+    return not sums.filter("key is null or least <> most").limit(1).count()
+
+
+def _identity(key: str, text: str, unique: bool) -> dict[str, Column]:
+    """What tells rows apart and puts them in order: the key alone if that suffices, else with a hash of key and text as ``row``."""
+    if unique:
+        return {"row": F.col(key).cast("long")}
+    return {"row": F.xxhash64(F.col(key).isNull(), F.col(text).isNull(), F.col(key), F.col(text)), "no_key": F.col(key).isNull(), "key": F.col(key)}
+
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, unique: bool = False) -> DataFrame:
+    """(row, [no_key, key,] first, size, hash) of every run of every text, in tokens; row is the identity of the input's row."""
+    named = docs.select(*[c.alias(n) for n, c in _identity(key, text, unique).items()], F.col(text).alias("text"))
+    schema = named.select(*named.columns[:-1], F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")).schema
+    width = len(named.columns) - 1
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with without_gc():
+            for batch in batches:
+                texts = arrow_texts(batch.column(width))
+                for low, high in ranges(texts, 2_000_000):
+                    tokens = Tokens(texts.slice(low, high - low))
+                    a, b, hashes = tokens.runs(least_words)
+                    own = tokens.text[a]
+                    at, start = pa.array(low + own), tokens.first[own]
+                    columns = [*(c.take(at) for c in batch.columns[:width]), pa.array((a - start).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(hashes)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-def _hash(plain: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join([p for p in plain if p])) - (1 << 63)
+    return map_arrow(named, run, schema)
 
 
-def runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, sentence after the last, hash) of the shortest long enough run from each sentence."""
-    plain, words = _measured(parts)
-    for i, j in _from_starts(words, least_words):
-        yield i, j, _hash(plain[i:j])
+def _common(drawn: DataFrame, most: int = 1000) -> DataFrame:
+    """(hash, hot) of hashes that make up more than 1 / most of the runs of some documents, so fewer than ``most`` rows."""
+    counts = materialise(drawn.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "span-sample")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") * most > total).orderBy(F.desc("n"), "hash").limit(most).select("hash", F.lit(True).alias("hot"))
 
 
-def covering_runs(parts: list[str], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """runs() and the shortest long enough run to each sentence, each once.
+def repeated(found: DataFrame, drawn: DataFrame, salts: int = 64) -> DataFrame:
+    """(row, first, size) of the spans that aren't the first of their kind.
 
-    Together they cover every sentence of any long enough run: from a sentence too near to
-    the run's end to begin one, the run to that end reaches back over it.
+    Runs meet by hash. Those of hashes that are very common in ``drawn`` are dealt to ``salts`` groups, and
+    only the first of each group goes on to a second comparison; the result is the same whatever was drawn.
     """
-    plain, words = _measured(parts)
-    for i, j in sorted({*_from_starts(words, least_words), *_to_ends(words, least_words)}):
-        yield i, j, _hash(plain[i:j])
-
-
-def _row(key: str, text: str) -> Column:
-    """A row's identity: a hash of its key and its text, as keys may be null or stand for several texts."""
-    return F.xxhash64(F.col(key).isNull(), F.col(text).isNull(), F.col(key), F.col(text))
-
-
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, row, first, stop, hash) of every run of every text; row is the identity of the input's row."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(batch, at, first, stop, hashes):
-            own = pa.array(at, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "row", "first", "stop", "hash"])
-
-        with without_gc():
-            for batch in batches:
-                at, first, stop, hashes = [], [], [], []
-                for k, value in enumerate(batch.column(2).to_pylist()):
-                    for i, j, h in covering_runs(pieces(value), least_words) if value else ():
-                        at.append(k)
-                        first.append(i)
-                        stop.append(j)
-                        hashes.append(h)
-                    if len(at) > 100_000:
-                        yield made(batch, at, first, stop, hashes)
-                        at, first, stop, hashes = [], [], [], []
-                yield made(batch, at, first, stop, hashes)
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), _row(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, row long, first int, stop int, hash long")
-
-
-def repeated(found: DataFrame) -> DataFrame:
-    """(row, first, stop) of the spans that aren't the first of their kind."""
-    place = F.struct(F.col("key").isNull().alias("no_key"), F.col("key"), F.col("row"), F.col("first"))
-    heads = found.groupBy("hash").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("hash", F.col("head.row").alias("head_row"), F.col("head.first").alias("head_first"))
-    heads = materialise(heads, "span-heads")
-    again = found.select("row", "first", "stop", "hash").join(heads, "hash")
-    return again.filter("row <> head_row or first <> head_first").select("row", "first", "stop")
+    place = [F.col(c) for c in ("no_key", "key", "row", "first") if c in found.columns]
+    dealt = found.join(F.broadcast(_common(drawn)), "hash", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).otherwise(0))
+    ranked = dealt.withColumn("n", F.dense_rank().over(Window.partitionBy("hash", "salt").orderBy(*place))).filter("n > 1 or hot").drop("salt")
+    ranked = materialise(ranked, "span-ranks")
+    heads = ranked.filter("n = 1").withColumn("n", F.dense_rank().over(Window.partitionBy("hash").orderBy(*place)))
+    return ranked.filter("n > 1").unionByName(heads.filter("n > 1")).select("row", "first", "size")
+
+
+def without(text: str, cover: Iterable[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the tokens of the ranges (first, number), and how many sentences lost any."""
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    gone = np.zeros(len(starts), dtype=bool)
+    for first, size in cover:
+        gone[first : first + size] = True
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    starts.append(len(text))
+    left, at = [], 0
+    for first, stop in zip(edges[::2], edges[1::2], strict=True):
+        left.append(text[at : starts[first]])
+        at = starts[stop]
+    left.append(text[at:])
+    tokens = Tokens(pa.array([text]))
+    return "".join(left).strip(), len(np.unique(tokens.sentences()[gone]))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, removed_name: str | None = None) -> DataFrame:
     """docs with repeated spans taken out of the text; removed_name adds a column with the number of sentences removed, as a whole or in part."""
-    bits = repeated(spans(docs, key, text, least_words)).distinct()
+    if removed_name and removed_name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input has a column named {removed_name}; give another name")
+    unique = _unique(docs, key, text)
     drop, mark = free_name(docs.columns, "_drop"), free_name(docs.columns, "_row")
-    cover = bits.groupBy(F.col("row").alias(mark)).agg(F.collect_list(F.struct("first", "stop")).alias(drop))
-    joined = docs.withColumn(mark, _row(key, text)).join(cover, mark, "left").select(*docs.columns, drop)
+    row = _identity(key, text, unique)["row"]
+    some = docs.filter(F.pmod(F.xxhash64(row), F.lit(64)) == 0)
+    bits = repeated(spans(docs, key, text, least_words, unique), spans(some, key, text, least_words, unique))
+    cover = bits.groupBy(F.col("row").alias(mark)).agg(F.collect_set(F.struct("first", "size")).alias(drop))
+    joined = docs.withColumn(mark, row).join(cover, mark, "left").select(*docs.columns, drop)
     at, width = docs.columns.index(text), len(docs.columns)
     taken = removed_name or free_name(docs.columns, "_removed")
     schema = docs.select("*", F.lit(0).alias(taken)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = [], []
-            for value, ranges in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                n = 0
-                if ranges:
-                    cut = [_cut(s) for s in sentences(value)]
-                    kept = [True] * sum(map(len, cut))
-                    for r in ranges:
-                        kept[r["first"] : r["stop"]] = [False] * (r["stop"] - r["first"])
-                    left = iter(kept)
-                    n = sum([not all([next(left) for _ in parts]) for parts in cut])
-                    value = "".join(p for p, k in zip([p for parts in cut for p in parts], kept, strict=True) if k).strip()
-                texts.append(value)
-                gone.append(n)
-            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : width], pa.array(gone, pa.int32())]
+            texts, gone = batch.column(at), np.zeros(batch.num_rows, dtype=np.int32)
+            hit = np.flatnonzero(batch.column(width).is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                values = texts.to_pylist()
+                for k in hit.tolist():
+                    values[k], gone[k] = without(values[k], ((r["first"], r["size"]) for r in batch.column(width)[k].as_py()))
+                texts = pa.array(values, texts.type)
+            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 : width], pa.array(gone)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:width], taken])
 
-    out = joined.mapInArrow(run, schema)
+    out = map_arrow(joined, run, schema)
     return out if removed_name else out.drop(taken)
