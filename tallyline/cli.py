@@ -91,20 +91,33 @@ def diff(spark, args) -> int:
 
 
 def log(spark, args) -> int:
-    from tallyline.operators import runlog
-    from tallyline.operators.judge import metric_rows
+    """Totals of archived runs by period: the last run of each counts."""
+    from pyspark.sql import functions as F
 
-    rows = []
+    from tallyline.operators import judge, runlog
+
+    runs, long = [], []
     for d in history.load(args.folder):
-        last = d["stages"][-1]["totals"] if d.get("stages") else {}
-        value = next((v for _, m, v in metric_rows(last, True) if m == args.metric), None)
-        flagged = any(args.metric in m for m in (d.get("breached") or {}).values())
-        rows.append((history.jcs.body_hash(d), history.parse_time(d["created_at"]), value, flagged, "signature" not in d))
-    runs = spark.createDataFrame(rows, "body_hash string, created timestamp, value decimal(38,6), breached boolean, unsigned boolean")
-    marks = {r["period"]: r for r in runs.withColumn("period", runlog.cells.period_key(runs["created"], args.by)).groupBy("period").agg({"breached": "max", "unsigned": "max"}).collect()}
+        run = history.jcs.body_hash(d)
+        terms = d["tolerance"] if isinstance(d.get("tolerance"), dict) else {}
+        flagged = sorted({m for ms in (d.get("breached") or {}).values() for m in ms})
+        runs.append((run, history.parse_time(d["created_at"]), flagged, "signature" not in d, terms.get("band"), terms.get("settle_hours")))
+        long += [(run, *r) for r in totals.document_rows(d["stages"][-1]["totals"] if d.get("stages") else {})]
+    heads = spark.createDataFrame(runs, "body_hash string, created timestamp, flagged array<string>, unsigned boolean, band string, settle_hours int")
+    seen = judge.observations(spark.createDataFrame(long, "body_hash string, section string, period string, name string, value string"), flat=True)
+    metrics = sorted({r["metric"] for r in seen.select("metric").distinct().collect()}) if args.metric == "all" else [args.metric]
+    by = heads.withColumn("period", runlog.cells.period_key(F.col("created"), args.by))
+    marks = {r["period"]: r for r in by.groupBy("period").agg(F.flatten(F.collect_list("flagged")).alias("flagged"), F.max("unsigned").alias("unsigned"), F.max_by(F.struct("band", "settle_hours"), F.struct("created", "body_hash")).alias("terms")).collect()}
     text = lambda v: None if v is None else runlog.cells.plain(v)
-    out = [{"period": r["period"], "runs": r["runs"], "value": text(r["value"]), "delta": text(r["delta"]), "breached": marks[r["period"]]["max(breached)"], "unsigned": marks[r["period"]]["max(unsigned)"]} for r in runlog.log(runs, args.by).orderBy("period").collect()]
-    _say(args, out, [f"{x['period']}  {x['value']}  {x['delta'] or ''}  {'!' if x['breached'] else ''}{'u' if x['unsigned'] else ''}" for x in out] or ["no archived runs"])
+    out = []
+    for metric in metrics:
+        valued = heads.join(seen.filter(F.col("metric") == metric).select("body_hash", "value"), "body_hash", "left")
+        for r in runlog.log(valued, args.by).orderBy("period").collect():
+            mark = marks[r["period"]]
+            out.append({"period": r["period"], "metric": metric, "runs": r["runs"], "value": text(r["value"]), "delta": text(r["delta"]), "breached": metric in mark["flagged"], "unsigned": mark["unsigned"], "band": mark["terms"]["band"], "settle_hours": mark["terms"]["settle_hours"]})
+    out.sort(key=lambda x: (x["period"], x["metric"]))
+    line = lambda x: f"{x['period']}  {x['metric']}  {x['value'] or '-'}  {x['delta'] or ''}  {'!' if x['breached'] else ''}{'u' if x['unsigned'] else ''}"
+    _say(args, out, [line(x).rstrip() for x in out] or ["no archived runs"])
     return 0
 
 
@@ -231,7 +244,7 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("a", nargs="?")
     own.add_argument("b", nargs="?")
     own = command(log)
-    own.add_argument("--metric", default="row_count")
+    own.add_argument("--metric", default="row_count", help="a metric's name, or all")
     own.add_argument("--by", choices=("day", "week", "month", "quarter"), default="day")
     own = command(annotate, key=True)
     for name in ("target", "reason", "author"):

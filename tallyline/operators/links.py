@@ -41,6 +41,18 @@ def file_mismatches(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return joined.filter(~F.col("r.hash").eqNullSafe(F.col("a.hash"))).select("chain", "name", F.col("r.hash").alias("recorded"), F.col("a.hash").alias("actual"))
 
 
+def totals_drift(totals: DataFrame) -> DataFrame:
+    """(chain, position) of the links over which a count, sum or null count moves; totals: chain, position, section, name, value."""
+    stages = totals.select("chain", "position").distinct()
+    kept = totals.filter(F.col("section").isin("row_count", "column_count", "numeric_sums", "null_counts"))
+    keys = ["chain", "position", "section", "name"]
+    below = kept.select(*keys, F.col("value").alias("after"))
+    above = kept.select("chain", (F.col("position") + 1).alias("position"), "section", "name", F.col("value").alias("before")).join(stages, ["chain", "position"], "left_semi")
+    none = F.when(F.col("section") == "null_counts", F.lit("0"))
+    moved = below.filter("position > 0").join(above, keys, "full_outer").filter(~F.coalesce("before", none).eqNullSafe(F.coalesce("after", none)))
+    return moved.select("chain", "position").distinct()
+
+
 def superseded(annotations: DataFrame) -> DataFrame:
     """annotations (hash, target, supersedes, created_at) with a flag for those that another one supersedes, oldest first."""
     by = annotations.filter("supersedes is not null").select(F.col("supersedes").alias("hash")).distinct().withColumn("superseded", F.lit(True))

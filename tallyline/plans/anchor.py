@@ -35,12 +35,12 @@ def fold(result: receipts.ChainResult, folder: str | Path, witness: Witness | No
         return result
     held = json.loads(path.read_text())
     if held.get("digest") != _digest(folder):
-        return result.fail("✗ ANCHOR MISMATCH: chain.json isn't the anchored one")
+        return result.add("anchor", text="chain.json isn't the anchored one")
     try:
         if witness is None:
             raise AnchorUnavailable("no witness is configured")
         if not witness.check(held["digest"], held["proof"]):
-            return result.fail("✗ ANCHOR MISMATCH: the witness doesn't confirm the proof")
+            return result.add("anchor", text="the witness doesn't confirm the proof")
     except AnchorUnavailable as e:
-        result.caveats.append(f"anchor not checked: {e}")
+        result.add("unanchored", text=str(e))
     return result
