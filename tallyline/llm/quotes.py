@@ -15,7 +15,7 @@ followed by its own.
 Defined results: null texts are empty; a null turn sorts first; repeated rows are
 separate messages, placed by a hash of the text; passages shorter than ``least_chars``
 after normalisation, an ideograph counting as three, link nothing; of several origins the latest earlier one of the same
-conversation counts. Rows with a null conversation form one conversation. Quoted lines
+conversation counts. A row with a null conversation is a conversation of its own. Quoted lines
 are left out of the body. Other columns are not read.
 """
 
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.llm.common import discard_frames, materialise
+
 MARKS = r"^[ \t]*(>[> \t]*)"
 #: A line that announces a quotation.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|le\b.*a écrit|am\b.*schrieb.*|el\b.*escribió)\s*:\s*$"
@@ -32,6 +34,11 @@ DENSE = r"[\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]"
 DENSE_CHARS = 3
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(text: Column) -> Column:
     """Lower case, white space as single blanks, none beside ideographs, where it is only a line's end."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), f"(?<={DENSE}) | (?={DENSE})", "")
@@ -75,37 +82,36 @@ def _run(pieces: Column, at: Column, size: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """array<struct<level:int, text:string>>: neighbouring lines of one quote level, marks removed."""
+    """array<struct<level:int, text:string>>: neighbouring lines of one quote level, marks removed. Work grows with the lines."""
     lines = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\r?\n"),
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("text")),
     )
-    empty = F.array().cast("array<struct<level:int,text:string>>")
 
-    def join(done: Column, line: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        merged = F.struct(line["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["text"]).alias("text"))
-        return F.when((F.size(done) > 0) & (last["level"] == line["level"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(line)))
+    def grouped(lines: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+        texts = F.transform(lines, lambda x: x["text"])
+        return _let(firsts, lambda at: _let(texts, lambda t: F.transform(at, lambda i, k: F.struct(F.get(lines, i)["level"].alias("level"), F.array_join(F.slice(t, i + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - i), "\n").alias("text")))))
 
-    flat = F.when(F.exists(lines, lambda x: x["level"] > 0), F.aggregate(lines, empty, join))
     plain = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n").alias("text")))
-    return F.coalesce(flat, plain)
+    return F.when(F.coalesce(text, F.lit("")).contains(">"), _let(lines, grouped)).otherwise(plain)
 
 
 def _without_attribution(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(ATTRIBUTION)), "\n")
 
 
-def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least_chars: int = 12) -> DataFrame:
+def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least_chars: int = 12, most_in_a_row: int = 1000) -> DataFrame:
     """A row per message: conv, turn, role, position, parent (position of the answered message, null at a start),
     linked (by a quotation), quotes (passages), levels (deepest), sources (level, origin), depth (answers up to the
     start), place (in the walk of the reply tree), body.
     """
-    raw = messages.select(F.coalesce(F.struct(F.col(conv).alias("id"))).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = raw.withColumn("position", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.xxhash64("text", "role"), "text")) - 1)
+    raw = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    placed = _positions(raw.filter("conv is not null")).unionByName(raw.filter("conv is null").withColumn("position", F.lit(0).cast("long")))
     parsed = placed.withColumn("passages", passages(F.col("text"))).withColumn("body", F.trim(_without_attribution(F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"))))
     parsed = parsed.withColumns({"quotes": F.size(F.filter("passages", lambda p: p["level"] > 0)), "levels": F.array_max(F.transform("passages", lambda p: p["level"]))})
-    cited = parsed.filter("quotes > 0").select("conv", "position", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
+    parsed = materialise(parsed.select("conv", "turn", "role", "position", "passages", "body", "quotes", "levels"), "messages")
+    cited = parsed.filter("quotes > 0 and conv is not null").select("conv", "position", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
     least_chars = max(1, least_chars)
     cited = cited.select("conv", "position", F.col("p.level").alias("level"), normalised(_without_attribution(F.col("p.text"))).alias("quote")).filter(_weight(F.col("quote")) >= least_chars)
     cited = cited.select("conv", "position", "level", F.sha2("quote", 256).alias("hash"), F.substring("quote", 1, least_chars).alias("anchor"), F.length("quote").alias("size")).distinct()
@@ -117,20 +123,80 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     found = cited.join(offered, ["conv", "hash"]).filter("origin < position").groupBy("conv", "position", "level").agg(F.max("origin").alias("origin"))
     direct = found.groupBy("conv", "position").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("origin"), F.sort_array(F.collect_list(F.struct("level", "origin"))).alias("sources"))
     answered = parsed.join(direct, ["conv", "position"], "left").withColumn("parent", F.coalesce("origin", F.when(F.col("position") > 0, F.col("position") - 1))).withColumn("linked", F.col("origin").isNotNull())
-    return _walked(answered.select("conv", "turn", "role", "position", "parent", "linked", "quotes", "levels", "sources", "body")).withColumn("conv", F.col("conv.id")).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
+    answered = materialise(answered.select("conv", "turn", "role", "position", "parent", "linked", "quotes", "levels", "sources", "body"), "answers")
+    return _walked(answered, most_in_a_row).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
+
 
+def _positions(raw: DataFrame, most: int = 10_000) -> DataFrame:
+    """Adds the message's number in its conversation, by turn, then by a hash of the text.
 
-def _walked(messages: DataFrame) -> DataFrame:
+    Conversations of more than ``most`` messages are sorted over many tasks: by ranges of (conversation, turn, hash), so a
+    row's number is its place in its range plus the messages of earlier ranges.
+    """
+    keyed = raw.withColumn("order", F.xxhash64("text", "role"))
+    sizes = raw.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("conv")
+    large = materialise(sizes, "large-conversations")  # fewer rows than messages / most
+    within = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "order", "text")
+    small = keyed.join(large, "conv", "left_anti").withColumn("position", F.row_number().over(within).cast("long") - 1).drop("order")
+    if not large.limit(1).count():
+        return small
+    by = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("order"), F.col("text"), F.col("tie")]
+    ranged = keyed.join(large, "conv", "left_semi").withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialise(ranged.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "large-messages")
+    parts = ranged.groupBy("conv", "part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))  # a row a range and a conversation in it
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.withColumn("before", before).drop("n")
+    numbered = ranged.join(starts, ["conv", "part"]).withColumn("position", F.col("before") + F.col("seq") - F.col("first"))
+    return small.unionByName(numbered.select(*small.columns))
+
+
+def _walked(messages: DataFrame, most_in_a_row: int) -> DataFrame:
     """Adds depth and place, the message's number in a walk of its reply tree: parents before children, siblings by position.
 
-    A conversation's (position, parent) pairs, two integers a message, are gathered in one row.
+    A conversation in which every message answers the one before it is walked in the order of positions. Of others the
+    (position, parent) pairs are gathered in one row if there are at most ``most_in_a_row``; larger ones are
+    walked by pointer jumping over all tasks.
+    """
+    alone = messages.filter("conv is null").withColumns({"depth": F.lit(0).cast("long"), "place": F.lit(0).cast("long")})
+    shape = F.when(F.bool_and(F.coalesce(F.col("parent") == F.col("position") - 1, F.col("position") == 0)), "straight").when(F.count("*") <= most_in_a_row, "row").otherwise("jumps")
+    shapes = materialise(messages.filter("conv is not null").groupBy("conv").agg(shape.alias("shape")).filter("shape <> 'straight'"), "shapes")
+    pairs = messages.join(shapes, "conv").select("conv", "position", "parent", "shape")
+    walks = _walk_in_rows(pairs.filter("shape = 'row'"))
+    if shapes.filter("shape = 'jumps'").limit(1).count():
+        walks = walks.unionByName(_walk_by_jumps(pairs.filter("shape = 'jumps'")))
+    found = messages.filter("conv is not null").join(walks, ["conv", "position"], "left")
+    return found.withColumns({c: F.coalesce(c, "position") for c in ("depth", "place")}).unionByName(alone)
+
+
+def _walk_by_jumps(pairs: DataFrame) -> DataFrame:
+    """(conv, position, depth, place): the tour that enters and leaves every message is a list, whose sums to its end double their reach in every round."""
+    siblings = Window.partitionBy("conv", "parent").orderBy("position")
+    after = pairs.withColumn("later", F.lead("position").over(siblings))
+    child = pairs.filter("parent is not null").groupBy("conv", F.col("parent").alias("position")).agg(F.min("position").alias("child"))
+    known = after.join(child, ["conv", "position"], "left")
+    enter = F.struct((F.col("position") * 2).alias("at"), F.coalesce(F.col("child") * 2, F.col("position") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("places"), F.lit(1).cast("long").alias("depths"))
+    leave = F.struct((F.col("position") * 2 + 1).alias("at"), F.coalesce(F.col("later") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("places"), F.lit(-1).cast("long").alias("depths"))
+    tour = materialise(known.select("conv", F.explode(F.array(enter, leave)).alias("x")).select("conv", "x.*"), "tour")
+    while tour.filter("next is not null").limit(1).count():
+        ahead = tour.select("conv", F.col("at").alias("next"), F.col("next").alias("far"), F.col("places").alias("more"), F.col("depths").alias("deeper"))
+        jumped = tour.join(ahead, ["conv", "next"], "left")
+        before, tour = tour, materialise(jumped.select("conv", "at", F.col("far").alias("next"), (F.col("places") + F.coalesce("more", F.lit(0))).alias("places"), (F.col("depths") + F.coalesce("deeper", F.lit(0))).alias("depths")), "tour")
+        discard_frames(before)
+    entered = tour.filter("at % 2 = 0").select("conv", F.shiftright("at", 1).alias("position"), (-F.col("depths")).alias("depth"), "places")
+    counts = pairs.groupBy("conv").agg(F.count("*").alias("n"))
+    return entered.join(counts, "conv").select("conv", "position", "depth", (F.col("n") - F.col("places")).alias("place"))
+
+
+def _walk_in_rows(pairs: DataFrame) -> DataFrame:
+    """(conv, position, depth, place) of conversations of bounded size, each walked in one row.
+
     Parents come earlier, so one pass in order gives depth and path. Along first children a path
     only counts on, so it grows with branches, not with depth: 0 and the count for the message
     itself, before that 1, the count (negative, as deeper branches come first) and the position
     for each step to a later child.
     """
     earlier = F.lag("parent").over(Window.partitionBy("conv").orderBy("parent", "position"))
-    marked = messages.select("conv", "position", "parent", (~F.coalesce(earlier == F.col("parent"), F.lit(False))).alias("first"))
+    marked = pairs.select("conv", F.col("position").cast("int").alias("position"), F.col("parent").cast("int").alias("parent"), (~F.coalesce(earlier == F.col("parent"), F.lit(False))).alias("first"))
     tree = marked.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("position", "parent", "first"))).alias("tree"))
     none = F.array().cast("array<struct<path:array<int>,depth:int>>")
 
@@ -144,11 +210,8 @@ def _walked(messages: DataFrame) -> DataFrame:
         return F.concat(done, F.array(F.struct(path.alias("path"), F.coalesce(above["depth"] + 1, F.lit(0)).alias("depth"))))
 
     walk = F.sort_array(F.transform(F.aggregate("tree", none, add), lambda x, i: F.struct(x["path"].alias("path"), i.alias("position"), x["depth"].alias("depth"))))
-    # Without a branch the walk is the order of positions.
-    straight = F.transform("tree", lambda m, i: F.struct(F.array().cast("array<int>").alias("path"), i.alias("position"), i.alias("depth")))
-    walk = F.when(F.exists("tree", lambda m: m["parent"] != m["position"] - 1), walk).otherwise(straight)
-    places = tree.select("conv", F.posexplode(walk).alias("place", "m")).select("conv", "place", "m.position", "m.depth")
-    return messages.join(places, ["conv", "position"])
+    places = tree.select("conv", F.posexplode(walk).alias("place", "m"))
+    return places.select("conv", F.col("m.position").cast("long").alias("position"), F.col("m.depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", least_chars: int = 12) -> DataFrame:
