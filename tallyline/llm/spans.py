@@ -176,12 +176,9 @@ def repeated(found: DataFrame, drawn: DataFrame, salts: int = 64) -> DataFrame:
     return ranked.filter("n > 1").unionByName(heads.filter("n > 1")).select("row", "first", "size")
 
 
-def without(text: str, cover: Iterable[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the tokens of the ranges (first, number), and how many sentences lost any."""
+def without(text: str, gone: np.ndarray) -> str:
+    """The text without the tokens that are flagged."""
     starts = [m.start() for m in TOKEN.finditer(text)]
-    gone = np.zeros(len(starts), dtype=bool)
-    for first, size in cover:
-        gone[first : first + size] = True
     edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
     starts.append(len(text))
     left, at = [], 0
@@ -189,8 +186,20 @@ def without(text: str, cover: Iterable[tuple[int, int]]) -> tuple[str, int]:
         left.append(text[at : starts[first]])
         at = starts[stop]
     left.append(text[at:])
-    tokens = Tokens(pa.array([text]))
-    return "".join(left).strip(), len(np.unique(tokens.sentences()[gone]))
+    return "".join(left).strip()
+
+
+def _removed(texts: pa.Array, cover: pa.ListArray) -> tuple[list[str], np.ndarray]:
+    """The texts without the tokens of their ranges (first, size), and how many sentences lost any."""
+    tokens, ranges_ = Tokens(texts), cover.flatten()
+    first, size = (ranges_.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("first", "size"))
+    first += np.repeat(tokens.first[:-1], pc.list_value_length(cover).to_numpy(zero_copy_only=False))
+    marks = np.bincount(first, minlength=len(tokens.index) + 1) - np.bincount(first + size, minlength=len(tokens.index) + 1)
+    gone = np.cumsum(marks)[:-1] > 0
+    left = [without(text, gone[low:high]) for text, low, high in zip(texts.to_pylist(), tokens.first[:-1], tokens.first[1:], strict=True)]
+    sentence = tokens.sentences()
+    hit = np.unique(sentence[gone])
+    return left, np.bincount(tokens.text[np.searchsorted(sentence, hit)], minlength=len(texts))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, removed_name: str | None = None) -> DataFrame:
@@ -213,9 +222,12 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             texts, gone = batch.column(at), np.zeros(batch.num_rows, dtype=np.int32)
             hit = np.flatnonzero(batch.column(width).is_valid().to_numpy(zero_copy_only=False))
             if len(hit):
-                values = texts.to_pylist()
-                for k in hit.tolist():
-                    values[k], gone[k] = without(values[k], ((r["first"], r["size"]) for r in batch.column(width)[k].as_py()))
+                values, rows = texts.to_pylist(), pa.array(hit)
+                own, cover = arrow_texts(texts).take(rows), batch.column(width).take(rows)
+                for low, high in ranges(own, 2_000_000):
+                    left, gone[hit[low:high]] = _removed(own.slice(low, high - low), cover.slice(low, high - low))
+                    for k, value in zip(hit[low:high].tolist(), left, strict=True):
+                        values[k] = value
                 texts = pa.array(values, texts.type)
             columns = [*batch.columns[:at], texts, *batch.columns[at + 1 : width], pa.array(gone)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:width], taken])
