@@ -87,6 +87,12 @@ def canonical_numeric_text(spark, sf_dir):
     return canonical.canonical_cells(forms).groupBy("exponent", "padded", "signed", "word").agg(F.count("*").alias("n"))
 
 
+@query("SELECT n_nationkey::VARCHAR AS key, nfc_normalize(n_name || ' e' || chr(769) || chr(128512) || 'A' || chr(778)) AS text FROM nation")
+def canonical_unicode(spark, sf_dir):
+    wide = F.concat(F.lit("\u2003"), "n_name", F.lit(" e\u0301\U0001f600A\u030a\u00a0"))
+    return canonical.canonical_cells(t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), wide.alias("text")))
+
+
 def _hash_sql(source: str, columns: list[str]) -> str:
     row = "'[\"' || " + " || '\",\"' || ".join(f"{c}::VARCHAR" for c in columns) + " || '\"]'"
     order = ", ".join(f"{c}::VARCHAR" for c in columns)
@@ -130,6 +136,16 @@ def evidence_hash(spark, sf_dir):
     return canonical.evidence_hashes(spark, f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet")
 
 
+_HIGH = "(SELECT CASE WHEN n_nationkey % 2 = 0 THEN chr(65533) ELSE chr(128512) END || n_name AS name FROM nation)"
+
+
+@query(_hash_sql(_HIGH, ["name"]))
+def semantic_hash_code_points(spark, sf_dir):
+    """Rows sort by code points, also beyond the basic plane."""
+    high = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "\ufffd").otherwise("\U0001f600"), "n_name")
+    return canonical.semantic_hash_row(t(spark, sf_dir, "nation").select(high.alias("name")))
+
+
 # control totals ----------------------------------------------------------------
 
 _TABLES = {
@@ -176,7 +192,18 @@ def date_ranges_lineitem(spark, sf_dir):
     return spark.createDataFrame([(n, x["least"], x["most"]) for n, x in found.items() if x["least"]], "name string, least string, most string")
 
 
-@query("SELECT 'orders' AS source, 'o_orderdate' AS bucket UNION ALL SELECT 'lineitem', 'l_shipdate' UNION ALL SELECT 'events', 'ts' UNION ALL SELECT 'customer', NULL")
+def _bucket_sql(source: str, dates: list[str], texts: list[str]) -> str:
+    """The only column of which nine tenths are days, if it spans two of them."""
+    days = [f"SELECT '{c}' AS name, CAST({c} AS DATE)::VARCHAR AS day, {c} IS NOT NULL AS filled FROM {source}" for c in dates]
+    days += [f"SELECT '{c}' AS name, CASE WHEN regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN substr({c}, 1, 10) END AS day, {c} IS NOT NULL AS filled FROM {source}" for c in texts]
+    found = f"SELECT name, min(day) AS low, max(day) AS high FROM ({' UNION ALL '.join(days)}) GROUP BY 1 HAVING 10 * count(day) >= 9 * count_if(filled) AND count_if(filled) > 0"
+    return f"SELECT '{source}' AS source, (SELECT CASE WHEN count(*) = 1 AND min(low) <> max(high) THEN min(name) END FROM ({found})) AS bucket"
+
+
+_DAYS = [("orders", ["o_orderdate"], ["o_orderstatus", "o_orderpriority"]), ("lineitem", ["l_shipdate"], ["l_returnflag", "l_linestatus"]), ("events", ["ts"], ["event_type", "props"]), ("customer", [], ["c_name", "c_mktsegment"])]
+
+
+@query(" UNION ALL ".join(_bucket_sql(*x) for x in _DAYS))
 def bucket_detect(spark, sf_dir):
     rows = [(n, totals.resolve_bucket(totals.profile(t(spark, sf_dir, n))[1], None)) for n in ("orders", "lineitem", "events", "customer")]
     return spark.createDataFrame(rows, "source string, bucket string")
@@ -185,10 +212,10 @@ def bucket_detect(spark, sf_dir):
 def _events_text(spark, sf_dir, bad: int):
     """Event times as ISO text, some of them no dates."""
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return t(spark, sf_dir, "events").select(F.when(F.col("event_id") % bad == 0, "soon").otherwise(ts).alias("at"), "event_id")
+    return t(spark, sf_dir, "events").select(F.when(F.col("event_id") % bad == 0, "soon").otherwise(ts).alias("happened"), "event_id")
 
 
-@query(_totals_sql("(SELECT CASE WHEN event_id % 20 = 0 THEN NULL ELSE ts END AS at, event_id FROM events)", 2, ["event_id"], bucket="at"))
+@query(_totals_sql("(SELECT CASE WHEN event_id % 20 = 0 THEN NULL ELSE ts END AS happened, event_id FROM events)", 2, ["event_id"], bucket="happened"))
 def period_buckets_unbucketed(spark, sf_dir):
     return totals.long_totals(_events_text(spark, sf_dir, 20))
 
@@ -228,11 +255,30 @@ def totals_delta_filter(spark, sf_dir):
     return totals.delta_rows(totals.long_totals(orders), totals.long_totals(orders.filter("o_orderstatus <> 'F'")))
 
 
-@query()
+_EVENTS, _FEWER = "events", "(SELECT * FROM events WHERE event_id % 10 <> 0)"
+
+
+def _structured_sql() -> str:
+    """Moved counts, sums and date ranges of events without a tenth of them, and the days whose totals moved."""
+    both = lambda x: f"(SELECT {x} FROM {_EVENTS}) AS before, (SELECT {x} FROM {_FEWER}) AS after"
+    parts = [f"SELECT 'row_count' AS section, '' AS name, {both('count(*)::VARCHAR')}"]
+    parts += [f"SELECT 'numeric_sums', '{n}', {both(_plain(f'sum({_num(n)})'))}" for n in ("event_id", "user_id", "value")]
+    spans = f"min({_time('ts')}) || ' ' || max({_time('ts')})"
+    parts.append(f"SELECT 'date_ranges', 'ts', {both(spans)}")
+    days = f"SELECT {_day('ts')} AS day, count(*) AS n FROM {{}} GROUP BY 1"
+    parts.append(f"SELECT 'period_buckets_changed', day, NULL, NULL FROM ({days.format(_EVENTS)}) a FULL JOIN ({days.format(_FEWER)}) b USING (day) WHERE a.n IS DISTINCT FROM b.n")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE section = 'period_buckets_changed' OR before IS DISTINCT FROM after"
+
+
+@query(_structured_sql())
 def structured_delta(spark, sf_dir):
     events = t(spark, sf_dir, "events")
     found = totals.structured_delta(totals.control_totals(events), totals.control_totals(events.filter("event_id % 10 <> 0")))
-    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in found.items()], "section string, detail string")
+    text = lambda v: f"{v['min']} {v['max']}" if isinstance(v, dict) else str(v)
+    rows = [(k, "", text(found[k]["before"]), text(found[k]["after"])) for k in ("row_count", "column_count") if k in found]
+    rows += [(k, n, text(v["before"]), text(v["after"])) for k in ("numeric_sums", "null_counts", "date_ranges") for n, v in found.get(k, {}).items()]
+    rows += [("period_buckets_changed", day, None, None) for day in found.get("period_buckets_changed", [])]
+    return spark.createDataFrame(rows, "section string, name string, before string, after string")
 
 
 # stages and joins ------------------------------------------------------------------
@@ -306,7 +352,7 @@ def break_grid(spark, sf_dir):
     return links.break_grid(totals.long_totals(part), totals.long_totals(part.filter("p_size <> 7")))
 
 
-@query("SELECT unnest(['p_partkey', 'p_size', 'p_retailprice']) AS \"column\"")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM part HAVING {_num_sum} IS DISTINCT FROM {_num_sum} FILTER (p_size <> 7)" for c in ("p_partkey", "p_size", "p_retailprice") for _num_sum in (f"sum({_num(c)})",)))
 def changed_columns(spark, sf_dir):
     part = t(spark, sf_dir, "part")
     return links.changed_columns(totals.long_totals(part), totals.long_totals(part.filter("p_size <> 7")))
@@ -317,6 +363,14 @@ def timeline_row_delta(spark, sf_dir):
     return links.row_deltas(_chains(spark, sf_dir))
 
 
+@query(f"SELECT chain, position FROM (SELECT chain, position, row_count, lag(row_count) OVER (PARTITION BY chain ORDER BY position) AS before FROM {_RECEIPTS}) WHERE position > 0 AND row_count <> before")
+def drift(spark, sf_dir):
+    from pyspark.sql import Window
+
+    placed = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("position"), (F.col("o_orderkey") % 50).cast("string").alias("value"))
+    return links.totals_drift(placed.select("chain", "position", F.lit("row_count").alias("section"), F.lit("").alias("name"), "value"))
+
+
 @query("SELECT s_nationkey::BIGINT AS chain, s_name AS name, s_suppkey::VARCHAR AS recorded, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey + 1)::VARCHAR END AS actual FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0")
 def receipt_file_mismatch(spark, sf_dir):
     base = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("chain"), F.col("s_name").alias("name"), "s_suppkey")
@@ -389,9 +443,16 @@ for _case, (_runs, _share, _created, _band, _settle, _flag) in _CASES.items():
     )
 
 
-@query(f"WITH j AS ({_judge_sql(*_CASES['judge_settling_band'][:5])}) SELECT type, metric, count(*) AS periods FROM j GROUP BY 1, 2")
+_WORST = """WITH j AS ({judged}), n AS (SELECT *, before::DECIMAL(26,6) AS b, after::DECIMAL(26,6) AS a FROM j),
+    w AS (SELECT type, metric, period, before, after, count(*) OVER (PARTITION BY type, metric) AS periods, row_number() OVER (PARTITION BY type, metric ORDER BY type = 'band_breach' AND b = 0 DESC,
+      CASE WHEN type = 'settled_movement' THEN abs(a - b)::DOUBLE WHEN b <> 0 THEN abs(a - b) / abs(b) END DESC NULLS LAST, period) AS n FROM n)
+    SELECT type, metric, period, before, after, periods FROM w WHERE n = 1"""
+
+
+@query(_WORST.format(judged=_judge_sql(*_CASES["judge_settling_band"][:5])))
 def judge_flood_control(spark, sf_dir):
-    return judge.worst(_judged(spark, sf_dir, *_CASES["judge_settling_band"])).select("type", "metric", "periods")
+    found = judge.worst(_judged(spark, sf_dir, *_CASES["judge_settling_band"]))
+    return found.select("type", "metric", "period", *[cells.plain_text(F.col(c).cast(cells.DEC)).alias(c) for c in ("before", "after")], "periods")
 
 
 @query(f"WITH j AS ({_judge_sql(*_CASES['judge_settling_band'][:5])}) SELECT period, string_agg(metric, ',' ORDER BY metric) AS metrics FROM j GROUP BY 1")
@@ -456,12 +517,25 @@ def new_period_count(spark, sf_dir):
     return runlog.new_periods(_days(spark, sf_dir, "true"), _days(spark, sf_dir, "ts < '2024-01-26'")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(DISTINCT CAST(ts AS DATE)) FILTER (ts >= TIMESTAMP '2024-01-26') AS new_periods, count(DISTINCT CAST(ts AS DATE)) FILTER (ts >= TIMESTAMP '2024-01-26') > 3 AS capped FROM events")
+def rate_cap(spark, sf_dir):
+    from tallyline.streaming.watch import new_rows_or_periods
+
+    events = t(spark, sf_dir, "events").select("ts", "event_id")
+    sides = {k: {"kind": "source_manifest", "control_totals": totals.control_totals(df)} for k, df in (("committed", events.filter("ts < '2024-01-26'")), ("manifest", events))}
+    n = new_rows_or_periods(sides)
+    return spark.createDataFrame([(n, n > 3)], "new_periods long, capped boolean")
+
+
 @query("WITH a AS (SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1), b AS (SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events WHERE NOT (strftime(ts, '%d') = '09' AND event_id % 2 = 0) GROUP BY 1) SELECT coalesce(a.period, b.period) AS period, a.n AS before, b.n AS after FROM a FULL JOIN b ON a.period = b.period WHERE a.n IS DISTINCT FROM b.n")
 def moved_periods(spark, sf_dir):
     return runlog.moved_periods(_days(spark, sf_dir, "ts >= '2024-01-03'"), _days(spark, sf_dir, "not (day(ts) = 9 and event_id % 2 = 0)"))
 
 
-@query("SELECT h1 = h2 AS same, h1 = h3 AS changed FROM (SELECT 1 AS h1, 1 AS h2, 2 AS h3)")
+_NATION = ["n_name", "n_nationkey", "n_regionkey"]
+
+
+@query(f"SELECT a.semantic_hash = b.semantic_hash AS same, a.semantic_hash = c.semantic_hash AS changed FROM ({_hash_sql('nation', _NATION)}) a, ({_hash_sql('(SELECT * FROM nation ORDER BY n_nationkey DESC)', _NATION)}) b, ({_hash_sql('(SELECT * FROM nation WHERE n_nationkey <> 3)', _NATION)}) c")
 def noop_gate(spark, sf_dir):
     nation = t(spark, sf_dir, "nation")
     h = [canonical.semantic_hash(df) for df in (nation, nation.repartition(3).select(*reversed(nation.columns)), nation.filter("n_nationkey <> 3"))]
@@ -483,6 +557,13 @@ def feed_field_map(spark, sf_dir):
     return feeds.json_records(spark, json.dumps(rows).encode(), {"nation": "n_name", "region": "n_regionkey"})
 
 
+def _read_array(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an export as one array in a file of its own, read as such."""
+    lines = spark.read.text(path).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    lines.coalesce(1).write.text(f"{path}-array")
+    return readers.read_json(spark, f"{path}-array")
+
+
 def _round_trip(kind: str) -> Query:
     def run(spark, sf_dir):
         import uuid
@@ -491,13 +572,13 @@ def _round_trip(kind: str) -> Query:
 
         path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallyline_work/{kind}-{uuid.uuid4().hex}"
         export(t(spark, sf_dir, "supplier"), path, kind)
-        read = {"csv": readers.read_csv, "tsv": readers.read_tsv, "ndjson": readers.read_ndjson}[kind]
+        read = {"csv": readers.read_csv, "tsv": readers.read_tsv, "ndjson": readers.read_ndjson, "json": _read_array}[kind]
         return canonical.canonical_cells(read(spark, path))
 
     return run
 
 
-for _kind in ("csv", "tsv", "ndjson"):
+for _kind in ("csv", "tsv", "ndjson", "json"):
     query(f"SELECT {_plain(_num('s_acctbal'))} AS s_acctbal, s_name, s_nationkey::VARCHAR AS s_nationkey, s_suppkey::VARCHAR AS s_suppkey FROM supplier", f"source_{_kind}_roundtrip")(_round_trip(_kind))
 
 

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.functions import cells, headers
-from tallyline.operators.canonical import semantic_hash
+from tallyline.operators.canonical import document_parts, semantic_hash
 from tallyline.plans import crypto, files, history, receipts
 from tallyline.sources import readers
 
@@ -63,9 +63,10 @@ def tolerance(band: str | None, settle: str | None, bucket_column: str | None) -
 
 def manifest_of(spark: SparkSession, path: str, seed: bytes, declared_origin: str = "", allowed: dict[str, Any] | None = None, bucket_column: str | None = None, sheet: str | None = None) -> tuple[dict[str, Any], DataFrame]:
     """The signed source manifest of a file, and its table."""
-    raw = Path(path).read_bytes()
+    with open(path, "rb") as file:
+        evidence = hashlib.file_digest(file, "sha256").hexdigest()  # in blocks; a source's file lies with the driver
     df = readers.load(spark, path, sheet)
-    made = receipts.source_manifest(df, seed, filename=Path(path).name, evidence_hash=hashlib.sha256(raw).hexdigest(), byte_size=len(raw), declared_origin=declared_origin, semantic_hash=semantic_hash(df), tolerance=allowed, bucket_column=bucket_column)
+    made = receipts.source_manifest(df, seed, filename=Path(path).name, evidence_hash=evidence, byte_size=Path(path).stat().st_size, declared_origin=declared_origin, semantic_hash=semantic_hash(df), tolerance=allowed, bucket_column=bucket_column)
     return made, df
 
 
@@ -125,6 +126,24 @@ def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name
 
 def candidate(spark: SparkSession, path: str, folder: str | Path, seed: bytes, trusted: list[str] | None = None, sheet: str | None = None) -> dict[str, Any]:
     """A further period's manifest under the chain's own tolerance, judged but not committed."""
+    return _candidate(spark, folder, seed, trusted, lambda origin, allowed, bucket: manifest_of(spark, path, seed, origin, allowed, bucket, sheet))
+
+
+def candidate_of(df: DataFrame, filename: str, folder: str | Path, seed: bytes, trusted: list[str] | None = None) -> dict[str, Any]:
+    """The same of a table that has no file: its evidence is its canonical document, and the byte size that document's."""
+
+    def made(origin: str, allowed: dict[str, Any] | None, bucket: str | None) -> tuple[dict[str, Any], DataFrame]:
+        digest, size = hashlib.sha256(), 0
+        for part in document_parts(df):
+            digest.update(part)
+            size += len(part)
+        found = digest.hexdigest()
+        return receipts.source_manifest(df, seed, filename=filename, evidence_hash=found, byte_size=size, declared_origin=origin, semantic_hash=found, tolerance=allowed, bucket_column=bucket), df
+
+    return _candidate(df.sparkSession, folder, seed, trusted, made)
+
+
+def _candidate(spark: SparkSession, folder: str | Path, seed: bytes, trusted: list[str] | None, manifest: Callable) -> dict[str, Any]:
     receipts.recover(folder)
     held = receipts.load_receipts(folder)
     if not held:
@@ -135,8 +154,7 @@ def candidate(spark: SparkSession, path: str, folder: str | Path, seed: bytes, t
         raise UntrustedSigner(f"key {crypto.fingerprint(public)} isn't among the chain's trusted keys")
     allowed = held[0].get("tolerance")
     bucket = allowed.get("bucket_column") if isinstance(allowed, dict) else None
-    own = held[0].get("source") or {}
-    made, df = manifest_of(spark, path, seed, own.get("declared_origin", ""), allowed, bucket, sheet)
+    made, df = manifest((held[0].get("source") or {}).get("declared_origin", ""), allowed, bucket)
     judged = history.judge_run(spark, [made], None, history.load(folder, spark, keys))
     return {"manifest": made, "judgment": judged, "base_tail": receipts.tail_hash(folder), "unchanged": made["semantic_hash"] == held[0].get("semantic_hash"), "committed": held[0], "frame": df}
 

@@ -6,7 +6,6 @@ whole snapshots; a watermark is used only for the bounded per-day aggregate.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.plans import annotations, pipeline, receipts
-from tallyline.sources.writers import csv_text
 
 
 class IdentityError(ValueError):
@@ -30,26 +28,32 @@ def new_rows_or_periods(found: dict[str, Any]) -> int:
     return max(0, after.get("row_count", 0) - before.get("row_count", 0))
 
 
+def _kept(records: DataFrame, folder: str | Path, offered: dict[str, Any]) -> dict[str, Any]:
+    """The offer with the place of its rows: written by the cluster as Parquet beside the pending events, named by the hash that the manifest signs."""
+    path = Path(folder) / "withheld" / offered["manifest"]["semantic_hash"]
+    if not path.exists():
+        records.write.mode("overwrite").parquet(str(path.absolute()))
+    return offered | {"records": f"withheld/{path.name}"}
+
+
 def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: bytes, source_id: str, filename: str, trusted: list[str] | None = None, per_tick_cap: int | None = None, on_withhold: Callable[[dict[str, Any]], None] | None = None) -> dict[str, Any]:
     """One decision: unchanged, withheld, rate_capped or appended, looked for in this order."""
-    with tempfile.TemporaryDirectory() as place:
-        path = Path(place) / filename
-        path.write_text(csv_text(records), encoding="utf-8", newline="\n")
-        found = pipeline.candidate(spark, str(path), folder, seed, trusted)
-        found["frame"] = None
+    # As read from a csv file: text, and null where a cell is empty.
+    records = records.select(*[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in records.columns])
+    found = pipeline.candidate_of(records, filename, folder, seed, trusted)
     if found["unchanged"]:
         return {"decision": "unchanged"}
     judged = found["judgment"]
     if any("identity differs" in n for n in judged["notices"]):
         raise IdentityError(judged["notices"][0])
-    offered = {"manifest": found["manifest"], "records": [r.asDict() for r in records.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in records.columns]).collect()]}
+    offered = {"manifest": found["manifest"]}
     if judged["caveats"]:
-        path = annotations.withhold(spark, folder, seed, source_id, found["base_tail"], judged, offered)
+        path = annotations.withhold(spark, folder, seed, source_id, found["base_tail"], judged, _kept(records, folder, offered))
         if path is not None and on_withhold:
             on_withhold(judged)
         return {"decision": "withheld", "caveats": judged["caveats"], "new": path is not None}
     if per_tick_cap is not None and new_rows_or_periods(found) > per_tick_cap:
-        annotations.withhold(spark, folder, seed, source_id, found["base_tail"], {"caveats": [f"more than {per_tick_cap} new periods in one tick"], "details": [], "breached": {}}, offered)
+        annotations.withhold(spark, folder, seed, source_id, found["base_tail"], {"caveats": [f"more than {per_tick_cap} new periods in one tick"], "details": [], "breached": {}}, _kept(records, folder, offered))
         return {"decision": "rate_capped"}
     pipeline.commit(spark, folder, found, seed)
     return {"decision": "appended"}
@@ -71,8 +75,8 @@ def review(spark: SparkSession, folder: str | Path, seed: bytes, prefix: str, ac
     return "accepted" if accept else "rejected"
 
 
-def watch_stream(stream: DataFrame, table: Callable[[SparkSession], DataFrame], folder: str | Path, seed: bytes, checkpoint: str, source_id: str, filename: str, most_failures: int = 10, **options: Any):
-    """A query that ticks over the whole table whenever the stream brings rows. Repeated batches decide "unchanged", so replays do no harm."""
+def watch_stream(stream: DataFrame, table: Callable[[SparkSession], DataFrame], folder: str | Path, seed: bytes, checkpoint: str, source_id: str, filename: str, most_failures: int = 10, every: str | None = None, **options: Any):
+    """A query that ticks over the whole table whenever the stream brings rows, once or ``every`` so often. Repeated batches decide "unchanged", so replays do no harm."""
     failures = {"in a row": 0}
 
     def batch(df: DataFrame, _epoch: int) -> None:
@@ -87,7 +91,8 @@ def watch_stream(stream: DataFrame, table: Callable[[SparkSession], DataFrame],
             if failures["in a row"] >= most_failures:
                 raise
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def day_buckets(stream: DataFrame, time: str, sums: list[str], settle: str = "72 hours") -> DataFrame:
