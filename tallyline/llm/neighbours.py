@@ -7,7 +7,7 @@ makes a table of its products with all codewords; table look-ups rank the whole
 index, and the best of every batch are ranked again by exact cosines in double precision.
 
 The codebooks are fitted on a bounded sample; every usable row is in the index.
-Queries are taken in blocks of bounded size, each against all rows.
+The index is dealt to blocks of bounded size, and queries meet them by a shuffle.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null
 or non-finite components take no part. Equal vectors share one code and one score, and
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import materialise, unit_hash
+from tallyline.llm.common import map_arrow, materialise, unit_hash
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,10 +39,18 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return vectors[good], rows[good]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two, which are exact and leave no square to overflow or vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    scale = np.abs(vectors).max(axis=1, keepdims=True)
-    vectors = vectors / scale
-    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    vectors = _scaled(vectors)
+    return vectors / _norms(vectors)[:, None]
 
 
 class AnisotropicQuantiser:
@@ -106,33 +114,36 @@ class AnisotropicQuantiser:
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
 
 
-def _best_of(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, tables: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of one batch, each query's k nearest: (its place, ids, scores)."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors, codes = ids[order], vectors[order], codes[order]
-    raw = np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel()
-    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-    vectors, codes = vectors[first], codes[first]
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    for q in range(len(query_ids)):
-        near = tables[q, 0][codes[:, 0]]
-        for b in range(1, codes.shape[1]):
-            near = near + tables[q, b][codes[:, b]]
+class Block:
+    """Rows of the index that are searched together; equal vectors are looked at once."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, vectors, codes = ids[order], vectors[order], codes[order]
+        raw = np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel()
+        _, self.first, group = np.unique(raw, return_index=True, return_inverse=True)
+        self.members = np.argsort(group, kind="stable")
+        self.starts = np.searchsorted(group[self.members], np.arange(len(self.first) + 1))
+        self.vectors, self.codes = _scaled(vectors[self.first]), codes[self.first]
+        self.norms = _norms(self.vectors)
+
+    def nearest(self, query_id: int, query: np.ndarray, table: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the k best; query: scaled; table: its products with the codewords."""
+        near = table[0][self.codes[:, 0]]
+        for b in range(1, self.codes.shape[1]):
+            near = near + table[b][self.codes[:, b]]
         some = np.argpartition(-near, depth)[:depth] if len(near) > depth else np.arange(len(near))
-        query = queries[q]
-        exact = (vectors[some] * query).sum(axis=1) / (norms[some] * np.sqrt((query * query).sum()))
-        top = np.lexsort((first[some], -exact))[: k + 1]
+        exact = (self.vectors[some] * query).sum(axis=1) / (self.norms[some] * np.sqrt((query * query).sum()))
         own, scores = [], []
-        for g, s in zip(some[top], exact[top], strict=True):
-            members = np.unique(ids[by_group[starts[g] : starts[g + 1]]])[: k + 1]
-            members = members[members != query_ids[q]][:k]
-            own.append(members)
-            scores.append(np.full(len(members), s))
+        for at in np.lexsort((self.first[some], -exact))[: k + 1]:
+            g = some[at]
+            ids = np.unique(self.ids[self.members[self.starts[g] : self.starts[g + 1]]])[: k + 1]
+            ids = ids[ids != query_id][:k]
+            own.append(ids)
+            scores.append(np.full(len(ids), exact[at]))
         own, scores = np.concatenate(own), np.concatenate(scores)
         best = np.lexsort((own, -scores))[:k]
-        yield q, own[best], scores[best]
+        return own[best], scores[best]
 
 
 def fit(vectors: DataFrame, key: str, vector: str, sample: int = 20_000) -> AnisotropicQuantiser | None:
@@ -157,50 +168,62 @@ def build(vectors: DataFrame, model: AnisotropicQuantiser, key: str, vector: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "code"])
 
     usable = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    return materialise(usable.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).mapInArrow(run, "id long, vector array<double>, code binary"), "vectors")
-
-
-def search(index: DataFrame, model: AnisotropicQuantiser, chosen, k: int = 5, depth: int = 100, block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest to each indexed row that the condition ``chosen`` (on id) picks."""
-    queries = index.filter(chosen)
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id", "code"]).select("id", "vector").toArrow()
-        if not rows.num_rows:
-            continue
-        query_ids, (matrix, _) = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), model.dim)
-        own = index.mapInArrow(_scanner(model, query_ids, matrix, k, depth), "query_id long, vec_id long, score double")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    named = usable.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    return materialise(map_arrow(named, run, "id long, vector array<double>, code binary"), "vectors")
+
+
+def search(index: DataFrame, model: AnisotropicQuantiser, chosen, k: int = 5, depth: int = 500, block: int = 32_768) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest to each indexed row that the condition ``chosen`` (on id) picks.
+
+    The index is dealt by hash to blocks of about ``block`` rows (fewer where there are more CPUs than blocks), and
+    every query is sent to every block, where it meets the rows in one task; the best of all blocks are ranked.
+    """
+    rows = index.count()
+    blocks = max(1, -(-rows // block), min(index.sparkSession.sparkContext.defaultParallelism, -(-rows // 4096)))
+    deal = F.pmod(F.xxhash64("id", "code"), F.lit(blocks)).cast("int")
+    held = index.select(deal.alias("block"), F.lit(False).alias("query"), "id", "vector", "code")
+    asked = index.filter(chosen).dropDuplicates(["id", "code"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "vector", "code")
+    dealt = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "query")
+    found = map_arrow(dealt, _searcher(model, k, depth), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scanner(model: AnisotropicQuantiser, query_ids: np.ndarray, queries: np.ndarray, k: int, depth: int):
+def _searcher(model: AnisotropicQuantiser, k: int, depth: int):
+    """Of rows sorted by block, queries last: keeps a block's rows and answers the queries that follow."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.tables(queries)
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        number, parts, made = None, [], None
         for batch in batches:
-            vectors, rows = _matrix(batch.column(1), model.dim)
-            if not len(rows):
-                continue
-            ids = batch.column(0).to_numpy()[rows]
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)[rows]
-            for q, own, scores in _best_of(ids, vectors, codes, tables, query_ids, queries, k, depth):
-                if q in best:
-                    own, scores = np.concatenate([best[q][0], own]), np.concatenate([best[q][1], scores])
-                    top = np.lexsort((own, -scores))[:k]
-                    own, scores = own[top], scores[top]
-                best[q] = own, scores
-        if best:
-            sizes = [len(best[q][0]) for q in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[list(best)], sizes)), pa.array(np.concatenate([x[0] for x in best.values()])), pa.array(np.concatenate([x[1] for x in best.values()]))], names=["query_id", "vec_id", "score"])
+            blocks, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                ids = batch.column(2).to_numpy()[low:high]
+                vectors = _matrix(batch.column(3).slice(low, high - low), model.dim)[0]
+                if blocks[low] != number:
+                    number, parts, made = blocks[low], [], None
+                if not asks[low]:
+                    codes = np.frombuffer(b"".join(batch.column(4).slice(low, high - low).to_pylist()), dtype=np.uint8).reshape(high - low, -1)
+                    parts.append((ids, vectors, codes))
+                    continue
+                if made is None and parts:
+                    made, parts = Block(*map(np.concatenate, zip(*parts, strict=True))), []
+                if made is not None:
+                    yield from _answers(model, made, ids, _scaled(vectors), k, depth)
 
     return run
 
 
+def _answers(model: AnisotropicQuantiser, block: Block, ids: np.ndarray, queries: np.ndarray, k: int, depth: int, step: int = 256) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(ids), step):
+        some, tables = ids[low : low + step], model.tables(queries[low : low + step])
+        found = [block.nearest(int(i), q, t, k, depth) for i, q, t in zip(some, queries[low : low + step], tables, strict=True)]
+        columns = [np.repeat(some, [len(f[0]) for f in found]), *(np.concatenate([f[c] for f in found]) for c in (0, 1))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, **options) -> DataFrame:
     """The k nearest rows by cosine of every row whose key is divisible by ``every``."""
     model = fit(vectors, key, vector)
