@@ -145,6 +145,18 @@ def discard_frames(*frames: DataFrame) -> None:
         discard(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles()})
 
 
+def join_split(rows: DataFrame, facts: DataFrame, on: str, weight: str, share: int = 1000) -> DataFrame:
+    """rows joined (left) with facts, which has one row for each value of ``on`` and in ``weight`` how many rows have it.
+
+    Values that more than one row in ``share`` has are fewer than ``share``: their facts are broadcast, so
+    their rows stay where they are; all other rows are shuffled. facts must be cheap to read twice.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * share > total
+    often, rest = F.broadcast(facts.filter(hot)), facts.filter(~hot)
+    return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(rest, on, "left"))
+
+
 def free_name(taken: Sequence[str], wanted: str) -> str:
     """wanted, or wanted with underscores until no column of the input has that name (case-insensitively)."""
     low = {x.lower() for x in taken}

@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_texts, discard_frames, materialise, ranges, without_gc, word_ids
+from tallyline.llm.common import arrow_texts, discard_frames, join_split, map_arrow, materialise, ranges, without_gc, word_ids
 
 WORD = re.compile(r"\w+")
+#: Of a sketch, at least; more runs than that take as many.
 COORDINATES = 64
+#: A run's number has eight bits of a bucket's name.
+MOST_RUNS = 255
 #: An estimate from 64 coordinates is this far below the truth in one of some ten thousand pairs.
 SLACK = 0.2
 
@@ -70,13 +73,13 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray
     return run[new], np.bincount(text[new], minlength=len(counts))
 
 
-def _sketches(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _sketches(shingles: np.ndarray, starts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """(sets, coordinates) of smallest hashes, 32 bits each; starts: of sets that aren't empty."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     high = shingles.astype(np.uint32)
-    out = np.empty((len(starts), COORDINATES), dtype=np.uint32)
+    out = np.empty((len(starts), coordinates), dtype=np.uint32)
     rng = np.random.default_rng(17)
-    for c in range(COORDINATES):
+    for c in range(coordinates):
         a, b = (int(x) for x in rng.integers(1, 1 << 32, 2))
         x = low * np.uint32(a | 1) + high * np.uint32(b | 1)
         x ^= x >> np.uint32(15)
@@ -86,8 +89,8 @@ def _sketches(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hash_sets(texts: pa.Array, sketch: bool) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """By text: node (a hash of its set), set size, and the sketch or else the set, as bytes; nulls without words."""
+def _hash_sets(texts: pa.Array, sketch: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """By text: node (a hash of its set), set size, and a sketch of that many coordinates or for 0 the set, as bytes; nulls without words."""
     shingles, counts = shingle_sets(texts)
     rows, ends = np.flatnonzero(counts), np.cumsum(counts)
     nodes, payload = [None] * len(texts), [None] * len(texts)
@@ -95,19 +98,19 @@ def _hash_sets(texts: pa.Array, sketch: bool) -> tuple[pa.Array, pa.Array, pa.Ar
         starts = (ends - counts)[rows]
         mixed = np.add.reduceat(_mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), starts) + np.add.reduceat(shingles, starts) * np.uint64(3)
         names = _mix(mixed ^ counts[rows].astype(np.uint64)).astype(np.int64)
-        held = _sketches(shingles, starts) if sketch else None
+        held = _sketches(shingles, starts, sketch) if sketch else None
         for k, row in enumerate(rows):
             nodes[row] = int(names[k])
             payload[row] = held[k].tobytes() if sketch else shingles[starts[k] : ends[row]].tobytes()
     return pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(payload, pa.binary())
 
 
-def _hasher(sketch: bool):
+def _hasher(sketch: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_gc():
             for batch in batches:
                 texts = arrow_texts(batch.column(1))
-                for low, high in ranges(texts, 8_000_000):
+                for low, high in ranges(texts, 4_000_000):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *_hash_sets(texts.slice(low, high - low), sketch)], names=["key", "node", "size", "data"])
 
     return run
@@ -142,7 +145,7 @@ def _dense(members: DataFrame, sketch: DataFrame, share: float = 0.5, coordinate
     return held.join(drawn, "path").groupBy("path").agg((F.avg(alike) >= share * coordinates).alias("dense"))
 
 
-def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame:
+def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int, coordinates: int) -> DataFrame:
     """(node, leaf, n): leaf buckets with n >= 2 nodes; leaf holds the run's number in its upper bits."""
     def word(coordinate):
         return F.substring(F.col("sketch"), coordinate * 4 + 1, 4)
@@ -164,8 +167,8 @@ def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame:
         done = level.filter(F.col("n") <= bucket).unionByName(big.filter("dense").select("node", "path", "n"))
         leaves = done if leaves is None else leaves.unionByName(done)
         big = big.filter("not dense")
-        first = F.pmod(F.xxhash64("path", F.lit(d)), F.lit(COORDINATES)).cast("int")
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - d)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES)).cast("int")
+        first = F.pmod(F.xxhash64("path", F.lit(d)), F.lit(coordinates)).cast("int")
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - d)), F.lit(coordinates - 1)).cast("int"), F.lit(coordinates)).cast("int")
         run = F.shiftrightunsigned("path", 56)
         children = F.array(*[named(run, F.col("path"), c, word(c)) for c in (first, second)])
         level = big.select("node", "path").join(sketch, "node").select("node", F.explode(children).alias("path")).distinct()
@@ -214,7 +217,7 @@ def _candidates(threshold: float):
         for t in grouped(batches, 3):
             leaf, a, b = (t.column(i)[0].as_py() for i in range(3))
             node, own, size = (t.column(n).to_numpy() for n in ("node", "own", "size"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), COORDINATES)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), -1)[:, :COORDINATES]
             low_bits = np.ascontiguousarray(sketch.astype(np.uint16).T)
             earlier = _earlier(leaf, [np.array(x, dtype=np.int64) for x in t.column("leaves").to_pylist()])
 
@@ -324,31 +327,37 @@ def components(edges: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.999, bucket: int = 200, depth: int = 4, tile: int = 1000) -> DataFrame:
     """A row per input row: key, node, class_id (the class's smallest key) and links (other documents at the threshold or above)."""
     kind = docs.schema[key].dataType.simpleString()
+    stays = threshold * (1 - (1 - threshold) ** 2) ** depth  # a similar pair shares the first token, then one of two in every split
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
+    if runs > MOST_RUNS:
+        raise ValueError(f"a recall of {recall} at a similarity of {threshold} needs {runs} runs; at most {MOST_RUNS} are possible")
+    coordinates = max(COORDINATES, runs)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     hashed = f"key {kind}, node long, size long, data binary"
-    base = materialise(rows.mapInArrow(_hasher(True), hashed).withColumnRenamed("data", "sketch"), "sketches")
-    nodes = base.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    base = materialise(map_arrow(rows, _hasher(coordinates), hashed).withColumnRenamed("data", "sketch"), "sketches")
+    nodes = base.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
-    stays = threshold * (1 - (1 - threshold) ** 2) ** 3
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
-    leaves = _paths(nodes.select("node", "sketch"), min(runs, COORDINATES), bucket, depth)
+    leaves = _paths(nodes.select("node", "sketch"), runs, bucket, depth, coordinates)
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     facts = materialise(nodes.join(held, "node"), "leaves")
     tiles = _tiled(leaves.join(facts.select("node", "size", "sketch", "leaves"), "node").select("leaf", "n", "node", "size", "sketch", "leaves"), tile).select("leaf", "a", "b", "node", "own", "size", "sketch", "leaves")
-    some = tiles.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(_candidates(threshold), "leaf long, a int, b int, node long, own int")
+    some = map_arrow(tiles.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b"), _candidates(threshold), "leaf long, a int, b int, node long, own int")
     some = materialise(some, "candidates")
     wanted = some.select("node").distinct()
-    keys = base.filter("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    sets = rows.join(keys.select("key").distinct(), rows["key"].eqNullSafe(keys["key"]), "left_semi").mapInArrow(_hasher(False), hashed)
+    # Only rows with the key of a wanted set are hashed again.
+    keys = nodes.join(wanted, "node", "left_semi").select("key").distinct()
+    sets = map_arrow(rows.join(keys, rows["key"].eqNullSafe(keys["key"]), "left_semi"), _hasher(0), hashed)
     sets = sets.filter("node is not null").join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "data")
     tiled = some.join(sets, "node").join(facts.select("node", "copies", "leaves"), "node").select("leaf", "a", "b", "node", "own", "copies", "leaves", "data")
-    found = tiled.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(_verified(threshold), "node long, root long, links long")
+    found = map_arrow(tiled.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b"), _verified(threshold), "node long, root long, links long")
     found = materialise(found, "links")
     roots = components(found.select("node", "root"))
     counted = found.groupBy("node").agg(F.sum("links").alias("near")).join(roots, "node", "left")
-    classes = nodes.select("node", "copies").join(counted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    placed = materialise(base.select("key", "node").join(classes, "node", "left"), "classes")
-    discard_frames(base, nodes, facts, some, found, roots)
-    named = materialise(placed.filter("node is not null").groupBy("root").agg(F.min("key").alias("class_id")), "names")
-    out = placed.join(named, "root", "left").select("key", "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return out.withColumnRenamed("key", key)
+    classes = nodes.select("node", "copies", "key").join(counted, "node", "left").select("node", "copies", "key", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    classes = materialise(classes, "classes")
+    names = materialise(classes.groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("n")), "names")
+    named = materialise(join_split(classes.drop("key"), names, "root", "n").select("node", "copies", "class_id", "links"), "named")
+    placed = join_split(base.filter("node is not null").select("key", "node"), named, "node", "copies").select("key", "node", "class_id", "links")
+    alone = base.filter("node is null").select("key", "node", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    discard_frames(nodes, facts, some, found, roots, classes, names)
+    return placed.unionByName(alone).withColumnRenamed("key", key)
