@@ -65,32 +65,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(sizes == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / sizes)
 
 
+def _longs(values: list[int]) -> Column:
+    """An array that stands in the plan as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """How many bounds are below the key, by two short searches."""
     width = max(1, round(len(bounds) ** 0.5))
-    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
-    part = F.greatest(below(longs([p[0] for p in parts])) - 1, F.lit(0))
-    return part * width + below(F.get(F.array(*map(longs, parts)), part))
+    part = F.greatest(below(_longs(bounds[::width])) - 1, F.lit(0))
+    return _let(part, lambda p: p * width + below(F.slice(_longs(bounds), p * width + 1, F.lit(width))))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], rows_per_bucket: int = 500) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], rows_per_bucket: int = 500, most_buckets: int = 20_000) -> DataFrame:
     """The rows, with what the row after them (by descending key, cyclically) has in ``columns``, as next_<column>.
 
-    Buckets end at approximate quantiles that are keys themselves. The last row of a
-    bucket needs the first of the one below, whose key is a bound, so rows at
-    bounds are sent to both. One exchange moves the rows; no task has more than a few buckets.
+    Buckets end at approximate quantiles that are keys themselves; the driver receives these alone, ``most_buckets``
+    at most. The last row of a bucket needs the first of the one below, whose key is a bound, so rows at
+    bounds are sent to both. One exchange moves the rows; no task has more than a few buckets, and
+    a bucket is sorted with spilling. Rows that share a key share a bucket.
     """
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(at.alias("at"))
     n, top = ids.agg(F.count("*"), F.max("at")).first()
     if not n:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    wanted = -(-n // rows_per_bucket)
+    wanted = min(most_buckets, -(-n // rows_per_bucket))
     found = ids.agg(F.percentile_approx("at", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else []
     bounds = sorted({*found, top})
-    last, held = F.lit(len(bounds) - 1), F.array(*[F.lit(x).cast("long") for x in bounds])
+    last, held = F.lit(len(bounds) - 1), _longs(bounds)
     to = _let(_bucket(F.col("_at"), bounds), lambda b: F.when(F.get(held, b) == F.col("_at"), F.array(b, -1 - F.when(b == last, 0).otherwise(b + 1))).otherwise(F.array(b)))
     rest = [c for c in docs.columns if c not in columns]
     sent = docs.select(*rest, F.struct(*columns).alias("_row"), at.alias("_at")).withColumn("_to", F.explode(to))  # below 0: -1 - bucket, a copy
@@ -112,5 +116,3 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 3)))"), F.substring(F.col("next_text"), F.lit(1), cut))
     return paired.withColumn("edited", edited).withColumn("edited_entries", entries(F.col("edited"))).drop("next_text").withColumnsRenamed({"key": key, "text": text})
-
-
