@@ -79,5 +79,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_fingerprints, op4_sentence_spans, op5_warc, op6_neighbours, op7_jaccard, op8_pieces, op9_language_id, op10_quotes)}
 
 
+#: The 160 bits of a SHA-1 digest in base32: five of ten hexadecimal digits make a letter.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(digest, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER), 1)), '')"
+
+ORACLES = {
+    "op5_warc": f"""
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        groups AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM groups
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

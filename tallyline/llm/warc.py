@@ -112,7 +112,7 @@ def read(spark: SparkSession, path: str, most_broadcast: int = 100_000) -> DataF
     size = F.octet_length("value").cast("long")
     whole = F.coalesce(size == F.octet_length(header) + length + 8, F.lit(False))
     facts = materialise(
-        chunks.select("file", "block", "row", size.alias("size"), (F.octet_length(header) + length + 8).alias("declared"), whole.alias("whole"), *[F.when(whole, c).alias(n) for n, c in _parsed(F.col("value"), length).items()]),
+        chunks.select("file", "block", "row", size.alias("size"), F.xxhash64("value").alias("mark"), (F.octet_length(header) + length + 8).alias("declared"), whole.alias("whole"), *[F.when(whole, c).alias(n) for n, c in _parsed(F.col("value"), length).items()]),
         "warc-facts",
     )
     order = Window.partitionBy("file").orderBy("block", "row")
@@ -127,8 +127,11 @@ def read(spark: SparkSession, path: str, most_broadcast: int = 100_000) -> DataF
     records = true.filter("whole").select("file", "at", *fields)
     if true.filter("not whole").limit(1).count():
         owner = F.last(F.when(F.col("on"), F.struct("at", "whole", "declared")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-        owned = placed.join(on, ["file", "at"], "left").select("file", "block", "row", "at", owner.alias("owner")).filter("not owner.whole")
-        parts = chunks.join(_bounded(owned, most_broadcast), ["file", "block", "row"])
+        owned = placed.join(on, ["file", "at"], "left").select("file", "mark", "at", owner.alias("owner")).filter("not owner.whole")
+        # The archive is read again for these chunks alone; a chunk is known by its file and its contents.
+        marks = _bounded(owned.select("file", "mark").distinct(), most_broadcast)
+        values = chunks.withColumn("mark", F.xxhash64("value")).join(marks, ["file", "mark"]).groupBy("file", "mark").agg(F.first("value").alias("value"))
+        parts = owned.join(values, ["file", "mark"])
         texts = parts.groupBy("file", F.col("owner.at").alias("start"), F.col("owner.declared").alias("declared")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
         block = F.col("declared") - F.octet_length(_header(F.col("value"))) - 8
         records = records.unionByName(texts.select("file", F.col("start").alias("at"), *[c.alias(n) for n, c in _parsed(F.col("value"), block).items()]))

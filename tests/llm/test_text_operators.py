@@ -309,11 +309,22 @@ def test_neighbours(spark):
     assert got.keys() == want.keys()
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) > 0.95
     assert got[7] == want[7]  # the smallest ids among equal vectors
+    small = neighbours.search(neighbours.build(df, neighbours.fit(df, "vec_id", "embedding"), "vec_id", "embedding"), neighbours.fit(df, "vec_id", "embedding"), F.col("id") % 7 == 0, depth=50, block=100).collect()
+    assert sum(r.vec_id in want[r.query_id] for r in small) / sum(map(len, want.values())) > 0.95  # in seven blocks
     few = neighbours.nearest(df.filter("vec_id in (0, 1, 2)"), every=50).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_sizes_of_vectors_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8))
+    sizes = np.array([1e-300, 1e-200, 1.0, 1e200, 1e300])[rng.integers(0, 5, 60)]
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, plain = ({(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(frame(x), every=10).collect()} for x in (base * sizes[:, None], base))
+    assert got.keys() == plain.keys() and all(got[q][0] == plain[q][0] and abs(got[q][1] - plain[q][1]) < 1e-12 for q in plain)
+
+
 def test_codes_favour_the_parallel_part():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2000, 16))
@@ -398,14 +409,17 @@ def test_quotes(spark):
         (1, 1, "assistant", "> Hello there, how do I parse mail?\nUse a parser library."),
         (1, 2, "user", "On Monday someone wrote:\n>> Hello there, how do I PARSE  mail?\n> Use a parser library.\nThanks a lot."),
         (1, 3, "user", "> Second line here is longer.\nah"),
-        (None, 0, "u", "no conversation"), (None, 1, "u", None), (2, None, "u", ""), (2, 0, "u", "> not found anywhere at all\nhm"), (3, 0, "u", "same"), (3, 0, "u", "same"), (4, 0, "u", "> " * 3000),
+        (None, 0, "u", "no conversation"), (None, 1, "u", "> no conversation"), (None, 1, "u", None), (2, None, "u", ""), (2, 0, "u", "> not found anywhere at all\nhm"), (3, 0, "u", "same"), (3, 0, "u", "same"), (4, 0, "u", "> " * 3000),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, Position string").repartition(3)
-    got = {(r.conv_id, r.position): r for r in quotes.link(df).collect()}
-    assert len(got) == len(rows)
+    found = quotes.link(df).collect()
+    alone = [r for r in found if r.conv_id is None]
+    assert sorted(r.body for r in alone) == ["", "", "no conversation"] and all((r.position, r.parent, r.depth, r.place, r.linked) == (0, None, 0, 0, False) for r in alone)
+    got = {(r.conv_id, r.position): r for r in found if r.conv_id is not None}
+    assert len(found) == len(rows) == len(got) + len(alone)
     assert [(got[1, i].parent, got[1, i].linked, got[1, i].depth) for i in range(4)] == [(None, False, 0), (0, True, 1), (1, True, 2), (0, True, 1)]
     assert got[1, 2].body == "Thanks a lot." and got[1, 2].levels == 2 and [tuple(s) for s in got[1, 2].sources] == [(1, 1), (2, 0)]
-    assert (got[2, 1].parent, got[2, 1].linked, got[2, 1].body) == (0, False, "hm") and got[None, 1].body == ""
+    assert (got[2, 1].parent, got[2, 1].linked, got[2, 1].body) == (0, False, "hm")
     assert quotes.link(df.limit(0)).count() == 0
 
 
@@ -422,7 +436,8 @@ def test_quotes_of_parts_of_a_paragraph(spark):
     assert [got[10 + i] for i in range(4)] == [(9 + i, False) for i in range(4)]  # parts of sentences, and what is too short
 
 
-def test_conversations_in_reply_order(spark):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_conversations_in_reply_order(spark, most):
     rng = random.Random(2)
     rows, want = [(0, i, "u", f"plain {i}") for i in range(4)], [(0, i, i, i) for i in range(4)]
     for conv in range(1, 6):
@@ -437,6 +452,66 @@ def test_conversations_in_reply_order(spark):
 
         want += [(conv, k, i, depth) for k, (i, depth) in enumerate(walk(0, 0))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    got = quotes.conversations(df).collect()
+    got = quotes.link(df, most_in_a_row=most).orderBy("conv_id", "place").collect()
+    assert got == quotes.conversations(df).collect()
     assert [(r.conv_id, r.place, r.position, r.depth) for r in got] == want
     assert all(">" not in r.body for r in got)
+
+
+def test_large_conversations_are_numbered_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([None, 1, 2, 3, 4]), rng.choice("ab"), rng.choice(["x", "y", "z"])) for _ in range(400)] + [(9, 1, "a", "x")]
+    df = spark.createDataFrame(rows, "conv long, turn long, role string, text string").repartition(5)
+    got, plain = (sorted(tuple(r) for r in quotes._positions(df, most).select("conv", "position", F.coalesce("turn", F.lit(-1)), "text", "role").collect()) for most in (50, 10_000))
+    assert got == plain
+
+
+def plain_links(rows, least_chars):
+    """By brute force: the latest earlier message of the conversation whose body has a run of lines equal to a quotation of level 1."""
+    fold = lambda lines: " ".join(" ".join(lines).lower().split())
+    out, bodies = {}, collections.defaultdict(list)
+    for conv, turn, _, text in sorted(rows):
+        quoted, own = [], []
+        for line in text.split("\n"):
+            (quoted if line.startswith("> ") else own).append(line.removeprefix("> "))
+        cited = fold(quoted)
+        parent = None
+        if len(cited) >= least_chars:
+            for at, lines in enumerate(bodies[conv]):
+                if any(fold(lines[i:j]) == cited for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)):
+                    parent = at
+        bodies[conv].append([x for x in own if x.strip()])
+        out[conv, turn] = (parent, True) if parent is not None else (turn - 1 if turn else None, False)
+    return out
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(41)
+    lines = [" ".join(words(rng, rng.randint(1, 6))) for _ in range(40)]
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(8):
+            own = [rng.choice(lines) for _ in range(rng.randint(1, 6))]
+            quoted = []
+            if said and rng.random() < 0.7:
+                source = rng.choice(said)
+                at = rng.randrange(len(source))
+                quoted = [f"> {x.title() if rng.random() < 0.3 else x}" for x in source[at : at + rng.randint(1, 4)]]
+            rows.append((conv, turn, "u", "\n".join(quoted + own)))
+            said.append(own)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.position): (r.parent, r.linked) for r in quotes.link(df).collect()}
+    expected = plain_links(rows, 12)
+    assert got == expected and sum(v[1] for v in expected.values()) > 50
+
+
+def test_long_messages_and_long_conversations(spark):
+    rng = random.Random(42)
+    long = [" ".join(words(rng, 8)) for _ in range(5000)]
+    rows = [(1, 0, "u", "\n".join(long)), (1, 1, "u", "other words of some length here"), (1, 2, "u", "\n".join(f"> {x}" for x in long) + "\nyes"), (1, 3, "u", "\n".join(f"{'>' * (1 + k % 2)} {x}" for k, x in enumerate(long)))]
+    rows += [(2, i, "u", f"message {i} of this long conversation" if i % 50 else f"> message {i // 2 + 1} of this long conversation\nanswer {i}") for i in range(12_000)]
+    got = {(r.conv_id, r.position): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert (got[1, 2].parent, got[1, 2].linked, got[1, 3].parent) == (0, True, 0) and len(got) == len(rows)
+    assert all(got[2, i].parent == (i // 2 + 1 if i and not i % 50 and (i // 2 + 1) % 50 else i - 1 if i else None) for i in range(12_000))
+    assert sorted(got[2, i].place for i in range(12_000)) == list(range(12_000))
