@@ -94,7 +94,8 @@ def _as_python_text(value) -> str | None:
 def _fits(text: Column) -> Column:
     """Whether DECIMAL(38,18) holds the number without rounding."""
     fraction = F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
-    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]{1,6})$", 1).try_cast("int"), F.lit(0))
+    power = F.regexp_extract(text, r"[eE]([+-]?[0-9]{1,6})$", 1)
+    exponent = F.when(power == "", 0).otherwise(power.try_cast("int"))
     whole = F.length(F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1))
     return (fraction - exponent <= 18) & (whole + exponent <= 20) & ~text.rlike(r"[eE][+-]?[0-9]{7,}$")
 
@@ -102,7 +103,9 @@ def _fits(text: Column) -> Column:
 def needs_python(text: Column, stripped: bool = False) -> Column:
     """Whether a text may hold a number that only the slow path reads exactly."""
     t = text if stripped else strip(text)
-    return may_be_number(t) & t.rlike(WIDE_NUMBER) & t.rlike(r"\p{Nd}") & ~F.coalesce(t.rlike(NUMBER) & _fits(t), F.lit(False))
+    # Nested conditions: what stands behind an "and" may be computed for every cell.
+    narrow = F.when(t.rlike(NUMBER), _fits(t)).otherwise(False)
+    return F.when(may_be_number(t), F.when(t.rlike(WIDE_NUMBER), t.rlike(r"\p{Nd}") & ~narrow).otherwise(False)).otherwise(False)
 
 
 def needs_nfc(text: Column) -> Column:
@@ -111,7 +114,7 @@ def needs_nfc(text: Column) -> Column:
 
 def text_number(stripped: Column, slow: bool = False) -> Column:
     """The number that a stripped text reads as, or null."""
-    fast = F.when(may_be_number(stripped) & stripped.rlike(NUMBER) & _fits(stripped), stripped.try_cast(DEC))
+    fast = F.when(may_be_number(stripped), F.when(stripped.rlike(NUMBER), F.when(_fits(stripped), stripped.try_cast(DEC))))
     return F.coalesce(fast, _slow_number(F.when(needs_python(stripped, True), stripped))["number"]) if slow else fast
 
 

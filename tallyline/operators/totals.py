@@ -118,10 +118,10 @@ def _aggregates(plan: Plan, name: str) -> dict[str, Column]:
         out |= {"bottom": F.min(parts[0]), "top": F.max(parts[0])}
     if plan.is_text(name):
         text, day = F.col(f"t{i}"), F.col(f"d{i}")
-        grouped = F.when(parts[0].isNull() & cells.may_be_number(text) & text.rlike(cells.GROUPED), text)
+        grouped = F.when(parts[0].isNull() & cells.may_be_number(text), F.when(text.rlike(cells.GROUPED), text))
         out |= {"days": F.count(day), "first_day": F.min(day), "last_day": F.max(day), "grouped": F.count(grouped), "example": F.min(grouped)}
         if name not in plan.slow:
-            out["slow"] = F.coalesce(F.bool_or(parts[0].isNull() & cells.needs_python(text, True)), F.lit(False))
+            out["slow"] = F.coalesce(F.bool_or(F.when(parts[0].isNull(), cells.needs_python(text, True)).otherwise(False)), F.lit(False))
     return out
 
 

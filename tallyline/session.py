@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-PINNED = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+#: The JVM doesn't compile methods of more bytecodes than that; Spark's own bound leaves them to its interpreter, many times slower.
+METHOD_LIMIT, SPARKS_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000"), "65535"
+PINNED = {METHOD_LIMIT[0]: METHOD_LIMIT[1], "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -15,4 +17,6 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def pin(spark: SparkSession) -> SparkSession:
     """Sets what may be set at run time; canonical times need the UTC zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(METHOD_LIMIT[0], SPARKS_LIMIT) == SPARKS_LIMIT:
+        spark.conf.set(*METHOD_LIMIT)
     return spark
