@@ -140,3 +140,87 @@ def test_half_a_window_lies_whole_in_some_window():
         start, length, _ = model.windows(np.array([count]))
         size = min(13, count)
         assert all(any(a <= i and i + size <= a + n for a, n in zip(start, length, strict=True)) for i in range(count - size + 1))
+
+
+def plain_probability(net, words):
+    """A window's probability, word by word and unit by unit."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h, p = net.hidden, net.p
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        x = len(gram)
+        for c in gram:
+            x = ((x ^ ord(c)) * 0x9E3779B97F4A7C15) & mask
+            x ^= x >> 29
+        return x % net.buckets
+
+    inputs = []
+    for w in words:
+        edged = f"\x02{w}\x03"
+        grams = [edged[i : i + n] for n in toxicity.GRAMS for i in range(len(edged) - n + 1)]
+        chars = sum((p["chars"][bucket(g)].astype(np.float64) for g in grams), np.zeros(p["chars"].shape[1])) / np.sqrt(max(1, len(grams)))
+        inputs.append(np.concatenate([chars, p["words"][zlib.crc32(w.encode()) % net.buckets]]))
+    states = {}
+    for way, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        state = np.zeros(h)
+        for t in order:
+            g, s = inputs[t] @ p[f"W{way}"] + p[f"b{way}"], state @ p[f"U{way}"]
+            r, z = sig(g[:h] + s[:h]), sig(g[h : 2 * h] + s[h : 2 * h])
+            state = (1 - z) * np.tanh(g[2 * h :] + r * s[2 * h :]) + z * state
+            states[t, way] = state
+    both = [np.concatenate([states[t, "f"], states[t, "b"]]) for t in range(len(words))]
+    weights = np.exp([v @ p["v"] for v in both])
+    return sig(sum(w * v for w, v in zip(weights / weights.sum(), both, strict=True)) @ p["out"] + p["bias"][0])
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = random.Random(5)
+    net = toxicity.GatedNetwork(buckets=512, window=7, step=3, seed=4)
+    net.trained = True
+    texts = [" ".join("".join(rng.choice("abcdéß漢") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (0, 1, 2, 7, 8, 30)] + ["A!b  C", "..."]
+    got = net.score(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        words = toxicity.WORD.findall(text.lower())
+        starts = sorted({min(k, max(len(words) - net.window, 0)) for k in range(0, max(len(words) - net.window, 0) + net.step, net.step)})
+        expected = max((plain_probability(net, words[s : s + net.window]) for s in starts), default=0.0) if words else 0.0
+        assert abs(score - expected) < 1e-4, text
+
+
+def test_languages_are_those_of_a_plain_backoff():
+    rng = random.Random(8)
+    counts = {}
+    for lang, letters in (("x", "abcde"), ("y", "cdefg"), ("z", "efghi")):
+        for _ in range(60):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+            for size in (0, *language_id.ORDERS):
+                for unit in [word] if not size else [f"<{word}>"[i : i + size] for i in range(len(word) + 3 - size)]:
+                    counts[lang, size, unit] = counts.get((lang, size, unit), 0) + 1
+    model = language_id.LanguageModel([(*k, n) for k, n in counts.items()])
+    totals = {}
+    for (lang, size, _), n in counts.items():
+        totals[size, lang] = totals.get((size, lang), 0) + n
+    log = lambda lang, size, unit: np.log(counts.get((lang, size, unit), 0) + 1.0) - np.log(totals[size, lang] + 1000.0)
+
+    def plain(text):
+        words = language_id.WORD.findall(text.lower())
+        if not words:
+            return "und", 0.0
+        sums = dict.fromkeys("xyz", 0.0)
+        for w in words:
+            for size in (0, *language_id.ORDERS):
+                units = [w] if not size else [f"<{w}>"[i : i + size] for i in range(len(w) + 3 - size)]
+                known = [u for u in units if any((lang, size, u) in counts for lang in "xyz")]
+                if known:
+                    for lang in "xyz":
+                        sums[lang] += sum(log(lang, size, u) for u in known) / max(1, size)
+                    break
+        top = max(sums.values())
+        best = min(k for k, v in sums.items() if v == top)
+        return best, 1 / sum(np.exp(v - top) for v in sums.values())
+
+    texts = [" ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["12 !", "ZZZ", ""]
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        expected = plain(text)
+        assert lang == expected[0] and abs(score - expected[1]) < 1e-4, text

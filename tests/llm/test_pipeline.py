@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.llm import spans
 
@@ -92,6 +93,21 @@ def test_near_duplicates_under_one_key(spark):
     assert sorted(got, key=repr) == sorted(want + threes, key=repr)
 
 
+def test_stages_with_an_empty_table_and_clashing_columns(spark, corpus, tokenizers_path):
+    import corpus_pipeline
+
+    folder, rows, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = ["_id", "_n", "_key", "_Row", "_toxic_score", "_lang_pred", "_drop", "_removed", "hash", "node"]
+    clashing = docs.filter("doc_id < 40 or doc_id is null").select("*", *[F.lit(7).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        got = stage(spark, clashing, folder)
+        assert got.columns == clashing.columns and 0 < got.count() <= clashing.count() and got.filter("_n <> 7 or _id <> 7 or _key <> 7").count() == 0, name
+    assert corpus_pipeline.pack(spark, docs.limit(0), folder).count() == 0
+    assert {p.doc_id for p in corpus_pipeline.pack(spark, clashing, folder).collect()} == {r[0] for r in rows if r[0] < 40}
+
+
 def test_run_is_the_stages_in_order(spark, corpus, tokenizers_path):
     import corpus_pipeline
 

@@ -515,3 +515,37 @@ def test_long_messages_and_long_conversations(spark):
     assert (got[1, 2].parent, got[1, 2].linked, got[1, 3].parent) == (0, True, 0) and len(got) == len(rows)
     assert all(got[2, i].parent == (i // 2 + 1 if i and not i % 50 and (i // 2 + 1) % 50 else i - 1 if i else None) for i in range(12_000))
     assert sorted(got[2, i].place for i in range(12_000)) == list(range(12_000))
+
+
+def test_anchors_are_those_of_a_plain_search(spark):
+    import struct
+
+    import regex
+    import xxhash
+
+    rng = random.Random(51)
+    texts = [" ".join(words(rng, rng.choice([0, 1, 3, 4, 5, 6, 7, 40, 200]), ["al", "be", "ce", "da", "漢字", "e.f", "Gh,"])) for _ in range(80)]
+    unit = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{N}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+|[^\s\p{L}\p{N}\p{M}]", regex.V1)
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def plain(text):
+        """(inner hashes that an entry takes, distance to the next anchor) of every anchor."""
+        h = [long(xxhash.xxh64_intdigest(u.encode(), seed=42)) for u in unit.findall(text.lower())]
+        if len(h) < 5:
+            return [tuple(h)] if h else []
+        g = []
+        for a, b in zip(h, h[1:], strict=False):
+            first = xxhash.xxh64_intdigest(struct.pack("<q", a), seed=42)
+            g.append(long(xxhash.xxh64_intdigest(struct.pack("<q", b), seed=first)))
+        at = [i for i in range(len(h) - 4) if min(g[i : i + 4]) in (g[i], g[i + 3])]
+        return [(g[i], g[i + 2], g[i + 3], (at[k + 1] if k + 1 < len(at) else i) - i) for k, i in enumerate(at)] if at else [tuple(h)]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: list(r.e) for r in df.select("i", syncmers.entries(F.col("t")).alias("e")).collect()}
+    named = {}
+    for i, text in enumerate(texts):
+        expected = plain(text)
+        assert len(got[i]) == len(expected), text
+        for entry, what in zip(got[i], expected, strict=True):
+            assert named.setdefault(entry, what) == what
+    assert len(named) == len({*named.values()}) > 100
