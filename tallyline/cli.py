@@ -50,6 +50,10 @@ def ingest(spark, args) -> int:
 def verify(spark, args) -> int:
     data = pipeline.readers.load(spark, args.data) if args.data else None
     result, judged = history.verify_and_judge(spark, args.folder, _trusted(args), data, args.warn_drift, _seed(args) if args.key else None)
+    if args.anchor_log:
+        from tallyline.plans import anchor as anchors
+
+        anchors.fold(result, args.folder, anchors.LogWitness(args.anchor_log))
     document = {"verdict": result.verdict, "lines": result.lines, "caveats": result.caveats, "caveat_details": judged["details"], "notices": judged["notices"], "broken_link": result.broken_link_detail, "data_mismatch": result.data_mismatch, "receipt_mismatch": result.receipt_mismatch}
     _say(args, document, result.lines + judged["notices"])
     return result.exit_code
@@ -71,6 +75,15 @@ def _side(folder: str | Path, name: str | None) -> dict[str, Any]:
     return held[0]
 
 
+def anchor(spark, args) -> int:
+    """Has chain.json attested by a witness: a log file that only grows."""
+    from tallyline.plans import anchor as anchors
+
+    path = anchors.anchor(args.folder, anchors.LogWitness(args.log))
+    _say(args, json.loads(path.read_text()), [f"anchored in {args.log}"])
+    return 0
+
+
 def diff(spark, args) -> int:
     a, b = _side(args.folder, args.a), _side(args.folder, args.b or "current")
     first = lambda side: {s["name"]: s for s in reversed(side["stages"])}
@@ -240,6 +253,9 @@ def parser() -> argparse.ArgumentParser:
     own = command(verify, pub=True)
     own.add_argument("--data")
     own.add_argument("--warn-drift", action="store_true")
+    own.add_argument("--anchor-log", help="the log in which chain.json was anchored; its finding joins the verdict")
+    own = command(anchor)
+    own.add_argument("--log", required=True)
     own = command(diff)
     own.add_argument("a", nargs="?")
     own.add_argument("b", nargs="?")

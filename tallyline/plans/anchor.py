@@ -16,6 +16,34 @@ class Witness(Protocol):
     def check(self, digest: str, proof: dict[str, Any]) -> bool: ...
 
 
+class LogWitness:
+    """A witness on this machine: a file that only grows, in which each line names a digest and seals the lines before it."""
+
+    def __init__(self, path: str | Path):
+        self.path = Path(path)
+
+    def _lines(self) -> list[str]:
+        return self.path.read_text(encoding="utf-8").splitlines() if self.path.exists() else []
+
+    @staticmethod
+    def _seal(lines: list[str]) -> str:
+        return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+    def attest(self, digest: str) -> dict[str, Any]:
+        lines = self._lines()
+        line = f"{receipts.now_iso()} {digest} {self._seal(lines)}"
+        with self.path.open("a", encoding="utf-8") as file:
+            file.write(line + "\n")
+        return {"line": len(lines), "text": line}
+
+    def check(self, digest: str, proof: dict[str, Any]) -> bool:
+        if not self.path.exists():
+            raise AnchorUnavailable(f"{self.path} isn't there")
+        lines, at = self._lines(), proof.get("line")
+        held = lines[at].split(" ") if type(at) is int and 0 <= at < len(lines) else []
+        return len(held) == 3 and lines[at] == proof.get("text") and held[1] == digest and held[2] == self._seal(lines[:at])
+
+
 class AnchorUnavailable(RuntimeError):
     """No witness can be reached."""
 

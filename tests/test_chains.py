@@ -167,6 +167,20 @@ def test_annotations_and_timeline(spark, chain, seed):
     assert [e.get("row_delta") for e in shown] == [None, -10, 0] and {(a["reason"], a["superseded"]) for a in shown[2]["annotations"]} == {("known", True), ("better", False)}
 
 
+def test_short_values():
+    assert receipts.short("1234567890") == "1234567890" and receipts.short("12345678901") == "1234...01"
+
+
+def test_red_findings_decide_in_their_order(spark, chain):
+    folder, _ = chain
+    held, key = receipts.load_receipts(folder), receipts.read_chain(folder)["public_key"]
+    names, good = receipts.receipt_names(folder), receipts.file_hashes(folder, receipts.receipt_names(folder))
+    both = receipts.verify_chain(spark, [held[0], held[2]], [key], names=[names[0], names[2]], recorded=good, actual=good | {names[0]: "x"})
+    assert both.receipt_mismatch == [names[0]] and both.broken_link is None and both.of("link") and both.lines[0].startswith("✗ RECEIPT FILE MISMATCH: 000_source.json")
+    strange = receipts.verify_chain(spark, [held[0], held[2]], [crypto.public_of(b"\1" * 32)], chain_key=key)
+    assert strange.broken_link == 1 and strange.exit_code == 1 and "unrecognized signing key" in strange.caveats[0]
+
+
 def test_link_relations(spark):
     rows = [("c", 0, "000_a", None, "h0", 5), ("c", 1, "001_b", "h0", "h1", None), ("c", 2, "003_c", "hX", "h2", 3), ("c", 3, "004_d", None, "h3", 4), ("d", 0, "001_x", None, "g0", 1)]
     df = spark.createDataFrame(rows, "chain string, position long, name string, input_hash string, output_hash string, row_count long")
@@ -196,6 +210,15 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["log", "--folder", folder, "--json"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["value"] == "30"
+    assert cli.main(["log", "--folder", folder, "--json", "--metric", "all"]) == 0
+    logged = {x["metric"]: x for x in json.loads(capsys.readouterr().out)}
+    assert logged["clicks"]["value"] == "330" and logged["clicks"]["band"] == "0.05" and logged["row_count"]["settle_hours"] == 72
+    anchored = str(tmp_path / "anchors.log")
+    assert cli.main(["anchor", "--folder", folder, "--log", anchored]) == 0 and cli.main(["anchor", "--folder", folder, "--log", anchored]) == 0
+    assert cli.main(["verify", "--folder", folder, "--anchor-log", anchored]) == 0 and cli.main(["verify", "--folder", folder, "--anchor-log", anchored + "x"]) == 2
+    (tmp_path / "anchors.log").write_text((tmp_path / "anchors.log").read_text().replace("T", "t", 1))
+    assert cli.main(["verify", "--folder", folder, "--anchor-log", anchored]) == 1
+    (tmp_path / "r" / "chain.json.anchor").unlink()
     (tmp_path / "in.csv").write_text(CSV.replace("2026-05-03,web,6", "2026-05-03,web,7"))
     assert cli.main(["verify", "--folder", folder, "--data", str(tmp_path / "in.csv")]) == 1
     assert cli.main(["ingest", str(tmp_path / "in.csv"), "--folder", folder, "--key", key, "--as", "period"]) == 2
