@@ -6,7 +6,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import spans
 
 
 def prose(rng, pool, n):
@@ -64,7 +63,7 @@ def test_stages(spark, corpus, tokenizers_path):
     docs = stages["sentence_spans"](spark, docs, folder).cache()
     after = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     assert docs.columns == columns and after.keys() == before.keys()
-    inner = [s.strip() for s in spans.sentences(passage)][1:]
+    inner = passage.split(". ")[1:]
     holders = sorted(i for i, t in before.items() if all(s in t for s in inner))
     assert len(holders) > 2 and [i for i in holders if any(s in after[i][0] for s in inner)] == holders[:1]
     assert all(after[i][0] == t for i, t in before.items() if i not in holders) and all(n == len(t) for t, n in after.values())
