@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -145,7 +145,7 @@ def discard_frames(*frames: DataFrame) -> None:
         discard(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles()})
 
 
-def join_split(rows: DataFrame, facts: DataFrame, on: str, weight: str, share: int = 1000) -> DataFrame:
+def join_split(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str, share: int = 1000) -> DataFrame:
     """rows joined (left) with facts, which has one row for each value of ``on`` and in ``weight`` how many rows have it.
 
     Values that more than one row in ``share`` has are fewer than ``share``: their facts are broadcast, so
@@ -157,6 +157,28 @@ def join_split(rows: DataFrame, facts: DataFrame, on: str, weight: str, share: i
     return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(rest, on, "left"))
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[Column], most: int = 10_000) -> DataFrame:
+    """Adds ``position``, the row's number in its group, from 0, in that order.
+
+    Groups of more than ``most`` rows are sorted over many tasks: by ranges of (group, order), so a row's number is its
+    place in its range plus the group's rows of earlier ranges.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(group)
+    large = materialise(sizes, "large-groups")  # fewer rows than the input has, divided by most
+    within = Window.partitionBy(group).orderBy(*order)
+    small = rows.join(large, group, "left_anti").withColumn("position", F.row_number().over(within).cast("long") - 1)
+    if not large.limit(1).count():
+        return small
+    by = [F.col(group), *order, F.col("tie")]
+    ranged = rows.join(large, group, "left_semi").withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialise(ranged.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "large-rows")
+    parts = ranged.groupBy(group, "part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))  # a row a range and a group in it
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.withColumn("before", before).drop("n")
+    placed = ranged.join(starts, [group, "part"]).withColumn("position", F.col("before") + F.col("seq") - F.col("first"))
+    return small.unionByName(placed.select(*small.columns))
+
+
 def free_name(taken: Sequence[str], wanted: str) -> str:
     """wanted, or wanted with underscores until no column of the input has that name (case-insensitively)."""
     low = {x.lower() for x in taken}
@@ -165,8 +187,8 @@ def free_name(taken: Sequence[str], wanted: str) -> str:
     return wanted
 
 
-def word_ids(texts, pattern) -> tuple:
-    """Words of lower-cased texts: (id of each word of all texts, words of each text, distinct words).
+def word_ids(texts, pattern, ascii_only: bool = False) -> tuple:
+    """Words of lower-cased texts: (id of each word of all texts, words of each text, distinct words). ascii_only: A to Z alone are lowered.
 
     texts: an Arrow string array without nulls. Texts are cut at blanks and line ends
     inside Arrow; the pattern then sees each distinct chunk once.
@@ -174,7 +196,8 @@ def word_ids(texts, pattern) -> tuple:
     import numpy as np
     import pyarrow.compute as pc
 
-    lists = pc.split_pattern(pc.replace_substring(pc.utf8_lower(texts), "\n", " "), " ")
+    lower = pc.ascii_lower(texts) if ascii_only else pc.utf8_lower(texts)
+    lists = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
     chunks = lists.flatten().dictionary_encode()
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     at: dict[str, int] = {}
