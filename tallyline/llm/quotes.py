@@ -4,9 +4,11 @@ A message's lines are parsed to quote levels: the number of leading ``>`` marks,
 between them allowed. Neighbouring lines of one level make a passage. A passage is
 normalised (lower case, white space as single blanks, attribution lines such as "... wrote:"
 left out) and hashed. A message's body is cut at line ends and after sentences, and every run of
-neighbouring pieces is offered, however the quotation wraps its lines; as runs are many, only
-those are hashed that begin as a quotation of the conversation does and are as long. A quoted passage of level 1 is joined to
-the earlier message that offers its hash, deeper levels to the same by their own hashes;
+neighbouring pieces is offered, however the quotation wraps its lines. As runs are many, none is hashed whole: running
+sums of a rolling hash over the body's words give the hash of any stretch as a difference of two. A quotation is told by
+its first and its last 2^k words, 2^k being at least half of it. These are joined with the stretches of that
+many words that begin, and end, with a piece, so a body's rows are its pieces, not its runs. A quoted passage of level 1 is joined to
+the latest earlier message that offers it, as of its position, deeper levels to the same by their own hashes;
 the message linked at level 1 is the parent. A message without such a link answers the
 message before it in its conversation, the first one starts a thread. Conversations are
 given out in the order of their reply trees: a message, then its answers by position, each
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import discard_frames, materialise
+from tallyline.llm.common import discard_frames, materialise, numbered
 
 MARKS = r"^[ \t]*(>[> \t]*)"
 #: A line that announces a quotation.
@@ -54,31 +56,78 @@ def _pieces(body: Column) -> Column:
     return F.filter(F.transform(cut, normalised), lambda x: x != "")
 
 
-def _starts(pieces: Column, least_chars: int) -> Column:
-    """array<struct<at:int, anchor:string>>: what a quotation that begins with a piece can begin with."""
-    shorter = range(-(-least_chars // DENSE_CHARS), least_chars)
-
-    def of(at: Column) -> Column:
-        # Pieces hold a character at least, so the beginnings of these hold the anchor, and one more as a blank at the end goes.
-        near = F.transform(F.slice(pieces, at + 1, least_chars), lambda x: F.substring(x, 1, least_chars + 1))
-        begin = F.substring(normalised(F.array_join(near, " ")), 1, least_chars)
-        anchors = F.when(begin.rlike(DENSE), F.array_distinct(F.array(begin, *[F.substring(begin, 1, n) for n in shorter]))).otherwise(F.array(begin))
-        return F.transform(anchors, lambda a: F.struct(at.alias("at"), a.alias("anchor")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), of))
-
-
-def _run(pieces: Column, at: Column, size: Column) -> Column:
-    """The run of pieces from ``at`` with that many characters, null where none ends there."""
-    rest = F.slice(pieces, at + 1, size)
-    begin = F.struct(F.lit(0).alias("n"), F.lit(False).alias("dense"), F.lit(False).alias("hit"))
-
-    def add(done: Column, piece: Column) -> Column:
-        blank = F.when((done["n"] == 0) | done["dense"] | piece.rlike("^" + DENSE), 0).otherwise(1)
-        n = done["n"] + blank + F.length(piece)
-        return F.struct(n.alias("n"), piece.rlike(DENSE + "$").alias("dense"), (done["hit"] | (n == size)).alias("hit"))
-
-    return F.when(F.aggregate(rest, begin, add)["hit"], F.substring(normalised(F.array_join(rest, " ")), F.lit(1), size))
+#: An ideograph, or what blanks and ideographs part: texts are equal once normalised where these are.
+TOKEN = DENSE + "|" + DENSE.replace("[", r"[^\s", 1) + "+"
+#: Prime moduli and bases of the rolling hashes; products of two remainders fit a long.
+MODULI, BASES = (2147483647, 2147483629), (1000003, 998244)
+
+
+def _power(base: int, n: Column, p: int) -> Column:
+    """base to the power of n, modulo p: a look-up for each byte of n."""
+    out = F.lit(1).cast("long")
+    for byte in range(4):
+        table = F.expr(f"array({','.join(f'{pow(base, digit << 8 * byte, p)}L' for digit in range(256 if byte < 3 else 128))})")
+        out = out * F.get(table, F.shiftright(n, 8 * byte).bitwiseAND(255)) % p
+    return out
+
+
+def _terms(token: Column, at: Column) -> dict[str, Column]:
+    """What a token at a place adds to the rolling hashes."""
+    return {f"h{i}": F.pmod(F.xxhash64(token, F.lit(i)), F.lit(p)) * _power(r, at, p) % p for i, (p, r) in enumerate(zip(MODULI, BASES, strict=True))}
+
+
+def _wanted(cited: DataFrame) -> DataFrame:
+    """(conv, hash, n, k, f0, f1, l0, l1) of distinct quotations: words, level, and hashes of the first and the last 2^k words."""
+    held = cited.select("conv", "hash", "quote").dropDuplicates(["conv", "hash"]).select("conv", "hash", F.regexp_extract_all("quote", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    sized = held.withColumn("n", F.size("tokens")).withColumn("k", F.length(F.bin("n")) - 1)
+    words = sized.select("conv", "hash", "n", "k", F.posexplode("tokens").alias("at", "token"))
+    width = F.call_function("shiftleft", F.lit(1), F.col("k"))
+    late = F.col("n") - width
+    first = {f"f{i}": F.when(F.col("at") < width, c) for i, c in enumerate(_terms(F.col("token"), F.col("at")).values())}
+    last = {f"l{i}": F.when(F.col("at") >= late, c) for i, c in enumerate(_terms(F.col("token"), F.greatest(F.col("at") - late, F.lit(0))).values())}
+    summed = words.withColumns(first | last).groupBy("conv", "hash", "n", "k").agg(*[F.sum(c).alias(c) for c in (*first, *last)])
+    return summed.withColumns({c: F.col(c) % MODULI[int(c[1])] for c in (*first, *last)})
+
+
+def _offered(offers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv, hash, origin): which quotations are runs of pieces of which messages; offers: conv, origin, pieces."""
+    levels = [r[0] for r in wanted.select("k").distinct().collect()] or [0]  # 31 at most
+    by_piece = offers.select("conv", "origin", F.posexplode("pieces").alias("piece", "text")).withColumn("tokens", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    words = by_piece.select("conv", "origin", "piece", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token"))
+    order = Window.partitionBy("conv", "origin").orderBy("piece", "j")
+    placed = words.withColumn("t", F.row_number().over(order) - 1)
+    placed = placed.withColumns(_terms(F.col("token"), F.col("t"))).withColumns({c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in ("h0", "h1")})
+    bodies = placed.groupBy("conv", "origin").agg(F.sort_array(F.collect_list(F.struct("t", "h0", "h1", (F.col("j") == 0).alias("first"), (F.col("j") == F.col("n") - 1).alias("last")))).alias("words"))
+
+    def stretches(side: str, begin) -> DataFrame:
+        """Of every piece's side the stretches of 2^k words that begin at begin(word, 2^k): conv, origin, at, k, h0, h1."""
+
+        def wide(word: Column, k: int) -> Column:
+            at = begin(word, 1 << k)
+            end, before = F.get("words", at + (1 << k) - 1), F.get("words", at - 1)
+            return F.struct(at.alias("at"), F.lit(k).alias("k"), *[(end[h] - F.coalesce(before[h], F.lit(0))).alias(h) for h in ("h0", "h1")])
+
+        every = F.flatten(F.transform(F.filter("words", lambda w: w[side]), lambda word: F.array(*[wide(word, k) for k in levels])))
+        rows = bodies.select("conv", "origin", F.explode(F.filter(every, lambda x: (x["at"] >= 0) & x["h0"].isNotNull())).alias("x")).select("conv", "origin", "x.*")
+        # Divided by the power of its place, a stretch hashes as it would at the beginning.
+        return rows.withColumns({f"h{i}": F.col(f"h{i}") % p * _power(pow(r, -1, p), F.col("at"), p) % p for i, (p, r) in enumerate(zip(MODULI, BASES, strict=True))})
+
+    starts = stretches("first", lambda word, width: word["t"]).withColumnsRenamed({"h0": "f0", "h1": "f1"})
+    ends = stretches("last", lambda word, width: word["t"] - width + 1).withColumnsRenamed({"h0": "l0", "h1": "l1"})
+    likely = starts.join(wanted, ["conv", "k", "f0", "f1"]).select("conv", "origin", "hash", "k", "l0", "l1", (F.col("at") + F.col("n") - F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("at"))
+    return likely.join(ends, ["conv", "origin", "at", "k", "l0", "l1"]).select("conv", "hash", "origin").distinct()
+
+
+def _latest(cited: DataFrame, offered: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(conv, position, level, origin): of each citing message the latest earlier one that offers the passage; by blocks of positions, so that no task sorts all of a hash."""
+    events = cited.select("conv", "hash", "position", "level", F.lit(None).cast("long").alias("origin")).unionByName(offered.select("conv", "hash", F.col("origin").alias("position"), F.lit(None).cast("int").alias("level"), "origin"))
+    events = events.withColumn("block", F.expr(f"position div {block}"))
+    within = Window.partitionBy("conv", "hash", "block").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    whole = events.groupBy("conv", "hash", "block").agg(F.max("origin").alias("most"))
+    before = Window.partitionBy("conv", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.withColumn("earlier", F.max("most").over(before)).filter("earlier is not null").drop("most")
+    own = events.withColumn("own", F.max("origin").over(within)).filter("level is not null")
+    return own.join(earlier, ["conv", "hash", "block"], "left").withColumn("origin", F.coalesce("own", "earlier")).filter("origin is not null").groupBy("conv", "position", "level").agg(F.max("origin").alias("origin"))
 
 
 def passages(text: Column) -> Column:
@@ -114,13 +163,10 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     cited = parsed.filter("quotes > 0 and conv is not null").select("conv", "position", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
     least_chars = max(1, least_chars)
     cited = cited.select("conv", "position", F.col("p.level").alias("level"), normalised(_without_attribution(F.col("p.text"))).alias("quote")).filter(_weight(F.col("quote")) >= least_chars)
-    cited = cited.select("conv", "position", "level", F.sha2("quote", 256).alias("hash"), F.substring("quote", 1, least_chars).alias("anchor"), F.length("quote").alias("size")).distinct()
+    cited = materialise(cited.select("conv", "position", "level", F.sha2("quote", 256).alias("hash"), "quote").distinct(), "cited")
     # Only conversations in which something is quoted need to offer their pieces.
     offers = parsed.join(cited.select("conv").distinct(), "conv", "left_semi").select("conv", F.col("position").alias("origin"), _pieces(F.col("body")).alias("pieces")).filter("size(pieces) > 0")
-    starts = offers.select("conv", "origin", F.explode(_starts(F.col("pieces"), least_chars)).alias("start")).select("conv", "origin", "start.at", "start.anchor")
-    likely = starts.join(cited.select("conv", "anchor", "size").distinct(), ["conv", "anchor"]).select("conv", "origin", "at", "size").distinct()
-    offered = likely.join(offers, ["conv", "origin"]).select("conv", "origin", F.sha2(_run(F.col("pieces"), F.col("at"), F.col("size")), 256).alias("hash")).distinct()
-    found = cited.join(offered, ["conv", "hash"]).filter("origin < position").groupBy("conv", "position", "level").agg(F.max("origin").alias("origin"))
+    found = _latest(cited, _offered(offers, materialise(_wanted(cited), "wanted")))
     direct = found.groupBy("conv", "position").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("origin"), F.sort_array(F.collect_list(F.struct("level", "origin"))).alias("sources"))
     answered = parsed.join(direct, ["conv", "position"], "left").withColumn("parent", F.coalesce("origin", F.when(F.col("position") > 0, F.col("position") - 1))).withColumn("linked", F.col("origin").isNotNull())
     answered = materialise(answered.select("conv", "turn", "role", "position", "parent", "linked", "quotes", "levels", "sources", "body"), "answers")
@@ -128,26 +174,9 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 
 def _positions(raw: DataFrame, most: int = 10_000) -> DataFrame:
-    """Adds the message's number in its conversation, by turn, then by a hash of the text.
-
-    Conversations of more than ``most`` messages are sorted over many tasks: by ranges of (conversation, turn, hash), so a
-    row's number is its place in its range plus the messages of earlier ranges.
-    """
+    """Adds the message's number in its conversation, by turn, then by a hash of the text."""
     keyed = raw.withColumn("order", F.xxhash64("text", "role"))
-    sizes = raw.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("conv")
-    large = materialise(sizes, "large-conversations")  # fewer rows than messages / most
-    within = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "order", "text")
-    small = keyed.join(large, "conv", "left_anti").withColumn("position", F.row_number().over(within).cast("long") - 1).drop("order")
-    if not large.limit(1).count():
-        return small
-    by = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("order"), F.col("text"), F.col("tie")]
-    ranged = keyed.join(large, "conv", "left_semi").withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged = materialise(ranged.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "large-messages")
-    parts = ranged.groupBy("conv", "part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))  # a row a range and a conversation in it
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.withColumn("before", before).drop("n")
-    numbered = ranged.join(starts, ["conv", "part"]).withColumn("position", F.col("before") + F.col("seq") - F.col("first"))
-    return small.unionByName(numbered.select(*small.columns))
+    return numbered(keyed, "conv", [F.col("turn").asc_nulls_first(), F.col("order"), F.col("text")], most).drop("order")
 
 
 def _walked(messages: DataFrame, most_in_a_row: int) -> DataFrame:
