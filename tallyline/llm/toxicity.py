@@ -230,11 +230,15 @@ class GatedNetwork:
         grams, word_of = np.concatenate(table.grams), np.concatenate(table.word_of)
         order = np.argsort(word_of, kind="stable")
         ends = np.searchsorted(word_of[order], np.arange(len(words) + 1))
-        pair = np.unique(ids * len(labels) + doc)  # a word counts once a text
-        bucket, sizes = gather(grams[order], ends[:-1], np.diff(ends), pair // len(labels))
-        for name, found, own in (("words", table.own[ids], doc), ("chars", bucket, np.repeat(pair % len(labels), sizes))):
-            pair = np.unique(found.astype(np.int64) * len(labels) + own)
-            yes, no = (np.bincount(pair[labels[pair % len(labels)] == k] // len(labels), minlength=self.buckets) + 0.5 for k in (1, 0))
+        grams = grams[order]
+        starts, sizes = ends[:-1], np.diff(ends)
+        texts = np.searchsorted(doc, np.arange(len(labels) + 1))
+        counts = {name: np.full((2, self.buckets), 0.5) for name in ("words", "chars")}
+        for k, label in enumerate(labels):  # a bucket counts once a text
+            own = np.unique(ids[texts[k] : texts[k + 1]])
+            counts["words"][int(label), np.unique(table.own[own])] += 1
+            counts["chars"][int(label), np.unique(gather(grams, starts, sizes, own)[0])] += 1
+        for name, (no, yes) in counts.items():
             z = (np.log(yes / ((labels == 1).sum() + 1)) - np.log(no / ((labels == 0).sum() + 1))) / np.sqrt(1 / yes + 1 / no)
             self.p[name][:, 0] = np.clip(z, 0, most) * scale
 
