@@ -59,11 +59,21 @@ def verify(spark, args) -> int:
     return result.exit_code
 
 
-def _side(folder: str | Path, name: str | None) -> dict[str, Any]:
+def _runs(spark, args) -> list[dict[str, Any]]:
+    """Archived runs that can be used; why others can't is said on standard error."""
+    notices: list[str] = []
+    found = history.load(args.folder, spark, _trusted(args), notices=notices)
+    for text in notices:
+        print(text, file=sys.stderr)
+    return found
+
+
+def _side(spark, args, name: str | None) -> dict[str, Any]:
     """A run's stages: an archived one by hash prefix, the latest one differing from the present, or the present chain."""
+    folder = args.folder
     if name == "current":
         return {"source": history.source_identity(receipts.load_receipts(folder)), "stages": history.stages(receipts.load_receipts(folder))}
-    held = history.load(folder)
+    held = _runs(spark, args)
     if name:
         held = [d for d in held if history.jcs.body_hash(d).startswith(name)]
         if len(held) != 1:
@@ -85,7 +95,7 @@ def anchor(spark, args) -> int:
 
 
 def diff(spark, args) -> int:
-    a, b = _side(args.folder, args.a), _side(args.folder, args.b or "current")
+    a, b = _side(spark, args, args.a), _side(spark, args, args.b or "current")
     first = lambda side: {s["name"]: s for s in reversed(side["stages"])}
     old, new = first(a), first(b)
     out, lines = [], [] if a["source"]["filename"] == b["source"]["filename"] else ["note: the runs have different sources"]
@@ -110,7 +120,7 @@ def log(spark, args) -> int:
     from tallyline.operators import judge, runlog
 
     runs, long = [], []
-    for d in history.load(args.folder):
+    for d in _runs(spark, args):
         run = history.jcs.body_hash(d)
         terms = d["tolerance"] if isinstance(d.get("tolerance"), dict) else {}
         flagged = sorted({m for ms in (d.get("breached") or {}).values() for m in ms})
@@ -146,7 +156,7 @@ def timeline(spark, args) -> int:
     document = annotations.timeline(spark, args.folder, _trusted(args))
     if args.key:
         document = receipts.signed(spark, document, _seed(args))
-    _say(args, document, [f"{e['stage']}: {e['row_count']} rows {e.get('row_delta', ''):+}" if "row_delta" in e else f"{e['stage']}: {e['row_count']} rows" for e in document["entries"]])
+    _say(args, document, [f"{e['stage']}: {e['totals'].get('row_count')} rows" + (f" {e['row_delta']:+}" if "row_delta" in e else "") for e in document["entries"]])
     return 0
 
 
@@ -256,10 +266,10 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--anchor-log", help="the log in which chain.json was anchored; its finding joins the verdict")
     own = command(anchor)
     own.add_argument("--log", required=True)
-    own = command(diff)
+    own = command(diff, pub=True)
     own.add_argument("a", nargs="?")
     own.add_argument("b", nargs="?")
-    own = command(log)
+    own = command(log, pub=True)
     own.add_argument("--metric", default="row_count", help="a metric's name, or all")
     own.add_argument("--by", choices=("day", "week", "month", "quarter"), default="day")
     own = command(annotate, key=True)
@@ -274,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--bundle", action="store_true")
     own = command(watch, key=True, pub=True)
     own.add_argument("feed")
-    own.add_argument("--filename", default="feed.csv")
+    own.add_argument("--filename", help="the source's identity; the feed's own name without it")
     own.add_argument("--fields", help="JSON object of output columns and feed fields")
     own.add_argument("--columnar", help="dotted path to parallel arrays")
     own.add_argument("--rss", action="store_true")

@@ -596,3 +596,41 @@ def stream_day_buckets(spark, sf_dir):
     run = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+def _work(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/tallyline_work"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Every event arrives an hour after it happened, but those whose number is a multiple of 97 five days after.
+_ARRIVED = "ts + CASE WHEN event_id % 97 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 1 HOUR END"
+_LATE = f"""WITH e AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS period, {_ARRIVED} AS arrived, {_num('value')} AS v FROM events),
+    l AS (SELECT *, arrived > date_trunc('day', ts) + INTERVAL 4 DAY AS late, CAST(round_even(v, 6) AS DECIMAL(38,6)) AS amount FROM e),
+    w AS (SELECT *, count(*) FILTER (NOT late) OVER (PARTITION BY period) AS rows0, coalesce(sum(amount) FILTER (NOT late) OVER (PARTITION BY period), 0) AS amount0,
+      count(*) FILTER (late) OVER (PARTITION BY period ORDER BY arrived, event_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS rows1, coalesce(sum(amount) FILTER (late) OVER (PARTITION BY period ORDER BY arrived, event_id::VARCHAR ROWS UNBOUNDED PRECEDING), 0) AS amount1 FROM l)
+    SELECT event_id::VARCHAR AS id, period, 'settled_movement' AS type, 'row_count' AS metric, (rows0 + rows1 - 1)::VARCHAR AS before, (rows0 + rows1)::VARCHAR AS after FROM w WHERE late
+    UNION ALL SELECT event_id::VARCHAR, period, 'settled_movement', 'amount', {_plain('amount0 + amount1 - coalesce(amount, 0)')}, {_plain('amount0 + amount1')} FROM w WHERE late AND coalesce(amount, 0) <> 0"""
+
+
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed as a stream; what is given out of settled days and late rows."""
+    from tallyline.streaming import late
+
+    schema = t(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived = F.col("ts") + F.when(F.col("event_id") % 97 == 0, F.expr("INTERVAL 5 DAYS")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    path = _work(spark, "late-rows")
+    found = late.flag_late(stream.withColumn("arrived", arrived), "ts", "arrived", "event_id", "value", settle_hours=72)
+    found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(late.EMITTED).parquet(f"{path}/rows")
+
+
+@query(_LATE)
+def stream_late_rows(spark, sf_dir):
+    from tallyline.streaming import late
+
+    return late.verdicts(_late_rows(spark, sf_dir)).drop("arrived")

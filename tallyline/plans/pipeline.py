@@ -155,8 +155,10 @@ def _candidate(spark: SparkSession, folder: str | Path, seed: bytes, trusted: li
     allowed = held[0].get("tolerance")
     bucket = allowed.get("bucket_column") if isinstance(allowed, dict) else None
     made, df = manifest((held[0].get("source") or {}).get("declared_origin", ""), allowed, bucket)
-    judged = history.judge_run(spark, [made], None, history.load(folder, spark, keys))
-    return {"manifest": made, "judgment": judged, "base_tail": receipts.tail_hash(folder), "unchanged": made["semantic_hash"] == held[0].get("semantic_hash"), "committed": held[0], "frame": df}
+    runs = history.load(folder, spark, keys)
+    judged = history.judge_run(spark, [made], None, runs)
+    own = any((r.get("source") or {}).get("filename") == made["source"]["filename"] for r in runs)
+    return {"manifest": made, "judgment": judged, "own_history": own, "base_tail": receipts.tail_hash(folder), "unchanged": made["semantic_hash"] == held[0].get("semantic_hash"), "committed": held[0], "frame": df}
 
 
 def commit(spark: SparkSession, folder: str | Path, found: dict[str, Any], seed: bytes) -> None:
@@ -167,7 +169,7 @@ def commit(spark: SparkSession, folder: str | Path, found: dict[str, Any], seed:
             raise StaleCandidate("the chain changed after the candidate was judged")
         keep_prior(folder)
         receipts.reset(folder, found["manifest"], crypto.public_of(seed))
-        history.archive(folder, history.snapshot([found["manifest"]], receipts.tail_hash(folder), spark, seed, breached=found["judgment"]["breached"] or None))
+        history.archive(folder, history.snapshot([found["manifest"]], receipts.tail_hash(folder), spark, seed, breached=found["judgment"]["breached"] or None), spark, history.keys_of(folder, seed=seed))
 
 
 def append_period(spark: SparkSession, path: str, folder: str | Path, seed: bytes, trusted: list[str] | None = None, sheet: str | None = None) -> dict[str, Any]:

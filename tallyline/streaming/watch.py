@@ -1,19 +1,28 @@
 """A watched source: each tick appends clean periods and withholds suspicious changes for review.
 
 The judge flags late changes instead of dropping them, so ticks run inside foreachBatch over
-whole snapshots; a watermark is used only for the bounded per-day aggregate.
+whole snapshots; a watermark is used only for the bounded per-day aggregate (late rows: see late.py).
+
+A batch that fails fails its query, so its offsets stay uncommitted; supervise() starts the query anew from its checkpoint, up to
+a number of failures in a row. What a batch decided is recorded in the ledger under the query's and the batch's number, so a
+batch that Spark runs again after the ledger was written is not judged again: its effect is had once.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 
-from tallyline.plans import annotations, pipeline, receipts
+from tallyline.plans import annotations, files, history, pipeline, receipts
 
 
 class IdentityError(ValueError):
@@ -28,24 +37,41 @@ def new_rows_or_periods(found: dict[str, Any]) -> int:
     return max(0, after.get("row_count", 0) - before.get("row_count", 0))
 
 
-def _kept(records: DataFrame, folder: str | Path, offered: dict[str, Any]) -> dict[str, Any]:
-    """The offer with the place of its rows: written by the cluster as Parquet beside the pending events, named by the hash that the manifest signs."""
-    path = Path(folder) / "withheld" / offered["manifest"]["semantic_hash"]
-    if not path.exists():
-        records.write.mode("overwrite").parquet(str(path.absolute()))
-    return offered | {"records": f"withheld/{path.name}"}
+def withheld_place(spark: SparkSession, folder: str | Path) -> str:
+    """Where the cluster writes withheld rows: a folder that driver and executors share, that of checkpoints; on a local master beside the ledger."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/tallyline-withheld"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("withheld rows are written by executors: set spark.checkpoint.dir to a folder that all of them share")
+    return str((Path(folder) / "withheld").absolute())
 
 
-def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: bytes, source_id: str, filename: str, trusted: list[str] | None = None, per_tick_cap: int | None = None, on_withhold: Callable[[dict[str, Any]], None] | None = None) -> dict[str, Any]:
-    """One decision: unchanged, withheld, rate_capped or appended, looked for in this order."""
+def _kept(records: DataFrame, folder: str | Path, offered: dict[str, Any]) -> dict[str, Any]:
+    """The offer with the place of its rows: written by the cluster as Parquet, under the hash that the manifest signs, and whole only if the writer's mark is there."""
+    spark = records.sparkSession
+    path = f"{withheld_place(spark, folder)}/{offered['manifest']['semantic_hash']}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        records.write.mode("overwrite").parquet(path)
+    return offered | {"records": path}
+
+
+def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: bytes, source_id: str, filename: str | None = None, trusted: list[str] | None = None, per_tick_cap: int | None = None, on_withhold: Callable[[dict[str, Any]], None] | None = None) -> dict[str, Any]:
+    """One decision: unchanged, withheld, rate_capped or appended, looked for in this order.
+
+    The source's identity is filename, or without one the source_id. A chain that holds runs of other sources alone may be
+    continued: there is no history of its own that the first append could be judged against.
+    """
+    filename = filename or source_id
     # As read from a csv file: text, and null where a cell is empty.
     records = records.select(*[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in records.columns])
     found = pipeline.candidate_of(records, filename, folder, seed, trusted)
     if found["unchanged"]:
         return {"decision": "unchanged"}
     judged = found["judgment"]
-    if any("identity differs" in n for n in judged["notices"]):
-        raise IdentityError(judged["notices"][0])
+    if found["own_history"] and history.NOTICES["other source"] in judged["notices"]:
+        raise IdentityError(f"{filename} has archived runs, but none that the new data can be judged against")
     offered = {"manifest": found["manifest"]}
     if judged["caveats"]:
         path = annotations.withhold(spark, folder, seed, source_id, found["base_tail"], judged, _kept(records, folder, offered))
@@ -59,6 +85,22 @@ def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: byte
     return {"decision": "appended"}
 
 
+def decided(folder: str | Path, query: str, batch: int) -> dict[str, Any] | None:
+    """What was decided for a batch of a query, None if nothing was yet."""
+    path = Path(folder) / "commits" / query / f"{batch}.json"
+    return json.loads(path.read_text(encoding="utf-8")) if path.exists() else None
+
+
+def once(folder: str | Path, query: str, batch: int, decide: Callable[[], dict[str, Any]]) -> dict[str, Any]:
+    """The decision on a batch, made once. If the ledger was written but not the record, the tick that follows decides "unchanged"."""
+    done = decided(folder, query, batch)
+    if done is None:
+        done = decide()
+        record = {"query": query, "batch": batch, "decision": done["decision"], "tail": receipts.tail_hash(folder), "at": receipts.now_iso()}
+        files.write_text(Path(folder) / "commits" / query / f"{batch}.json", files.text_of(record))
+    return done
+
+
 def review(spark: SparkSession, folder: str | Path, seed: bytes, prefix: str, accept: bool, reason: str, author: str) -> str:
     """Accepts a withheld change (its manifest becomes the chain, if the base is still current) or rejects it."""
     digest, event = annotations.pending_by_prefix(folder, prefix)
@@ -75,26 +117,65 @@ def review(spark: SparkSession, folder: str | Path, seed: bytes, prefix: str, ac
     return "accepted" if accept else "rejected"
 
 
-def watch_stream(stream: DataFrame, table: Callable[[SparkSession], DataFrame], folder: str | Path, seed: bytes, checkpoint: str, source_id: str, filename: str, most_failures: int = 10, every: str | None = None, **options: Any):
-    """A query that ticks over the whole table whenever the stream brings rows, once or ``every`` so often. Repeated batches decide "unchanged", so replays do no harm."""
-    failures = {"in a row": 0}
+def watch_stream(stream: DataFrame, table: Callable[[SparkSession], DataFrame], folder: str | Path, seed: bytes, checkpoint: str, source_id: str, filename: str | None = None, every: str | None = None, **options: Any) -> StreamingQuery:
+    """A query that ticks over the whole table whenever the stream brings rows, once or ``every`` so often. A failing tick fails the query."""
 
-    def batch(df: DataFrame, _epoch: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            tick(spark, table(spark), folder, seed, source_id, filename, **options)
-            failures["in a row"] = 0
-        except (IdentityError, pipeline.UntrustedSigner):
-            raise
-        except Exception:
-            failures["in a row"] += 1
-            if failures["in a row"] >= most_failures:
-                raise
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # kept in the checkpoint, the same after a restart
+        once(folder, query, number, lambda: tick(spark, table(spark), folder, seed, source_id, filename, **options))
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+class Finished(StreamingQueryListener):
+    """Counts finished batches that had rows."""
+
+    def __init__(self) -> None:
+        self.batches = 0
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        if event.progress.numInputRows:
+            self.batches += 1
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        pass
+
+
+#: Errors that a restart can't mend.
+FATAL = ("IdentityError", "UntrustedSigner")
+
+
+def supervise(spark: SparkSession, start: Callable[[], StreamingQuery], most_failures: int = 10, pause: float = 0.0) -> int:
+    """Runs a query until it ends by itself, starting it anew from its checkpoint when it fails; returns how often it failed.
+
+    Raises the last failure after ``most_failures`` without a finished batch between, and at once one that a restart can't mend.
+    """
+    seen, failures, in_a_row = Finished(), 0, 0
+    spark.streams.addListener(seen)
+    try:
+        while True:
+            batches = seen.batches
+            try:
+                start().awaitTermination()
+                return failures
+            except StreamingQueryException as e:
+                failures += 1
+                in_a_row = 1 if seen.batches > batches else in_a_row + 1
+                if in_a_row >= most_failures or any(f"{name}:" in str(e) for name in FATAL):
+                    raise
+                time.sleep(pause)
+    finally:
+        spark.streams.removeListener(seen)
+
+
 def day_buckets(stream: DataFrame, time: str, sums: list[str], settle: str = "72 hours") -> DataFrame:
     """Counts and sums by UTC day of an event-time stream; a day closes once the settling window has passed."""
     kept = stream.withWatermark(time, settle).groupBy(F.window(time, "1 day"))

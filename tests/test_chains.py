@@ -225,3 +225,66 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["diff", "--folder", folder]) == 0 and "clicks 330 -> 331 (1)" in capsys.readouterr().out
     assert cli.main(["timeline", "--folder", folder]) == 0 and cli.main(["custody", "--folder", folder]) == 0 and cli.main(["doctor", "--folder", folder]) == 0
     assert cli.main(["ingest", str(tmp_path / "none.csv"), "--folder", folder, "--key", key]) == 1
+
+
+def test_column_signatures_agree_with_the_jvm(spark):
+    import os
+
+    from tallyline.plans import ledger
+
+    rows = []
+    for k in range(40):
+        seed, message = os.urandom(32), "".join(chr(32 + x % 900) for x in os.urandom(k))
+        public, value = crypto.public_of(seed), crypto.signature(seed, message.encode())
+        assert value == crypto.sign(spark, seed, message.encode())
+        rows += [(public, message, value), (public, message + "x", value), (public, message, value[:-2] + ("00" if value[-2:] != "00" else "01")), (crypto.public_of(os.urandom(32)), message, value), (public, message, value.upper())]
+    rows += [(None, "a", "b"), ("zz", "a", "b"), (rows[0][0], None, rows[0][2]), (rows[0][0], rows[0][1], None), (rows[0][0], rows[0][1], ""), ("ff" * 32, rows[0][1], rows[0][2]), (rows[0][0], rows[0][1], rows[0][2][:64] + "ff" * 32)]
+    got = spark.createDataFrame(rows, "k string, m string, s string").select("k", "m", "s", ledger.holds(F.col("k"), F.col("m"), F.col("s")).alias("holds")).collect()
+    assert [r.holds for r in got] == [all(x is not None for x in row) and crypto.verify(spark, row[0], row[1].encode(), row[2]) for row in rows]
+    assert sum(r.holds for r in got) == 80
+
+
+def test_ledger_documents(spark):
+    from tallyline.plans import ledger
+
+    good = [{"b": [1, None, True, "é\x1f/\x7f\u2028\b\n\x0b\\u000B\\"], "a": {"z": 1, "A": 2, "é": 3, "": 4, "\x1b": 10**30}}, {}, {"x": -5, "y": [[]], "signature": {"value": "ab"}, "kind": "k", "created_at": "2026-01-02T03:04:05Z"}]
+    texts = [json.dumps(d, ensure_ascii=k % 2 == 0, indent=k) for d in good for k in (0, 1, 2)]
+    bad = ["", "nope", "[1]", '{"a": 1.0}', '{"a": 1e2}', '{"a": {"b": [2.5]}}', '{"a": 1, "a": 2}']
+    rows = ledger.documents(spark.createDataFrame(list(enumerate(texts + bad)), "path long, value string")).orderBy("path").collect()
+    for r, text in zip(rows, texts, strict=False):
+        assert r.body.encode() == jcs.canonical_bytes(jcs.body(json.loads(text))) and r.body_hash == jcs.body_hash(json.loads(text)) and r.reason is None
+    assert all(r.body is None and r.body_hash is None and r.reason for r in rows[len(texts) :])
+    assert rows[6].signed and rows[6].signature == "ab" and str(rows[6].created) == "2026-01-02 03:04:05" and not rows[0].signed
+
+
+def test_forged_history_is_left_out(spark, chain, seed):
+    folder, _ = chain
+    history.verify_and_judge(spark, folder, seed=seed)
+    [path] = (folder / "history").glob("*.json")
+    real = json.loads(path.read_text())
+    make = lambda name, document: (folder / "history" / name).write_text(json.dumps(document))
+    make("forged.json", real | {"chain_tail_hash": "ee" * 32})
+    make("made-up.json", real | {"created_at": "2026-01-01T00:00:00Z", "signature": {"alg": "ed25519", "value": "00" * 64}})
+    make("text.json", real | {"created_at": "2026-01-01T00:00:00Z", "signature": "me"})
+    make("list.json", [1])
+    make("future.json", {k: v for k, v in real.items() if k != "signature"} | {"created_at": "2999-01-01T00:00:00Z"})
+    make("unsigned.json", {k: v for k, v in real.items() if k != "signature"} | {"created_at": "2026-01-01T00:00:00Z"})
+    (folder / "history" / "broken.json").write_text("not json {")
+    own = receipts.read_chain(folder)["public_key"]
+    for trusted in (None, [own]):
+        notices = []
+        assert [d["created_at"] for d in history.load(folder, spark, trusted, notices=notices)] == [real["created_at"], "2026-01-01T00:00:00Z"]
+        assert {n.split(": ")[1].removeprefix("skipping ") for n in notices} == {"forged.json", "made-up.json", "text.json", "list.json", "future.json", "broken.json"}
+    assert [d["created_at"] for d in history.load(folder, spark, [crypto.public_of(b"\1" * 32)])] == ["2026-01-01T00:00:00Z"]
+    assert any("broken.json" in n for n in history.verify_and_judge(spark, folder, seed=seed)[1]["notices"])
+    assert history.has_tail(folder, real["chain_tail_hash"]) and not history.has_tail(folder, "ee" * 32)
+
+
+def test_signers_of_many_chains(spark):
+    from tallyline.plans import ledger
+
+    seeds = {n: bytes([k]) * 32 for k, n in enumerate("abc")}
+    rows = [(c, k, f"{c}{k}", crypto.signature(seeds[s], f"{c}{k}".encode())) for c in ("x", "y") for k, s in enumerate("abca")]
+    keys = [("x", crypto.public_of(seeds["a"]), False), ("x", crypto.public_of(seeds["b"]), True), ("y", crypto.public_of(seeds["b"]), False), ("y", crypto.public_of(seeds["b"]), True)]
+    got = ledger.signers(spark.createDataFrame(rows, "chain string, position int, body string, signature string"), spark.createDataFrame(keys, "chain string, key string, own boolean"))
+    assert [r.signer for r in got.orderBy("chain", "position").collect()] == ["trusted", "chain", "none", "trusted", "none", "trusted", "none", "none"]

@@ -1,5 +1,7 @@
 import json
+import shutil
 import socket
+from pathlib import Path
 
 import pytest
 
@@ -110,3 +112,82 @@ def test_watched_stream(spark, watched, tmp_path):
     run = watch.watch_stream(stream, lambda s: s.read.parquet(str(tmp_path / "in")), folder, seed, str(tmp_path / "state"), "feed", "feed.csv")
     run.awaitTermination()
     assert receipts.totals_of(receipts.load_receipts(folder)[0])["row_count"] == 7
+
+
+def test_failing_batches_are_run_again_and_had_once(spark, watched, tmp_path, monkeypatch):
+    folder, seed, rows = watched
+    rows(7).write.parquet(str(tmp_path / "in"))
+    real, calls = watch.tick, []
+
+    def failing(*args, **kw):
+        calls.append(1)
+        if len(calls) <= 2:
+            raise OSError("the ledger's disk is away")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(watch, "tick", failing)
+    stream = spark.readStream.schema("day string, amount string").parquet(str(tmp_path / "in"))
+    start = lambda: watch.watch_stream(stream, lambda s: s.read.parquet(str(tmp_path / "in")), folder, seed, str(tmp_path / "state"), "feed", "feed.csv")
+    before = receipts.tail_hash(folder)
+    assert watch.supervise(spark, start, most_failures=3) == 2 and len(calls) == 3
+    assert receipts.totals_of(receipts.load_receipts(folder)[0])["row_count"] == 7 and receipts.tail_hash(folder) != before
+    [record] = (folder / "commits").rglob("*.json")
+    assert json.loads(record.read_text())["decision"] == "appended"
+    # Spark runs a batch again whose commit it didn't note: the record says that it is done
+    shutil.rmtree(tmp_path / "state" / "commits")
+    assert watch.supervise(spark, start) == 0 and len(calls) == 3
+    calls.clear()
+    rows(8).filter("day = '2026-01-08'").write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="disk is away"):
+        watch.supervise(spark, start, most_failures=2)
+    assert len(calls) == 2 and receipts.totals_of(receipts.load_receipts(folder)[0])["row_count"] == 7  # nothing is skipped: the next start takes it up
+    assert watch.supervise(spark, start) == 0 and receipts.totals_of(receipts.load_receipts(folder)[0])["row_count"] == 8
+
+
+def test_first_append_over_foreign_history(spark, watched):
+    folder, seed, rows = watched
+    assert watch.tick(spark, rows(6), folder, seed, "https://example.org/feed")["decision"] == "appended"
+    assert receipts.load_receipts(folder)[0]["source"]["filename"] == "https://example.org/feed"
+    assert watch.tick(spark, rows(6, {2: 50}), folder, seed, "https://example.org/feed")["decision"] == "withheld"
+    shown = annotations.timeline(spark, folder)["pending"]
+    assert [set(x) for x in shown] == [{"source_id", "created_at", "caveat_count", "hash"}] and shown[0]["caveat_count"] == 1
+    # withheld rows count as kept only where the writer's mark is
+    place = Path(annotations.pending(folder)[0][1]["candidate"]["records"])
+    (place / "_SUCCESS").unlink()
+    watch.tick(spark, rows(6, {2: 50}), folder, seed, "https://example.org/feed")
+    assert (place / "_SUCCESS").exists() and spark.read.parquet(str(place)).count() == 6
+
+
+def test_late_rows(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tallyline.streaming import late
+
+    day = lambda d, h=0: dt.datetime(2026, 1, d, h)
+    batches = [
+        [("a", day(1, 1), day(1, 2), "1.5"), ("b", day(1, 3), day(2), "2"), ("c", day(2, 1), day(2, 2), "x")],
+        [("d", day(1, 4), day(4), "4"), ("e", day(3), day(6), "1"), (None, day(3), day(6), None), ("n", None, day(6), "1")],  # d: at day 1's deadline
+        [("f", day(1, 5), day(7), "10"), ("g", day(1, 6), day(7), None), ("h", day(4), day(12), "3"), ("i", day(2, 3), day(12), "-1")],
+        [("z", day(28), day(28), "0")],
+    ]
+    seen = []
+    for k, grouped in enumerate((batches, [sum(batches, [])])):
+        where = tmp_path / f"in{k}"
+        for rows in grouped:
+            spark.createDataFrame(rows, "id string, ts timestamp, at timestamp, v string").coalesce(1).write.mode("append").parquet(str(where))
+        stream = spark.readStream.schema("id string, ts timestamp, at timestamp, v string").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(where))
+        late.flag_late(stream, "ts", "at", "id", "v", settle_hours=48, disorder="20 days", salts=2).writeStream.format("parquet").option("path", str(tmp_path / f"out{k}")).outputMode("append").option("checkpointLocation", str(tmp_path / f"state{k}")).trigger(availableNow=True).start().awaitTermination()
+        emitted = spark.read.parquet(str(tmp_path / f"out{k}"))
+        told = {(r.id, r.metric): (r.period, r.before, r.after) for r in late.verdicts(emitted).collect()}
+        assert told == {
+            ("f", "row_count"): ("2026-01-01", "3", "4"), ("f", "amount"): ("2026-01-01", "7.5", "17.5"), ("g", "row_count"): ("2026-01-01", "4", "5"),
+            ("h", "row_count"): ("2026-01-04", "0", "1"), ("h", "amount"): ("2026-01-04", "0", "3"), ("i", "row_count"): ("2026-01-02", "1", "2"), ("i", "amount"): ("2026-01-02", "0", "-1"),
+        }
+        moved = late.settled_breaches(spark, emitted, dt.datetime(2026, 2, 1, tzinfo=dt.timezone.utc), 48, Decimal("0.05")).collect()
+        assert {(r.type, r.metric, r.period, str(r.before), str(r.after)) for r in moved} == {
+            ("settled_movement", "row_count", "2026-01-01", "3.000000", "5.000000"), ("settled_movement", "amount", "2026-01-01", "7.500000", "17.500000"),
+            ("settled_movement", "row_count", "2026-01-02", "1.000000", "2.000000"), ("settled_movement", "amount", "2026-01-02", "0.000000", "-1.000000"),
+        }
+        seen.append(told)
+    assert seen[0] == seen[1]
