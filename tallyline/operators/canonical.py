@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -34,18 +34,24 @@ def canonical_cells(df: DataFrame) -> DataFrame:
     """The table with normalised names in code-point order, every cell in canonical text (booleans stay booleans)."""
     pin(df.sparkSession)
     df = headers.merge(df)
+    return df.select(*canonical_columns(df))
+
+
+def canonical_columns(df: DataFrame) -> list[Column]:
+    """The columns of canonical_cells() over a table with normalised names."""
     slow, nfc = python_paths(df)
     out = []
     for name, kind in sorted(kinds(df).items()):
         col = F.col(f"`{name}`")
         out.append((col if isinstance(kind, T.BooleanType) else cells.canonical(col, kind, name in slow, name in nfc)).alias(name))
-    return df.select(*out)
+    return out
 
 
-def row_json(canon: DataFrame, source: dict[str, T.DataType] | None = None) -> Column:
-    """A canonical row as a JSON array; source: the kinds that the columns had, as numbers and times need no escapes."""
+def row_json(canon: DataFrame, source: dict[str, T.DataType] | None = None, cell: Callable[[str], Column] | None = None) -> Column:
+    """A canonical row as a JSON array; source: the kinds that the columns had, as numbers and times need no escapes; cell: where a column's cell is, if not under its name."""
     held = kinds(canon)
-    parts = [cells.json_leaf(F.col(f"`{n}`").cast("string"), (source or held).get(n, k)) for n, k in held.items()]
+    at = cell or (lambda n: F.col(f"`{n}`"))
+    parts = [cells.json_leaf(at(n).cast("string"), (source or held).get(n, k)) for n, k in held.items()]
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")) if parts else F.lit("[]")
 
 

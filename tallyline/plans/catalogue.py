@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import cells
 from tallyline.operators import canonical, judge, links, runlog, totals
-from tallyline.session import pin
+from tallyline.session import pin, shared_folder
 from tallyline.sources import feeds, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,44 @@ def semantic_hash_code_points(spark, sf_dir):
     return canonical.semantic_hash_row(t(spark, sf_dir, "nation").select(high.alias("name")))
 
 
+# content trees -------------------------------------------------------------------
+
+_ORDERS_ROW = "'[\"' || o_custkey || '\",\"' || o_orderkey || '\",' || coalesce('\"' || o_orderstatus || '\"', 'null') || ',\"' || total || '\"]'"
+_ORDERS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"]
+
+
+def _tree_sql(name: str, source: str, levels: int) -> str:
+    """Common tables <name>0, <name>1, ...: nodes of a tree of orders, with borders at one hexadecimal zero more for each level."""
+    entry = f"SELECT o_orderkey AS low, {_ORDERS_ROW} AS row, count(*) AS rows FROM (SELECT *, {_plain(_num('o_totalprice'))} AS total FROM {source}) GROUP BY 1, 2"
+    out = [f"{name}e AS (SELECT low, row, rows, sha256(row || ' ' || rows) AS digest, 64 - length(rtrim(sha256(row), '0')) AS zeros FROM ({entry}))"]
+    out.append(f"{name}0 AS (SELECT p, sha256(string_agg(digest, '' ORDER BY low NULLS FIRST, row)) AS digest, arg_min(zeros, (low, row)) AS zeros, sum(rows)::BIGINT AS rows, min(low) AS low FROM (SELECT *, sum((zeros >= 1)::INT) OVER (ORDER BY low NULLS FIRST, row ROWS UNBOUNDED PRECEDING)::BIGINT AS p FROM {name}e) GROUP BY p)")
+    for k in range(1, levels):
+        out.append(f"{name}{k} AS (SELECT up AS p, sha256(string_agg(digest, '' ORDER BY p)) AS digest, arg_min(zeros, p) AS zeros, sum(rows)::BIGINT AS rows, min(low) AS low FROM (SELECT *, sum((zeros >= {k + 1})::INT) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)::BIGINT AS up FROM {name}{k - 1}) GROUP BY up HAVING (SELECT count(*) FROM {name}{k - 1}) > 1)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_tree_sql('t', 'orders', 9)} " + " UNION ALL ".join(f"SELECT {k} AS level, p AS at, digest, rows, low FROM t{k}" for k in range(9)))
+def tree_hash_orders(spark, sf_dir):
+    from tallyline.operators import tree
+
+    nodes = tree.tree(t(spark, sf_dir, "orders").select(*_ORDERS).repartition(5), ["o_orderkey"], leaf=1, fan=1)
+    return nodes.select("level", "at", "digest", "rows", F.col("low.o_orderkey").alias("low"))
+
+
+#: Orders of which some lost their status, and some are gone.
+_MOVED = "(SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 101 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT BETWEEN 500 AND 520)"
+
+
+@query(f"WITH {_tree_sql('a', 'orders', 1)}, {_tree_sql('b', _MOVED, 1)} SELECT 'a' AS side, low, rows FROM a0 WHERE digest NOT IN (SELECT digest FROM b0) UNION ALL SELECT 'b', low, rows FROM b0 WHERE digest NOT IN (SELECT digest FROM a0)")
+def tree_differences(spark, sf_dir):
+    from tallyline.operators import tree
+
+    orders = t(spark, sf_dir, "orders").select(*_ORDERS)
+    moved = orders.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 101 != 0, F.col("o_orderstatus"))).filter("o_orderkey not between 500 and 520")
+    found = tree.differences(*[tree.tree(df, ["o_orderkey"], leaf=1, fan=1) for df in (orders, moved)])
+    return found.select("side", F.col("low.o_orderkey").alias("low"), "rows")
+
+
 # control totals ----------------------------------------------------------------
 
 _TABLES = {
@@ -602,8 +640,7 @@ def _work(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/tallyline_work"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Every event arrives an hour after it happened, but those whose number is a multiple of 97 five days after.

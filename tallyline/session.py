@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: The JVM doesn't compile methods of more bytecodes than that; Spark's own bound leaves them to its interpreter, many times slower.
 METHOD_LIMIT, SPARKS_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000"), "65535"
@@ -20,3 +22,20 @@ def pin(spark: SparkSession) -> SparkSession:
     if spark.conf.get(METHOD_LIMIT[0], SPARKS_LIMIT) == SPARKS_LIMIT:
         spark.conf.set(*METHOD_LIMIT)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of checkpoints; on a local master without one, one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("executors share no folder: set spark.checkpoint.dir to one that all of them can reach")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyline_work"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back: computed once, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tallyline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

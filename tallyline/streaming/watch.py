@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 
 from tallyline.plans import annotations, files, history, pipeline, receipts
+from tallyline.session import shared_folder
 
 
 class IdentityError(ValueError):
@@ -37,20 +38,15 @@ def new_rows_or_periods(found: dict[str, Any]) -> int:
     return max(0, after.get("row_count", 0) - before.get("row_count", 0))
 
 
-def withheld_place(spark: SparkSession, folder: str | Path) -> str:
-    """Where the cluster writes withheld rows: a folder that driver and executors share, that of checkpoints; on a local master beside the ledger."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tallyline-withheld"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("withheld rows are written by executors: set spark.checkpoint.dir to a folder that all of them share")
-    return str((Path(folder) / "withheld").absolute())
+def withheld_place(spark: SparkSession) -> str:
+    """Where the cluster writes withheld rows: in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/tallyline-withheld"
 
 
-def _kept(records: DataFrame, folder: str | Path, offered: dict[str, Any]) -> dict[str, Any]:
+def _kept(records: DataFrame, offered: dict[str, Any]) -> dict[str, Any]:
     """The offer with the place of its rows: written by the cluster as Parquet, under the hash that the manifest signs, and whole only if the writer's mark is there."""
     spark = records.sparkSession
-    path = f"{withheld_place(spark, folder)}/{offered['manifest']['semantic_hash']}"
+    path = f"{withheld_place(spark)}/{offered['manifest']['semantic_hash']}"
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         records.write.mode("overwrite").parquet(path)
@@ -74,12 +70,12 @@ def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: byte
         raise IdentityError(f"{filename} has archived runs, but none that the new data can be judged against")
     offered = {"manifest": found["manifest"]}
     if judged["caveats"]:
-        path = annotations.withhold(spark, folder, seed, source_id, found["base_tail"], judged, _kept(records, folder, offered))
+        path = annotations.withhold(spark, folder, seed, source_id, found["base_tail"], judged, _kept(records, offered))
         if path is not None and on_withhold:
             on_withhold(judged)
         return {"decision": "withheld", "caveats": judged["caveats"], "new": path is not None}
     if per_tick_cap is not None and new_rows_or_periods(found) > per_tick_cap:
-        annotations.withhold(spark, folder, seed, source_id, found["base_tail"], {"caveats": [f"more than {per_tick_cap} new periods in one tick"], "details": [], "breached": {}}, _kept(records, folder, offered))
+        annotations.withhold(spark, folder, seed, source_id, found["base_tail"], {"caveats": [f"more than {per_tick_cap} new periods in one tick"], "details": [], "breached": {}}, _kept(records, offered))
         return {"decision": "rate_capped"}
     pipeline.commit(spark, folder, found, seed)
     return {"decision": "appended"}
