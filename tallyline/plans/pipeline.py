@@ -11,11 +11,15 @@ from decimal import Decimal
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions import cells, headers
+from tallyline.operators import tree
 from tallyline.operators.canonical import document_parts, semantic_hash
 from tallyline.plans import crypto, files, history, receipts
+from tallyline.session import written
 from tallyline.sources import readers
 
 BAND, SETTLE = "0.05", "72h"
@@ -29,6 +33,10 @@ class StaleCandidate(ValueError):
     """The chain moved between judgment and commit."""
 
 
+class WriteMismatch(RuntimeError):
+    """A table reads back otherwise than it was computed."""
+
+
 class TailMismatch(ValueError):
     """A step's input isn't what the chain's last receipt describes."""
 
@@ -92,8 +100,37 @@ def ingest(spark: SparkSession, path: str, folder: str | Path, seed: bytes, decl
     return made
 
 
-def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name: str | None = None, write_table: bool = False) -> Callable:
-    """Decorates DataFrame -> DataFrame: the chain must verify and end in the input's hash; the output's receipt is appended."""
+def _facts(df: DataFrame) -> list[Column]:
+    """Rows, nulls by column and an order-free fingerprint: what a write observes and a read can check."""
+    cell = lambda f: F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
+    print_ = F.bit_xor(F.xxhash64(*[cell(f) for f in df.schema.fields])) if df.columns else F.lit(0)
+    return [F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns], print_.alias("fingerprint")]
+
+
+def evaluated(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
+    """The table, computed once and written to the shared folder, and what the writing pass observed of it: rows, nulls by column.
+
+    Whatever is asked of the result later reads what was written, so a step that gives other rows each time
+    has one output. Raises WriteMismatch if the written table isn't the computed one.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f.name) for f in plain.schema.fields])
+    seen = Observation()
+    stored = written(plain.observe(seen, *_facts(plain)), f"step-{re.sub(r'[^A-Za-z0-9_-]', '_', name)}")
+    observed = seen.get
+    if stored.agg(*_facts(stored)).first().asDict() != observed:
+        raise WriteMismatch(f"the output of {name} reads back otherwise than it was computed")
+    nulls = {n: observed[f"nulls_c{i}"] for i, n in enumerate(names)}
+    return stored.toDF(*names), {"row_count": observed["rows"]} | {f"nulls[{n}]": c for n, c in nulls.items()}
+
+
+def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name: str | None = None, write_table: bool = False, tree_keys: list[str] | None = None) -> Callable:
+    """Decorates DataFrame -> DataFrame: the chain must verify and end in the input's hash; the output's receipt is appended.
+
+    The function's table is computed once, in the pass that writes it; hash, totals and the caller read what was
+    written. tree_keys: also declares the root of the output's content tree by these keys.
+    """
 
     def wrap(func: Callable[[DataFrame], DataFrame]) -> Callable[[object], DataFrame]:
         @functools.wraps(func)
@@ -110,8 +147,11 @@ def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name
                 found = semantic_hash(df)
                 if found != receipts.output_hash(tail):
                     raise TailMismatch(f"the input hashes to {receipts.short(found)}, the chain ends in {receipts.short(receipts.output_hash(tail))} ({receipts.stage_name(tail)})")
-                out = readers.frame(spark, func(df))
-                made = receipts.transform_receipt(out, seed, name=name or func.__name__, code_hash=receipts.code_hash(func), code_file=Path(func.__code__.co_filename).name, input_hash=found, output_hash=semantic_hash(out))
+                out, observed = evaluated(readers.frame(spark, func(df)), name or func.__name__)
+                declared = {"output_tree": {"kind": tree.KIND, "keys": tree_keys, "root": tree.root(tree.tree(out, tree_keys))}} if tree_keys else {}
+                made = receipts.transform_receipt(out, seed, name=name or func.__name__, code_hash=receipts.code_hash(func), code_file=Path(func.__code__.co_filename).name, input_hash=found, output_hash=semantic_hash(out), **declared)
+                if receipts.totals_of(made)["row_count"] != observed["row_count"]:
+                    raise WriteMismatch(f"the receipt of {made['transform']['name']} counts other rows than the pass that wrote them")
                 receipts.append(folder, made, crypto.public_of(seed))
                 if write_table:
                     from tallyline.sources.writers import write_document
@@ -189,8 +229,15 @@ def rebuild(spark: SparkSession, path: str, folder: str | Path, seed: bytes, ste
     return df
 
 
+def attested_by_tree(df: DataFrame, folder: str | Path, trusted: list[str] | None = None) -> bool:
+    """The same by the content tree that the last receipt declares: no byte of the table passes the driver. False where none is declared."""
+    if not receipts.verify_folder(df.sparkSession, folder, trusted).ok:
+        return False
+    declared = receipts.load_receipts(folder)[-1].get("output_tree")
+    good = isinstance(declared, dict) and declared.get("kind") == tree.KIND and isinstance(declared.get("keys"), list)
+    return good and tree.root(tree.tree(df, declared["keys"])) == declared.get("root")
+
+
 def attested(df: DataFrame, folder: str | Path, trusted: list[str] | None = None) -> bool:
     """Whether the table is what the end of a verified chain describes."""
     return receipts.verify_folder(df.sparkSession, folder, trusted, df).ok
-
-

@@ -60,8 +60,8 @@ def tick(spark: SparkSession, records: DataFrame, folder: str | Path, seed: byte
     continued: there is no history of its own that the first append could be judged against.
     """
     filename = filename or source_id
-    # As read from a csv file: text, and null where a cell is empty.
-    records = records.select(*[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in records.columns])
+    # As read from a csv file: text, and null where a cell is empty. Computed once: a table that moves on is judged as it was.
+    records, _ = pipeline.evaluated(records.select(*[F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in records.columns]), "tick")
     found = pipeline.candidate_of(records, filename, folder, seed, trusted)
     if found["unchanged"]:
         return {"decision": "unchanged"}

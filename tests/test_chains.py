@@ -288,3 +288,30 @@ def test_signers_of_many_chains(spark):
     keys = [("x", crypto.public_of(seeds["a"]), False), ("x", crypto.public_of(seeds["b"]), True), ("y", crypto.public_of(seeds["b"]), False), ("y", crypto.public_of(seeds["b"]), True)]
     got = ledger.signers(spark.createDataFrame(rows, "chain string, position int, body string, signature string"), spark.createDataFrame(keys, "chain string, key string, own boolean"))
     assert [r.signer for r in got.orderBy("chain", "position").collect()] == ["trusted", "chain", "none", "trusted", "none", "trusted", "none", "none"]
+
+
+def test_a_step_is_computed_once(spark, chain, seed):
+    folder, out = chain
+    counted = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        counted.add(1)
+        return x
+
+    def shaken(df):
+        seen = F.udf(tick, "string")
+        return df.withColumns({"at": F.rand(), "seen": seen("channel"), "none": F.lit(None)}).filter(F.rand() < 0.7)
+
+    result = pipeline.step(folder, seed, tree_keys=["date", "channel"])(shaken)(out)
+    assert counted.value == 20 and receipts.verify_folder(spark, folder, data=result).verdict == "green"
+    assert receipts.totals_of(receipts.load_receipts(folder)[-1])["row_count"] == result.count() == result.count()
+    assert counted.value == 20 and result.columns == ["channel", "date", "clicks", "at", "seen", "none"]
+    assert pipeline.attested_by_tree(result.repartition(3), folder) and not pipeline.attested_by_tree(result.limit(1), folder)
+    assert not pipeline.attested_by_tree(out, folder)
+
+
+def test_what_a_write_observes(spark):
+    df = spark.createDataFrame([(1, None, {"a": 1}), (2, "x", None)], "a int, A string, m map<string,int>")
+    same, seen = pipeline.evaluated(df.toDF("a", "A", "m m"), "odd/name")
+    assert same.columns == ["a", "A", "m m"] and seen == {"row_count": 2, "nulls[a]": 0, "nulls[A]": 1, "nulls[m m]": 1}
+    assert pipeline.evaluated(df.limit(0), "none")[1]["row_count"] == 0
