@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from collections.abc import Callable
 from decimal import Decimal
@@ -131,9 +132,11 @@ def row_fingerprint(spark, sf_dir):
     return canonical.row_fingerprint(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
 
 
-@query()
+@query("SELECT parse_filename(filename) AS file, size::BIGINT AS byte_size, sha256(content) AS evidence_hash FROM read_blob(['/root/testdata/sf0.01/region.parquet', '/root/testdata/sf0.01/nation.parquet'])")
 def evidence_hash(spark, sf_dir):
-    return canonical.evidence_hashes(spark, f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet")
+    """By file name; the SQL reads the files at the scale at which results are compared."""
+    found = canonical.evidence_hashes(spark, f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet")
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "byte_size", "evidence_hash")
 
 
 _HIGH = "(SELECT CASE WHEN n_nationkey % 2 = 0 THEN chr(65533) ELSE chr(128512) END || n_name AS name FROM nation)"
@@ -330,8 +333,11 @@ def stage_clean(spark, sf_dir):
 
 @query(f"SELECT l_returnflag, {_day('l_shipdate')} AS day, {_plain(f'sum({_num("l_quantity")})')} AS quantity, {_plain(f'sum({_num("l_extendedprice")})')} AS price FROM lineitem GROUP BY 1, 2")
 def stage_aggregate(spark, sf_dir):
-    sums = [cells.plain_text(F.sum(F.col(c).cast("string").try_cast(cells.DEC)).cast(cells.DEC)).alias(n) for c, n in (("l_quantity", "quantity"), ("l_extendedprice", "price"))]
-    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(*sums)
+    lineitem = t(spark, sf_dir, "lineitem")
+    plan = totals.Plan(lineitem.select("l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"))
+    facts = plan.facts(["l_quantity", "l_extendedprice"], [], ["l_returnflag", "l_shipdate"])
+    sums = facts.groupBy(F.col(f"v{plan.at['l_returnflag']}").alias("l_returnflag"), F.col(f"v{plan.at['l_shipdate']}").cast("date").alias("day")).agg(*[x for n in ("l_quantity", "l_extendedprice") for x in plan.sums(n)])
+    return sums.select("l_returnflag", F.date_format("day", "yyyy-MM-dd").alias("day"), *[cells.plain_text(plan.total(n)).alias(a) for n, a in (("l_quantity", "quantity"), ("l_extendedprice", "price"))])
 
 
 _FAN = "(SELECT n.n_nationkey, r.r_regionkey FROM nation n LEFT JOIN (SELECT r_regionkey FROM region UNION ALL SELECT r_regionkey FROM region WHERE r_regionkey = 1) r ON n.n_regionkey = r.r_regionkey)"
@@ -373,11 +379,11 @@ def coverage_gaps(spark, sf_dir):
     return links.coverage_gaps(_chains(spark, sf_dir))
 
 
-@query(f"WITH r AS (SELECT *, o_orderstatus AS col FROM {_RECEIPTS}), g AS (SELECT chain, min(position) AS gap FROM r WHERE position > 0 AND position % 13 = 0 GROUP BY 1), f AS (SELECT chain, col, min(position) AS first FROM r GROUP BY ALL) SELECT f.chain, f.col AS \"column\", f.first FROM f JOIN g USING (chain) WHERE f.first >= g.gap")
+@query(f"WITH r AS (SELECT *, 'c' || (o_orderkey % 12) AS col FROM {_RECEIPTS}), g AS (SELECT chain, min(position) AS gap FROM r WHERE position > 0 AND position % 13 = 0 GROUP BY 1), f AS (SELECT chain, col, min(position) AS first FROM r GROUP BY ALL) SELECT f.chain, f.col AS \"column\", f.first FROM f JOIN g USING (chain) WHERE f.first >= g.gap")
 def gap_columns(spark, sf_dir):
     from pyspark.sql import Window
 
-    placed = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("position"), F.col("o_orderstatus").alias("column"))
+    placed = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("position"), F.concat(F.lit("c"), F.col("o_orderkey") % 12).alias("column"))
     return links.gap_columns(placed, links.coverage_gaps(_chains(spark, sf_dir)))
 
 
@@ -591,8 +597,16 @@ def columnar_zip(spark, sf_dir):
 
 @query("SELECT n_name AS nation, n_regionkey::VARCHAR AS region FROM nation")
 def feed_field_map(spark, sf_dir):
-    rows = [r.asDict() for r in t(spark, sf_dir, "nation").collect()]
-    return feeds.json_records(spark, json.dumps(rows).encode(), {"nation": "n_name", "region": "n_regionkey"})
+    lines = t(spark, sf_dir, "nation").select(F.to_json(F.struct("n_name", "n_regionkey", "n_nationkey")).alias("value"))
+    return feeds.map_records(lines, {"nation": "n_name", "region": "n_regionkey"})
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_orderkey || '.50' AS price, '-' || o_custkey || 'e-3' AS small, 'of 7, ' || o_orderpriority AS note, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'true' END AS flag FROM orders")
+def feed_numbers_as_written(spark, sf_dir):
+    """Feed objects in arrays of several, with numbers that no parser gives back as they were."""
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", F.format_string('{"id": %d, "price": %d.50, "small": -%de-3, "note": "of 7, %s", "flag": %s}', "o_orderkey", "o_orderkey", "o_custkey", "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "null").otherwise("true")).alias("one"))
+    pages = orders.groupBy(F.expr("o_orderkey div 40").alias("page")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("value"))
+    return feeds.map_records(pages, {n: n for n in ("id", "price", "small", "note", "flag")})
 
 
 def _read_array(spark: SparkSession, path: str) -> DataFrame:
@@ -671,3 +685,71 @@ def stream_late_rows(spark, sf_dir):
     from tallyline.streaming import late
 
     return late.verdicts(_late_rows(spark, sf_dir)).drop("arrived")
+
+
+# signatures and the ledger -----------------------------------------------------------------
+
+#: A receipt for every customer, signed by its nation's key; some are altered afterwards, lack their signature or bear a stranger's.
+_SIGNED = "CASE WHEN c_custkey % 7 = 0 THEN 'altered' WHEN c_custkey % 11 = 0 THEN 'none' WHEN c_custkey % 13 = 0 THEN 'stranger' ELSE 'good' END"
+
+
+def _signed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chain, customer, body, signature): receipts signed by tasks."""
+    from tallyline.plans import ledger
+
+    k = F.col("c_custkey")
+    seed = lambda who: F.unhex(F.sha2(who.cast("string"), 256))
+    body = F.format_string('{"customer":%d,"kind":"transform_receipt","nation":%d}', "c_custkey", "c_nationkey")
+    rows = t(spark, sf_dir, "customer").repartition(16, "c_custkey").select(F.col("c_nationkey").alias("chain"), k.alias("customer"), body.alias("body"), seed(F.when(~(k % 7 == 0) & ~(k % 11 == 0) & (k % 13 == 0), F.lit("a stranger")).otherwise(F.concat(F.lit("nation "), "c_nationkey"))).alias("seed"))
+    signed = rows.withColumn("signature", ledger.sign(F.col("seed"), F.col("body")))
+    return signed.select("chain", "customer", F.when(F.col("customer") % 7 == 0, F.concat("body", F.lit(" "))).otherwise(F.col("body")).alias("body"), F.when((F.col("customer") % 7 == 0) | (F.col("customer") % 11 != 0), F.col("signature")).alias("signature"))
+
+
+def _nation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chain, key, own): each chain's embedded key; those of even nations are trusted, too."""
+    from tallyline.plans import crypto
+
+    keys = F.udf(lambda n: crypto.public_of(hashlib.sha256(f"nation {n}".encode()).digest()), "string")  # a call a chain
+    own = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("chain"), keys("n_nationkey").alias("key"), F.lit(True).alias("own"))
+    return own.unionByName(own.filter("chain % 2 = 0").withColumn("own", F.lit(False)))
+
+
+@query(f"SELECT c_nationkey AS chain, c_custkey AS customer, CASE WHEN s <> 'good' THEN 'none' WHEN c_nationkey % 2 = 0 THEN 'trusted' ELSE 'chain' END AS signer FROM (SELECT *, {_SIGNED} AS s FROM customer)")
+def signature_verify(spark, sf_dir):
+    from tallyline.plans import ledger
+
+    return ledger.signers(_signed_receipts(spark, sf_dir), _nation_keys(spark, sf_dir)).select("chain", "customer", "signer")
+
+
+@query(f"SELECT c_nationkey AS chain, count(*) AS receipts, 'unrecognized signing key: ' || count(*) || ' receipt(s) verify under the chain''s embedded key alone' AS caveat FROM (SELECT *, {_SIGNED} AS s FROM customer) WHERE s = 'good' AND c_nationkey % 2 = 1 GROUP BY 1")
+def key_trust_caveat(spark, sf_dir):
+    from tallyline.plans import ledger
+
+    return ledger.key_caveats(ledger.signers(_signed_receipts(spark, sf_dir), _nation_keys(spark, sf_dir)))
+
+
+_RUNS = "(SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, dense_rank() OVER (ORDER BY event_type) - 1 AS kind FROM events GROUP BY 1, 2)"
+
+
+@query(f"SELECT day || ' ' || event_type AS path, n AS row_count, CASE WHEN n % 5 = 4 THEN 'unreadable JSON' WHEN n % 7 = 6 THEN 'body does not canonicalize' WHEN n % 11 = 0 THEN 'not a run_snapshot' WHEN n % 13 = 0 THEN 'created_at is in the future' WHEN kind % 2 = 0 AND n % 3 = 1 THEN 'signature does not verify under any trusted key' END AS reason FROM {_RUNS}")
+def snapshots_usable(spark, sf_dir):
+    """Archived runs, one for each day and type of event: every second type's are signed; some are altered, broken, of another kind or from the future."""
+    from pyspark.sql import Window
+
+    from tallyline.plans import crypto, ledger
+
+    seed = b"\7" * 32
+    runs = t(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    types = runs.select("event_type").distinct().withColumn("kind", F.row_number().over(Window.orderBy("event_type")) - 1)  # a row a type
+    n = F.col("n")
+    kind = F.when(n % 11 == 0, "note").otherwise("run_snapshot")
+    created = F.when(n % 13 == 0, "2999-01-01").otherwise(F.col("day"))
+    number = F.when(n % 7 == 6, F.concat(n.cast("string"), F.lit(".0"))).otherwise(n.cast("string"))
+    text = F.concat(F.format_string('{"kind": "%s", "created_at": "%sT00:00:00Z", "stages": [{"name": "source", "totals": {"row_count": ', kind, created), number, F.lit("}}]"))
+    bodies = runs.join(F.broadcast(types), "event_type").select("day", "event_type", "n", "kind", text.alias("text"))
+    signed = bodies.withColumn("signature", ledger.sign(F.lit(seed), F.coalesce(ledger.body_text(F.concat("text", F.lit("}"))), F.lit(""))))
+    altered = F.when(n % 3 == 1, F.concat(F.lit("00"), F.substring("signature", 3, 126))).otherwise(F.col("signature"))
+    whole = F.concat("text", F.when(F.col("kind") % 2 == 0, F.format_string(', "signature": {"alg": "ed25519", "value": "%s"}', altered)).otherwise(""), F.lit("}"))
+    texts = signed.select(F.concat_ws(" ", "day", "event_type").alias("path"), F.when(n % 5 == 4, F.concat(F.lit("{"), whole)).otherwise(whole).alias("value"), "n")
+    found = ledger.usable(ledger.documents(texts), "run_snapshot", [crypto.public_of(seed)], dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc))
+    return found.select("path", F.col("n").alias("row_count"), "reason")

@@ -93,6 +93,12 @@ def signers(receipts: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(found, "row", "left").withColumn("signer", F.when(F.col("own").isNull(), "none").when(F.col("own"), "chain").otherwise("trusted")).drop("row", "own")
 
 
+def key_caveats(signed: DataFrame) -> DataFrame:
+    """(chain, receipts, caveat) of signers()' rows: chains of which some receipts bear no trusted key, but the chain's embedded one."""
+    strange = signed.filter("signer = 'chain'").groupBy("chain").agg(F.count("*").alias("receipts"))
+    return strange.withColumn("caveat", F.format_string("unrecognized signing key: %d receipt(s) verify under the chain's embedded key alone", "receipts"))
+
+
 def usable(scanned: DataFrame, kind: str, trusted: Sequence[str], now: dt.datetime | None = None) -> DataFrame:
     """scanned with a reason for every document that isn't of the kind, bears a signature that none of the keys made or, if now is given, has no time or one in the future."""
     keys = [k for k in trusted if isinstance(k, str) and k]

@@ -125,6 +125,23 @@ def json_records(spark: SparkSession, raw: bytes, field_map: dict[str, str], col
     return spark.createDataFrame([tuple(map(leaf, r)) for r in rows], ", ".join(f"`{n}` string" for n in field_map))
 
 
+#: Up to the next number outside strings, from where the last match ended; a number's own text follows.
+BARE_NUMBER = r'\G((?:[^"0-9-]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?[0-9][0-9.eE+-]*)'
+
+
+def map_records(texts: DataFrame, field_map: dict[str, str], value: str = "value") -> DataFrame:
+    """json_records() in the plan, for batches and streams: texts that hold an object or an array of objects each, as rows of text.
+
+    Numbers stay as they are written: they are put in quotes before Spark parses them. Nulls and absent fields are empty. A text that is
+    neither has no rows; objects and lists in a field stay JSON.
+    """
+    quoted = F.regexp_replace(F.trim(value), BARE_NUMBER, '$1"$2"')
+    many = F.when(quoted.startswith("{"), F.concat(F.lit("["), quoted, F.lit("]"))).when(quoted.startswith("["), quoted)
+    wanted = ", ".join(f"`{name}`: string" for name in dict.fromkeys(field_map.values()))
+    rows = texts.select(F.explode(F.from_json(many, f"array<struct<{wanted}>>")).alias("x")).filter("x is not null")
+    return rows.select(*[F.coalesce(F.col("x")[name], F.lit("")).alias(out) for out, name in field_map.items()])
+
+
 def zip_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows of parallel array columns (output name to array); arrays of different lengths raise an error on the cluster."""
     names = list(columns)
