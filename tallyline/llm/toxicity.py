@@ -155,8 +155,10 @@ class GatedNetwork:
         e[pads] = -np.inf
         a = np.exp(e - e.max(axis=0))
         a[pads] = 0  # exactly, so that it doesn't matter how many there are
-        a /= a.sum(axis=0)
-        pooled = np.zeros(states.shape[1:], dtype=np.float32)
+        total, pooled = np.zeros(a.shape[1], dtype=np.float32), np.zeros(states.shape[1:], dtype=np.float32)
+        for weight in a:  # step by step: sums over an axis take another order where there is one window alone
+            total += weight
+        a /= total
         for weight, state in zip(a, states, strict=True):
             pooled += weight[:, None] * state
         return a, pooled, _product(pooled, self.p["out"][:, None])[:, 0] + self.p["bias"][0]

@@ -224,3 +224,40 @@ def test_languages_are_those_of_a_plain_backoff():
     for text, lang, score in zip(texts, langs, scores, strict=True):
         expected = plain(text)
         assert lang == expected[0] and abs(score - expected[1]) < 1e-4, text
+
+
+def test_a_score_depends_on_the_text_alone(spark):
+    import random
+
+    rows = toxic_rows()
+    model = toxicity.GatedNetwork()
+    model.train([r[1] for r in rows], np.array([r[2] for r in rows]), epochs=2)
+    rng = random.Random(6)
+    texts = [r[1] for r in rows[:150]] + ["zork", "a b", " ".join(r[1] for r in rows[:40]), "x " * 5000]
+    alone = {t: float(model.score(pa.array([t]))[0]) for t in texts}
+    for _ in range(20):
+        some = rng.choices(texts, k=rng.randint(1, 80))
+        assert model.score(pa.array(some)).tolist() == [alone[t] for t in some]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    for n in (1, 3, 7, 20):
+        assert all(r.score == alone[r.text] for r in toxicity.score(df.repartition(n), model).collect())
+
+
+def test_few_labels_teach():
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(("al", "be", "ci", "do", "er", "fu")) for _ in range(rng.randint(1, 4)))
+    texts, labels = [], []
+    for k in range(260):
+        own = [word() for _ in range(rng.randint(30, 200))]
+        if k % 9 == 0:
+            for bad in rng.sample(["zorken", "mugwum", "blixty", "krudge"], 2):
+                own.insert(rng.randrange(len(own)), bad)
+        texts.append(" ".join(own))
+        labels.append(int(k % 9 == 0))
+    model = toxicity.GatedNetwork()
+    model.train(texts, np.array(labels))
+    held = [" ".join(word() for _ in range(80)) for _ in range(40)]
+    scores = model.score(pa.array(held + [t + " zorken " + t for t in held[:20]]))
+    assert (scores[40:] >= 0.7).sum() >= 16 and (scores[:40] >= 0.7).sum() <= 2

@@ -506,6 +506,55 @@ def test_links_against_brute_force(spark):
     assert got == expected and sum(v[1] for v in expected.values()) > 50
 
 
+def test_nested_levels_and_wraps_against_brute_force(spark):
+    """Levels of up to three, quotations wrapped anew, sentences within lines, ideographs: each level's latest earlier origin."""
+    rng = random.Random(43)
+    fold = lambda text: re.sub(r"(?<=[一-鿿]) | (?=[一-鿿])", "", re.sub(r"\s+", " ", text.lower()).strip())
+    sentence = lambda: (" ".join(words(rng, rng.randint(2, 6))) + ".") if rng.random() < 0.8 else "漢字" * rng.randint(2, 4)
+    stock = [sentence() for _ in range(30)]
+    rows, expected = [], {}
+    for conv in range(12):
+        said = []
+        for turn in range(7):
+            own = [rng.choice(stock) for _ in range(rng.randint(1, 5))]
+            quoted, levels = [], {}
+            if said and rng.random() < 0.8:
+                for level in range(rng.randint(1, 3), 0, -1):
+                    source = rng.choice(said)
+                    at = rng.randrange(len(source))
+                    part = source[at : at + rng.randint(1, 3)]
+                    text = " ".join(part).split(" ")
+                    width = rng.randint(1, 8)
+                    quoted += ["> " * level + " ".join(text[i : i + width]) for i in range(0, len(text), width)]
+                    levels[level] = fold(" ".join(part))
+            body = []
+            for x in own:  # several sentences on a line, or one
+                body = [*body[:-1], body[-1] + " " + x] if body and x.endswith(".") and body[-1].endswith(".") and rng.random() < 0.4 else [*body, x]
+            rows.append((conv, turn, "u", "\n".join(quoted + body)))
+            found = {}
+            for level, cited in levels.items():
+                weight = len(cited) + 2 * len(re.findall(r"[一-鿿]", cited))
+                for at, pieces in enumerate(said):
+                    runs = [fold(" ".join(pieces[i:j])) for i in range(len(pieces)) for j in range(i + 1, len(pieces) + 1)]
+                    if weight >= 12 and cited in runs:
+                        found[level] = at
+            expected[conv, turn] = sorted(found.items())
+            said.append(own)
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    assert {(r.conv_id, r.position): sorted((x.level, x.origin) for x in r.sources or []) for r in got} == expected
+    assert sum(map(len, expected.values())) > 40
+
+
+def test_alike_lines_and_lines_that_all_quote(spark):
+    lines = [f"- item number {i} of the list is here" for i in range(3000)]
+    rows = [(1, 0, "u", "\n".join(lines))] + [(1, 1 + k, "a", "\n".join("> " + x for x in lines[k * 7 : k * 7 + 3 + k]) + "\nanswer") for k in range(20)]
+    rows += [(2, k, "u", "> the very same line for all of us\nthe very same line for all of us") for k in range(3000)]
+    rows += [(3, 0, "u", "the same short line here\n" * 2000), (3, 1, "a", "> the same short line here\n" * 700 + "yes"), (3, 2, "a", "> the same short line here\n" * 2001 + "no")]
+    got = {(r.conv_id, r.position): (r.parent, r.linked) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[1, k] == (0, True) for k in range(1, 21)) and all(got[2, k] == (k - 1, True) for k in range(1, 3000))
+    assert got[3, 1] == (0, True) and got[3, 2] == (1, False)
+
+
 def test_long_messages_and_long_conversations(spark):
     rng = random.Random(42)
     long = [" ".join(words(rng, 8)) for _ in range(5000)]
