@@ -7,13 +7,16 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions import cells, headers
-from tallyline.session import pin
+from tallyline.session import discard, pin, written
 
 
 def python_paths(df: DataFrame) -> tuple[set[str], set[str]]:
@@ -61,31 +64,43 @@ def ordered(canon: DataFrame) -> DataFrame:
 
 
 def _pack(limit: int):
+    """Rows joined by commas inside Arrow, a cell for each batch or for about ``limit`` bytes of it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text.encode())
-                size += len(held[-1])
-                if size >= limit:
-                    yield pa.RecordBatch.from_arrays([pa.array([b",".join(held)], pa.binary())], names=["part"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b",".join(held)], pa.binary())], names=["part"])
+            texts = batch.column(0)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < len(texts):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit, side="right")))
+                rows = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), texts.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pc.binary_join(rows, ",").cast(pa.binary())], names=["part"])
+                low = high
 
     return run
 
 
 def document_parts(df: DataFrame, cell_bytes: int = 16_000_000) -> Iterator[bytes]:
-    """The canonical document's bytes in order. Rows are sorted on the cluster and packed by partition; the driver holds one partition's cells."""
+    """The canonical document's bytes in order. Rows are sorted and packed by all tasks at once and kept on executors' disks; the driver holds one partition's cells."""
     canon = canonical_cells(df)
     names = json.dumps(canon.columns, ensure_ascii=False, separators=(",", ":")).encode()
     yield b'{"headers":' + names + b',"rows":['
-    packed = ordered(canon).select(row_json(canon, kinds(headers.merge(df))).alias("row")).mapInArrow(_pack(cell_bytes), "part binary")
-    first = True
-    for row in packed.toLocalIterator():
-        yield (b"" if first else b",") + bytes(row[0])
-        first = False
+    cells_ = [f"c{i}" for i in range(len(canon.columns))]
+    # Written once: a sort by ranges reads its input twice, to sample it and to sort it.
+    made = written(canon.toDF(*cells_).withColumn("row", row_json(canon, kinds(headers.merge(df)), lambda n: F.col(cells_[canon.columns.index(n)]))), "canonical-rows")
+    order = [F.col(c).asc_nulls_first() for c in cells_]
+    # With their number given, partitions stay as many, so that a sorted one is never more than its share.
+    sorted_ = made.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order) if order else made
+    packed = sorted_.select("row").mapInArrow(_pack(cell_bytes), "part binary").persist(StorageLevel.DISK_ONLY)
+    try:
+        packed.count()
+        first = True
+        for row in packed.toLocalIterator(prefetchPartitions=True):
+            yield (b"" if first else b",") + bytes(row[0])
+            first = False
+    finally:
+        packed.unpersist()
+        discard(made)
     yield b"]}"
 
 

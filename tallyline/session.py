@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_left: dict[str, SparkSession] = {}
+
+
+def _tidy() -> None:
+    """Deletes what this driver left in the shared folder: frames that read it end with the driver."""
+    for path, spark in list(_left.items()):
+        with contextlib.suppress(Exception):  # the session may be gone already
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _left.pop(path, None)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: computed once, safe from lost executors."""
+    if not _left:
+        atexit.register(_tidy)
     path = f"{shared_folder(df.sparkSession)}/tallyline-{name}-{uuid.uuid4().hex}"
+    _left[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote for the frame; nothing may read it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
