@@ -10,7 +10,7 @@ import time
 from pathlib import Path
 from typing import Any
 
-from tallyline.operators import totals
+from tallyline.operators import runlog, totals
 from tallyline.plans import annotations, crypto, history, pipeline, receipts
 from tallyline.session import session
 
@@ -98,17 +98,18 @@ def diff(spark, args) -> int:
     a, b = _side(spark, args, args.a), _side(spark, args, args.b or "current")
     first = lambda side: {s["name"]: s for s in reversed(side["stages"])}
     old, new = first(a), first(b)
-    out, lines = [], [] if a["source"]["filename"] == b["source"]["filename"] else ["note: the runs have different sources"]
-    for name in dict.fromkeys([*(s["name"] for s in a["stages"]), *(s["name"] for s in b["stages"])]):
-        if name not in new or name not in old:
-            out.append({"stage": name, "presence": "removed" if name in old else "added"})
-            lines.append(f"{name}: {out[-1]['presence']}")
+    rows = lambda side: spark.createDataFrame([(i, s["name"], n if isinstance(n := s["totals"].get("row_count"), int) else None, s.get("code_hash")) for i, s in enumerate(side["stages"])], "position long, name string, row_count long, code_hash string")
+    out, lines = [], [] if a["source"]["filename"] == b["source"]["filename"] else [f"note: the runs have different sources, {a['source']['filename']!r} and {b['source']['filename']!r}"]
+    for stage in runlog.stage_diff(rows(a), rows(b)).orderBy("at").collect():
+        name = stage["name"]
+        if stage["presence"] != "both":
+            out.append({"stage": name, "presence": stage["presence"]})
+            lines.append(f"{name}: {stage['presence']}")
             continue
-        moved = totals.structured_delta(old[name]["totals"], new[name]["totals"])
-        code = [old[name].get("code_hash"), new[name].get("code_hash")]
-        out.append({"stage": name, "delta": moved} | ({"code_hash": code} if code[0] != code[1] else {}))
+        code = {"code_hash": [old[name].get("code_hash"), new[name].get("code_hash")]} if stage["code_changed"] else {}
+        out.append({"stage": name, "row_delta": stage["row_delta"], "delta": totals.structured_delta(old[name]["totals"], new[name]["totals"])} | code)
         lines += [f"{name}: {x}" for x in totals.totals_delta(old[name]["totals"], new[name]["totals"])]
-        lines += [f"{name}: code {str(code[0])[:8]} -> {str(code[1])[:8]}"] if code[0] != code[1] else []
+        lines += [f"{name}: code {str(x)[:8]} -> {str(y)[:8]}" for x, y in code.values()]
     _say(args, out, lines or ["no movement"])
     return 0
 
@@ -117,7 +118,7 @@ def log(spark, args) -> int:
     """Totals of archived runs by period: the last run of each counts."""
     from pyspark.sql import functions as F
 
-    from tallyline.operators import judge, runlog
+    from tallyline.operators import judge
 
     runs, long = [], []
     for d in _runs(spark, args):
@@ -215,11 +216,47 @@ def review(spark, args) -> int:
     return 0
 
 
+def _checks(spark, args) -> list[tuple[str, bool, str, str]]:
+    """(what, whether it is as it should be, what was found, what to do otherwise)."""
+    folder, conf = Path(args.folder), spark.conf
+    local = spark.sparkContext.master.startswith("local")
+    shared = conf.get("spark.checkpoint.dir", None)
+    found = [
+        ("java", int(spark._jvm.java.lang.Runtime.version().feature()) >= 17, spark._jvm.java.lang.System.getProperty("java.version"), "use Java 17 or later"),
+        ("spark", int(spark.version.split(".")[0]) >= 4, spark.version, "use Spark 4 or later"),
+        ("time zone", conf.get("spark.sql.session.timeZone") == "UTC", conf.get("spark.sql.session.timeZone"), "start sessions by tallyline.session.session"),
+        ("shared folder", bool(shared) or local, shared or "none", "set spark.checkpoint.dir to a folder that all executors reach"),
+    ]
+    chain = receipts.read_chain(folder)
+    found.append(("chain", bool(chain), f"{len(chain.get('receipts', []))} receipts", "ingest a source"))
+    found.append(("interrupted commit", not (folder / receipts._JOURNAL).exists(), str((folder / receipts._JOURNAL).exists()), "run verify, which finishes it"))
+    if chain:
+        result = receipts.verify_folder(spark, folder, _trusted(args))
+        found.append(("verdict", result.ok, result.verdict, result.lines[0]))
+        notices: list[str] = []
+        runs = history.load(folder, spark, _trusted(args), notices=notices)
+        found.append(("history", not notices, f"{len(runs)} usable runs", "; ".join(notices)))
+        waiting = annotations.pending(folder)
+        found.append(("withheld changes", not waiting, str(len(waiting)), "decide on them with review"))
+    if args.key:
+        path = Path(args.key)
+        try:
+            public, why = crypto.public_of(crypto.load_private(path)), ""
+        except (OSError, ValueError) as e:
+            public, why = None, str(e)
+        found.append(("private key", public is not None, public or "unreadable", why))
+        if public:
+            mode = path.stat().st_mode & 0o777
+            found.append(("private key's mode", not mode & 0o077, oct(mode), f"chmod 600 {path}"))
+            found.append(("private key's chain", not chain or public == chain.get("public_key"), crypto.fingerprint(public), "the chain was signed by another key"))
+    return found
+
+
 def doctor(spark, args) -> int:
-    folder = Path(args.folder)
-    facts = {"java": spark._jvm.java.lang.System.getProperty("java.version"), "spark": spark.version, "time zone": spark.conf.get("spark.sql.session.timeZone"), "chain": str(len(receipts.receipt_names(folder))) + " receipts", "interrupted commit": str((folder / receipts._JOURNAL).exists())}
-    _say(args, facts, [f"{k}: {v}" for k, v in facts.items()])
-    return 0
+    """Checks the set-up, the chain, its history and the key; 1 if anything is wrong."""
+    found = _checks(spark, args)
+    _say(args, [{"check": n, "ok": ok, "found": what, **({} if ok else {"fix": fix})} for n, ok, what, fix in found], [f"{'ok' if ok else '!!'}  {n}: {what}" + ("" if ok else f" ({fix})") for n, ok, what, fix in found])
+    return 0 if all(ok for _, ok, *_ in found) else 1
 
 
 def demo(spark, args) -> int:
@@ -295,7 +332,7 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--accept", action="store_true")
     own.add_argument("--reason", default="")
     own.add_argument("--author", default="")
-    command(doctor)
+    command(doctor, key=None, pub=True)
     command(demo)
     return main
 

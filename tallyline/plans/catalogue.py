@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import cells
 from tallyline.operators import canonical, judge, links, runlog, totals
-from tallyline.session import pin, shared_folder
+from tallyline.session import pin, shared_folder, written
 from tallyline.sources import feeds, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,6 +487,22 @@ for _case, (_runs, _share, _created, _band, _settle, _flag) in _CASES.items():
     )
 
 
+@query(_judge_sql(*_CASES["judge_tainted_baseline"][:5], "h.k % 3 = 1"))
+def judge_folded_baseline(spark, sf_dir):
+    """The same runs folded into a state one by one, the last judged against the state alone."""
+    from tallyline.operators import baseline
+
+    runs, share, created, band, settle, flag = _CASES["judge_tainted_baseline"]
+    seen = written(_observations(spark, sf_dir, runs, share, created), "observations")
+    at = lambda k: dt.datetime.fromisoformat(created).replace(tzinfo=dt.timezone.utc) + dt.timedelta(days=k)
+    state = baseline.empty(spark)
+    for k in range(runs - 1):
+        own = seen.filter(F.col("k") == k)
+        state = written(baseline.fold(state, own.select("bucket", "metric", "value"), own.filter(flag).select("bucket", "metric"), f"r{k:02d}", at(k), settle), "baseline")
+    found = baseline.judged(state, seen.filter(F.col("k") == runs - 1).select("bucket", "metric", "value"), Decimal(band), settle, at(runs - 1))
+    return found.select("type", "metric", "period", *[cells.plain_text(F.col(c).cast(cells.DEC)).alias(c) for c in ("before", "after")])
+
+
 _WORST = """WITH j AS ({judged}), n AS (SELECT *, before::DECIMAL(26,6) AS b, after::DECIMAL(26,6) AS a FROM j),
     w AS (SELECT type, metric, period, before, after, count(*) OVER (PARTITION BY type, metric) AS periods, row_number() OVER (PARTITION BY type, metric ORDER BY type = 'band_breach' AND b = 0 DESC,
       CASE WHEN type = 'settled_movement' THEN abs(a - b)::DOUBLE WHEN b <> 0 THEN abs(a - b) / abs(b) END DESC NULLS LAST, period) AS n FROM n)
@@ -609,6 +625,20 @@ def feed_numbers_as_written(spark, sf_dir):
     return feeds.map_records(pages, {n: n for n in ("id", "price", "small", "note", "flag")})
 
 
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'https://example.org/' || o_orderkey ELSE 'urn:' || o_orderkey END AS id, o_orderpriority || ' <&> é' AS title, CASE WHEN (o_orderkey // 40) % 2 = 1 OR o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS published FROM orders")
+def feed_entries(spark, sf_dir):
+    """Feeds of several entries, every second one Atom, the others RSS."""
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.expr("o_orderkey div 40").alias("page"))
+    k = F.col("o_orderkey")
+    title = F.concat(F.lit("<title>"), "o_orderpriority", F.lit(" &lt;&amp;&gt; é </title>"))
+    rss = F.concat(F.lit("<item>"), F.when(k % 5 == 0, F.format_string("<link>https://example.org/%d</link>", k)).otherwise(F.format_string('<guid isPermaLink="false">urn:%d</guid><link>https://example.org/x</link>', k)), title, F.when(k % 7 != 0, F.concat(F.lit("<pubDate>"), "day", F.lit("</pubDate>"))).otherwise("<pubDate/>"), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), F.when(k % 5 == 0, F.format_string('<link rel="self" href="https://example.org/%d"/>', k)).otherwise(F.format_string("<id> urn:%d </id>", k)), title, F.when(k % 7 == 0, F.concat(F.lit("<updated>"), "day", F.lit("</updated>"))).otherwise(F.concat(F.lit("<published>"), "day", F.lit("</published>"))), F.lit("</entry>"))
+    one = F.when(F.col("page") % 2 == 0, rss).otherwise(atom)
+    pages = orders.groupBy("page").agg(F.array_join(F.collect_list(one), "").alias("x"))
+    value = F.when(F.col("page") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>of all</title>'), "x", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>of all</title>'), "x", F.lit("</feed>")))
+    return feeds.map_entries(pages.select(value.alias("value")))
+
+
 def _read_array(spark: SparkSession, path: str) -> DataFrame:
     """The lines of an export as one array in a file of its own, read as such."""
     lines = spark.read.text(path).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))

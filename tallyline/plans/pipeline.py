@@ -125,11 +125,12 @@ def evaluated(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
     return stored.toDF(*names), {"row_count": observed["rows"]} | {f"nulls[{n}]": c for n, c in nulls.items()}
 
 
-def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name: str | None = None, write_table: bool = False, tree_keys: list[str] | None = None) -> Callable:
+def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name: str | None = None, write_table: bool = False, tree_keys: list[str] | None = None, plan_identity: bool = False) -> Callable:
     """Decorates DataFrame -> DataFrame: the chain must verify and end in the input's hash; the output's receipt is appended.
 
     The function's table is computed once, in the pass that writes it; hash, totals and the caller read what was
-    written. tree_keys: also declares the root of the output's content tree by these keys.
+    written. tree_keys: also declares the root of the output's content tree by these keys; plan_identity: also the hash of
+    the analysed plan, which tells of changed code in helpers that the function's own source doesn't show.
     """
 
     def wrap(func: Callable[[DataFrame], DataFrame]) -> Callable[[object], DataFrame]:
@@ -147,8 +148,10 @@ def step(folder: str | Path, seed: bytes, trusted: list[str] | None = None, name
                 found = semantic_hash(df)
                 if found != receipts.output_hash(tail):
                     raise TailMismatch(f"the input hashes to {receipts.short(found)}, the chain ends in {receipts.short(receipts.output_hash(tail))} ({receipts.stage_name(tail)})")
-                out, observed = evaluated(readers.frame(spark, func(df)), name or func.__name__)
-                declared = {"output_tree": {"kind": tree.KIND, "keys": tree_keys, "root": tree.root(tree.tree(out, tree_keys))}} if tree_keys else {}
+                asked = readers.frame(spark, func(df))
+                planned = {"plan_hash": receipts.plan_hash(asked)} if plan_identity else {}
+                out, observed = evaluated(asked, name or func.__name__)
+                declared = planned | ({"output_tree": {"kind": tree.KIND, "keys": tree_keys, "root": tree.root(tree.tree(out, tree_keys))}} if tree_keys else {})
                 made = receipts.transform_receipt(out, seed, name=name or func.__name__, code_hash=receipts.code_hash(func), code_file=Path(func.__code__.co_filename).name, input_hash=found, output_hash=semantic_hash(out), **declared)
                 if receipts.totals_of(made)["row_count"] != observed["row_count"]:
                     raise WriteMismatch(f"the receipt of {made['transform']['name']} counts other rows than the pass that wrote them")

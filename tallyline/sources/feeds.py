@@ -157,6 +157,26 @@ def zip_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 ENTRY_FIELDS = {"id": "id", "title": "title", "published": "published"}
 
 
+#: Elements that stand for a field, the first filled one counting. Fixed values.
+SAME = {"id": ("id", "guid", "link"), "published": ("published", "pubDate", "updated")}
+
+
+def map_entries(texts: DataFrame, field_map: dict[str, str] | None = None, value: str = "value") -> DataFrame:
+    """rss_records() in the plan, for batches and streams: the items of RSS and the entries of Atom texts, one feed a row, as rows of text.
+
+    A text with a document type or an entity raises an error on the cluster before it is parsed. One that is no XML has no
+    rows; absent and empty fields are empty, and a link may stand in its href.
+    """
+    fields = field_map or ENTRY_FIELDS
+    names = list(dict.fromkeys(c for f in fields.values() for c in SAME.get(f, (f,))))
+    entry = f"array<struct<{', '.join(f'`{n}`: struct<_VALUE: string, _href: string>' for n in names)}>>"
+    safe = F.when(F.col(value).rlike("<!(DOCTYPE|ENTITY)"), F.raise_error(F.lit("document types are not allowed in a feed"))).otherwise(F.col(value))
+    parsed = F.from_xml(safe, f"channel struct<item: {entry}>, item {entry}, entry {entry}", {"ignoreNamespace": "true"})
+    rows = texts.select(parsed.alias("f")).select(F.explode(F.concat(*[F.coalesce(F.col(c), F.array().cast(entry)) for c in ("f.channel.item", "f.item", "f.entry")])).alias("e"))
+    filled = lambda n: F.coalesce(F.nullif(F.trim(F.col("e")[n]["_VALUE"]), F.lit("")), F.nullif(F.col("e")[n]["_href"], F.lit("")))
+    return rows.select(*[F.coalesce(*[filled(n) for n in SAME.get(f, (f,))], F.lit("")).alias(out) for out, f in fields.items()])
+
+
 def rss_records(spark: SparkSession, raw: bytes, field_map: dict[str, str] | None = None) -> DataFrame:
     """Entries of an RSS or Atom feed, all text. Document types are refused."""
     if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
@@ -165,10 +185,8 @@ def rss_records(spark: SparkSession, raw: bytes, field_map: dict[str, str] | Non
         root = ET.fromstring(raw)
     except ET.ParseError as e:
         raise SourceError(f"not XML: {e}") from None
-    same = {"id": ("id", "guid", "link"), "published": ("published", "pubDate", "updated")}
-
     def of(entry: ET.Element, name: str) -> str:
-        for wanted in same.get(name, (name,)):
+        for wanted in SAME.get(name, (name,)):
             for child in entry:
                 if child.tag.rpartition("}")[2] == wanted:
                     text = (child.text or "").strip() or child.get("href", "")

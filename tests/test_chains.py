@@ -223,7 +223,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["verify", "--folder", folder, "--data", str(tmp_path / "in.csv")]) == 1
     assert cli.main(["ingest", str(tmp_path / "in.csv"), "--folder", folder, "--key", key, "--as", "period"]) == 2
     assert cli.main(["diff", "--folder", folder]) == 0 and "clicks 330 -> 331 (1)" in capsys.readouterr().out
-    assert cli.main(["timeline", "--folder", folder]) == 0 and cli.main(["custody", "--folder", folder]) == 0 and cli.main(["doctor", "--folder", folder]) == 0
+    assert cli.main(["timeline", "--folder", folder]) == 0 and cli.main(["custody", "--folder", folder]) == 0
+    capsys.readouterr()
+    assert cli.main(["doctor", "--folder", folder, "--key", key, "--json"]) == 0
+    checks = {x["check"]: x for x in json.loads(capsys.readouterr().out)}
+    assert checks["verdict"]["found"] in ("green", "yellow") and checks["private key's chain"]["ok"] and "fix" not in checks["java"]
+    (tmp_path / "k" / "private.pem").chmod(0o644)
+    (tmp_path / "r" / "history" / "x.json").write_text("{")
+    assert cli.main(["doctor", "--folder", folder, "--key", key, "--json"]) == 1
+    assert {x["check"] for x in json.loads(capsys.readouterr().out) if not x["ok"]} == {"history", "private key's mode"}
+    assert cli.main(["doctor", "--folder", str(tmp_path / "nothing")]) == 1
     assert cli.main(["ingest", str(tmp_path / "none.csv"), "--folder", folder, "--key", key]) == 1
 
 
@@ -315,3 +324,20 @@ def test_what_a_write_observes(spark):
     same, seen = pipeline.evaluated(df.toDF("a", "A", "m m"), "odd/name")
     assert same.columns == ["a", "A", "m m"] and seen == {"row_count": 2, "nulls[a]": 0, "nulls[A]": 1, "nulls[m m]": 1}
     assert pipeline.evaluated(df.limit(0), "none")[1]["row_count"] == 0
+
+
+def test_plan_identity(spark, chain, seed, tmp_path):
+    folder, out = chain
+    out.write.parquet(str(tmp_path / "a"))
+    out.write.parquet(str(tmp_path / "b"))
+
+    def made(place, session, least=3, name="n"):
+        df = session.read.parquet(str(tmp_path / place)).filter(F.col("clicks") > least)
+        wide = df.select("*", *[F.lit(k).alias(f"w{k}") for k in range(60)])
+        return wide.groupBy("channel").agg(F.count("*").alias(name), F.sum("w59").alias("w"))
+
+    one = receipts.plan_hash(made("a", spark))
+    assert one == receipts.plan_hash(made("a", spark.newSession())) == receipts.plan_hash(made("b", spark))
+    assert len({one, receipts.plan_hash(made("a", spark, 4)), receipts.plan_hash(made("a", spark, name="m"))}) == 3
+    pipeline.step(folder, seed, plan_identity=True)(clean)(out)
+    assert len(receipts.load_receipts(folder)[-1]["plan_hash"]) == 64 and receipts.verify_folder(spark, folder).ok

@@ -191,3 +191,18 @@ def test_late_rows(spark, tmp_path):
         }
         seen.append(told)
     assert seen[0] == seen[1]
+
+
+def test_feeds_in_the_plan(spark):
+    objects = '{"a": 1.10, "b": "x, 2.50 \\" 3", "c": [1.0, {"d": -5e3}], "e": null, "f": true}'
+    df = spark.createDataFrame([(objects,), (f" [{objects}, {{}}]",), ("[]",), ("nope",), ("7",), (None,)], "value string")
+    got = [tuple(r) for r in feeds.map_records(df, {"A": "a", "b": "b", "c": "c", "e": "e", "f": "f"}).collect()]
+    assert got == [("1.10", 'x, 2.50 " 3', '["1.0",{"d":"-5e3"}]', "", "true")] * 2 + [("", "", "", "", "")]
+    rss = '<rss><channel><title>t</title><item><guid>g</guid><title> a </title><pubDate>d</pubDate></item><item><link>l</link></item></channel></rss>'
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link href="h"/><title>é</title><updated>u</updated></entry></feed>'
+    feeds_of = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    assert [tuple(r) for r in feeds.map_entries(feeds_of(rss, atom, "nope", "<a/>")).collect()] == [("g", "a", "d"), ("l", "", ""), ("h", "é", "u")]
+    assert [tuple(r) for r in feeds.map_entries(feeds_of(rss), {"name": "title"}).collect()] == [("a",), ("",)]
+    for bad in ('<!DOCTYPE x [<!ENTITY y "z">]><rss/>', "<rss><!ENTITY y></rss>"):
+        with pytest.raises(Exception, match="document types"):
+            feeds.map_entries(feeds_of(bad)).collect()
