@@ -119,4 +119,4 @@ def test_every_operator_has_a_query():
     from tallyline.llm import queries
 
     names = [n for n in queries.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
