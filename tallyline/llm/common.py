@@ -97,10 +97,12 @@ def unit_hash(*keys: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in tests, where none is set, one in the warehouse."""
+    """The folder that driver and executors share; on a local master where none is set, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("executors share no folder: set spark.checkpoint.dir to one that all of them can reach")
         folder = jdir.get() if jdir.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyline_work"
     return folder.rstrip("/")
 

@@ -8,7 +8,9 @@ coordinates, chosen by the bucket itself, two children for each set, which keeps
 expected number of similar sets that stay together above one. Small buckets, and
 those whose sets are similar on average, are compared by brute force in tiles of bounded size.
 Runs are repeated until a pair at the threshold is missed with a probability of less
-than 1 - recall. Sketches only choose; every link is confirmed on whole sets.
+than 1 - recall. A pair stays together in fewer runs the lower the threshold and the deeper
+the splits, so where too many runs would be needed, fewer levels are split: buckets are larger, tiles as
+small as ever. No threshold is refused. Sketches only choose; every link is confirmed on whole sets.
 
 A pair that meets in several buckets counts in the first one alone, so tiles need not
 send pairs: they send each set's number of links and a star that connects what is
@@ -36,7 +38,7 @@ from tallyline.llm.common import arrow_texts, discard_frames, join_split, map_ar
 WORD = re.compile(r"\w+")
 #: Of a sketch, at least; more runs than that take as many.
 COORDINATES = 64
-#: A run's number has eight bits of a bucket's name.
+#: Runs of which splitting takes as many levels as were asked for; where more would be needed, buckets are split less often.
 MOST_RUNS = 255
 #: An estimate from 64 coordinates is this far below the truth in one of some ten thousand pairs.
 SLACK = 0.2
@@ -145,13 +147,28 @@ def _dense(members: DataFrame, sketch: DataFrame, share: float = 0.5, coordinate
     return held.join(drawn, "path").groupBy("path").agg((F.avg(alike) >= share * coordinates).alias("dense"))
 
 
+def plan_runs(threshold: float, recall: float, depth: int) -> tuple[int, int]:
+    """(runs, depth): as many runs as the recall needs, with the deepest splitting up to ``depth`` that takes at most MOST_RUNS, or none.
+
+    A pair at the threshold shares the first token of a run, then one of two in every split.
+    """
+    def needed(levels: int) -> int:
+        stays = threshold * (1 - (1 - threshold) ** 2) ** levels
+        return 1 if stays >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-stays)))
+
+    levels = next((d for d in range(depth, 0, -1) if needed(d) <= MOST_RUNS), 0)
+    return needed(levels), levels
+
+
 def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int, coordinates: int) -> DataFrame:
     """(node, leaf, n): leaf buckets with n >= 2 nodes; leaf holds the run's number in its upper bits."""
+    low = 64 - max(8, runs.bit_length())  # bits of a bucket's name below the run's number
+
     def word(coordinate):
         return F.substring(F.col("sketch"), coordinate * 4 + 1, 4)
 
     def named(key, *parts):
-        return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(F.shiftleft(key, 56))
+        return F.xxhash64(*parts).bitwiseAND(F.lit((1 << low) - 1)).bitwiseOR(F.shiftleft(key, low))
 
     starts = [F.struct(named(F.lit(r).cast("long"), F.lit(r), word(F.lit(r))).alias("path")) for r in range(runs)]
     level = sketch.select("node", F.explode(F.array(*starts)).alias("p")).select("node", "p.path")
@@ -169,7 +186,7 @@ def _paths(sketch: DataFrame, runs: int, bucket: int, depth: int, coordinates: i
         big = big.filter("not dense")
         first = F.pmod(F.xxhash64("path", F.lit(d)), F.lit(coordinates)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(-1 - d)), F.lit(coordinates - 1)).cast("int"), F.lit(coordinates)).cast("int")
-        run = F.shiftrightunsigned("path", 56)
+        run = F.shiftrightunsigned("path", low)
         children = F.array(*[named(run, F.col("path"), c, word(c)) for c in (first, second)])
         level = big.select("node", "path").join(sketch, "node").select("node", F.explode(children).alias("path")).distinct()
     return leaves.select("node", F.col("path").alias("leaf"), "n")
@@ -327,10 +344,9 @@ def components(edges: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.999, bucket: int = 200, depth: int = 4, tile: int = 1000) -> DataFrame:
     """A row per input row: key, node, class_id (the class's smallest key) and links (other documents at the threshold or above)."""
     kind = docs.schema[key].dataType.simpleString()
-    stays = threshold * (1 - (1 - threshold) ** 2) ** depth  # a similar pair shares the first token, then one of two in every split
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
-    if runs > MOST_RUNS:
-        raise ValueError(f"a recall of {recall} at a similarity of {threshold} needs {runs} runs; at most {MOST_RUNS} are possible")
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError(f"a threshold in (0, 1] and a recall in (0, 1) are needed, not {threshold} and {recall}")
+    runs, depth = plan_runs(threshold, recall, depth)
     coordinates = max(COORDINATES, runs)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     hashed = f"key {kind}, node long, size long, data binary"

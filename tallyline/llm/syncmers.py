@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNITS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]+|[^\s\p{L}\p{N}\p{M}]"
 
@@ -84,8 +85,11 @@ def with_next(docs: DataFrame, key: str, columns: list[str], rows_per_bucket: in
     Buckets end at approximate quantiles that are keys themselves; the driver receives these alone, ``most_buckets``
     at most. The last row of a bucket needs the first of the one below, whose key is a bound, so rows at
     bounds are sent to both. One exchange moves the rows; no task has more than a few buckets, and
-    a bucket is sorted with spilling. Rows that share a key share a bucket.
+    a bucket is sorted with spilling. Rows that share a key share a bucket. Keys must be whole numbers of
+    at most 64 bits, others raise TypeError; null keys count as the smallest.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number of at most 64 bits, not {docs.schema[key].dataType.simpleString()}")
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(at.alias("at"))
     n, top = ids.agg(F.count("*"), F.max("at")).first()

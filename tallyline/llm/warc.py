@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import discard, materialise, work_path
+from tallyline.llm.common import discard, join_split, materialise, work_path
 
 MAGIC = "WARC/1.0\r\n"
 URN = "urn:page:"
@@ -45,7 +45,9 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     rows = pages.select(F.col(key).cast("string").alias("key"), F.col(key).alias("order"), F.col(url).alias("url"), body.alias("body"), F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes"))
     keys = materialise(rows.select("order", "digest", "bytes"), "warc-keys")
     groups = keys.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = materialise(keys.join(groups, ["digest", "bytes"]).filter(~F.col("order").eqNullSafe(F.col("first")) & F.col("first").isNotNull()).select(F.col("order").alias("revisit"), F.col("digest").alias("its_digest"), F.col("first").cast("string").alias("first")).distinct(), "warc-revisits")
+    groups = materialise(groups, "warc-groups")
+    # One payload, the empty one say, may be a large share of all rows.
+    revisits = materialise(join_split(keys, groups, ["digest", "bytes"], "n").filter(~F.col("order").eqNullSafe(F.col("first")) & F.col("first").isNotNull()).select(F.col("order").alias("revisit"), F.col("digest").alias("its_digest"), F.col("first").cast("string").alias("first")).distinct(), "warc-revisits")
     marked = rows.join(_bounded(revisits, most_broadcast), F.col("order").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("its_digest")), "left")
     again = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))

@@ -44,6 +44,11 @@ def test_fingerprints(spark):
     assert one.next_entries == one.entries
 
 
+def test_fingerprints_need_ordered_keys(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        syncmers.fingerprints(spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string"))
+
+
 def test_anchors_by_hand(spark):
     text = " ".join(f"w{i}" for i in range(40))
     inside = "zz yy xx " + text + " qq rr"
@@ -394,6 +399,25 @@ def test_similar_documents(spark, options):
     assert jaccard.similar(df.limit(0)).count() == 0
 
 
+def test_runs_for_any_threshold(spark):
+    assert jaccard.plan_runs(0.8, 0.999, 4) == (7, 4) and jaccard.plan_runs(1.0, 0.999, 4) == (1, 4)
+    assert jaccard.plan_runs(0.3, 0.999, 4) == (171, 3)  # 337 with four levels
+    assert jaccard.plan_runs(0.02, 0.999, 4) == (342, 0)
+    for threshold in (0.9, 0.5, 0.3, 0.1, 0.02):
+        runs, depth = jaccard.plan_runs(threshold, 0.99, 6)
+        assert (1 - threshold * (1 - (1 - threshold) ** 2) ** depth) ** runs <= 0.01
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    shared = [words(rng, 30, pool) for _ in range(3)]
+    rows = [(i, " ".join(words(rng, rng.randint(0, 30), pool) + shared[i % 3][: rng.randint(10, 30)])) for i in range(40)] + [(40, None), (41, "a b")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, links int").repartition(3)
+    for threshold, bucket in ((0.3, 4), (0.02, 200)):
+        got = collections.Counter((r.doc_id, r.class_id, r.links) for r in jaccard.similar(df, threshold=threshold, bucket=bucket, recall=0.99999).collect())
+        assert got == brute_similar(rows, threshold)
+    with pytest.raises(ValueError, match="threshold"):
+        jaccard.similar(df, threshold=0)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (101, 50), (101, 102), (7, 7)]
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "node long, root long")).collect()}
