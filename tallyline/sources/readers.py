@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
-import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 from pathlib import PurePosixPath
+from xml.parsers import expat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyline.functions import headers
+from tallyline.sources import shared
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -68,26 +72,17 @@ def _xml(book: zipfile.ZipFile, name: str) -> ET.Element | None:
     return ET.fromstring(data)
 
 
-def workbook_rows(data: bytes, sheet: str | None = None) -> Iterator[list[object]]:
-    """Rows of a sheet's cached values; dates by the cells' number formats."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        shared = _xml(book, "xl/sharedStrings.xml")
-        strings = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in shared] if shared is not None else []
-        styles, dated, customs = _xml(book, "xl/styles.xml"), [], {}
-        if styles is not None:
-            customs = {int(n.get("numFmtId")): n.get("formatCode", "") for n in styles.iter(f"{_MAIN}numFmt")}
-            shows = lambda k: k in _DATE_FORMATS or bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", customs.get(k, "")).lower()))
-            formats = styles.find(f"{_MAIN}cellXfs")
-            dated = [shows(int(x.get("numFmtId", 0))) for x in (formats if formats is not None else ())]
-        main = _xml(book, "xl/workbook.xml")
-        targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
-        epoch = dt.datetime(1904, 1, 1) if (pr := main.find(f"{_MAIN}workbookPr")) is not None and pr.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
-        sheets = {s.get("name"): targets[s.get(f"{_REL}id")] for s in main.iter(f"{_MAIN}sheet")}
-        if sheet is not None and sheet not in sheets:
-            raise ValueError(f"no sheet named {sheet!r}; there are {', '.join(sheets)}")
-        target = sheets[sheet if sheet is not None else next(iter(sheets))]
-        root = _xml(book, target.lstrip("/") if target.startswith("/") else str(PurePosixPath("xl") / target))
-    for row in root.iter(f"{_MAIN}row"):
+@dataclass(frozen=True)
+class Workbook:
+    """What a sheet's cells refer to: the file's shared texts, which styles show dates, and the day 0."""
+
+    part: str
+    strings: list[str]
+    dated: list[bool]
+    epoch: dt.datetime
+
+    def row(self, row: ET.Element) -> list[object]:
+        """Cached values of a row's cells, at their columns; dates by the cells' number formats."""
         out: list[object] = []
         for cell in row.iter(f"{_MAIN}c"):
             letters = re.match(r"[A-Z]+", cell.get("r", ""))
@@ -99,23 +94,115 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> Iterator[list[object
             elif value is None or value.text is None:
                 continue
             elif kind == "s":
-                out[at] = strings[int(value.text)]
+                out[at] = self.strings[int(value.text)]
             elif kind == "b":
                 out[at] = value.text == "1"
             elif kind == "n":
                 style = int(cell.get("s", 0))
                 number = float(value.text)
-                if style < len(dated) and dated[style]:
-                    out[at] = epoch + dt.timedelta(microseconds=round(number * 86_400_000_000 / 1000) * 1000)
+                if style < len(self.dated) and self.dated[style]:
+                    out[at] = self.epoch + dt.timedelta(microseconds=round(number * 86_400_000_000 / 1000) * 1000)
                 else:
                     out[at] = int(number) if number.is_integer() and "e" not in value.text.lower() else number
             else:
                 out[at] = value.text
-        yield out
+        return out
+
+
+def _workbook(book: zipfile.ZipFile, sheet: str | None) -> Workbook:
+    shared_texts = _xml(book, "xl/sharedStrings.xml")
+    strings = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in shared_texts] if shared_texts is not None else []
+    styles, dated, customs = _xml(book, "xl/styles.xml"), [], {}
+    if styles is not None:
+        customs = {int(n.get("numFmtId")): n.get("formatCode", "") for n in styles.iter(f"{_MAIN}numFmt")}
+        shows = lambda k: k in _DATE_FORMATS or bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", customs.get(k, "")).lower()))
+        formats = styles.find(f"{_MAIN}cellXfs")
+        dated = [shows(int(x.get("numFmtId", 0))) for x in (formats if formats is not None else ())]
+    main = _xml(book, "xl/workbook.xml")
+    targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
+    epoch = dt.datetime(1904, 1, 1) if (pr := main.find(f"{_MAIN}workbookPr")) is not None and pr.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
+    sheets = {s.get("name"): targets[s.get(f"{_REL}id")] for s in main.iter(f"{_MAIN}sheet")}
+    if sheet is not None and sheet not in sheets:
+        raise ValueError(f"no sheet named {sheet!r}; there are {', '.join(sheets)}")
+    target = sheets[sheet if sheet is not None else next(iter(sheets))]
+    return Workbook(target.lstrip("/") if target.startswith("/") else str(PurePosixPath("xl") / target), strings, dated, epoch)
+
+
+@lru_cache(maxsize=1)
+def _known(version: tuple[str, int, int], sheet: str | None) -> Workbook:
+    """A worker reads the shared texts of a file's state once, for all ranges that it is given."""
+    with shared.opened(version[0]) as f, zipfile.ZipFile(f) as book:
+        return _workbook(book, sheet)
+
+
+def _refuse(*_) -> None:
+    raise ValueError("document types are not allowed in a workbook")
+
+
+def _checked(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The pieces, which raise ValueError if a document type stands before the root."""
+    parser, begun = expat.ParserCreate(), []
+    parser.StartDoctypeDeclHandler, parser.StartElementHandler = _refuse, lambda *_: begun.append(True)
+    for piece in pieces:
+        if not begun:
+            parser.Parse(piece)
+        yield piece
+
+
+def _rows(pieces: Iterable[bytes]) -> Iterator[ET.Element]:
+    """The row elements of a sheet's XML as they end; none is kept."""
+    parser, above = ET.XMLPullParser(("start", "end")), []
+    for piece in _checked(pieces):
+        parser.feed(piece)
+        for event, element in parser.read_events():
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == f"{_MAIN}row":
+                yield element
+                above[-1].clear()
+
+
+class RowRange(InputPartition):
+    """Rows whose XML lies in bytes low to high of the sheet; what stands before byte ``head`` opens the document."""
+
+    def __init__(self, head: int, low: int, high: int):
+        self.head, self.low, self.high = head, low, high
+
+
+def _ranges(pieces: Iterable[bytes], rows_each: int) -> list[RowRange]:
+    """Ranges of ``rows_each`` rows, by the offsets at which a parser meets them; the first range has the header row too."""
+    parser, starts, seen, stop = expat.ParserCreate(namespace_separator="}"), [], 0, 0
+
+    def begin(name: str, _) -> None:
+        nonlocal seen
+        if "{" + name == f"{_MAIN}row":
+            if seen == 0 or seen > 1 and (seen - 1) % rows_each == 0:
+                starts.append(parser.CurrentByteIndex)
+            seen += 1
+
+    def end(name: str) -> None:
+        nonlocal stop
+        if "{" + name == f"{_MAIN}sheetData":
+            stop = parser.CurrentByteIndex
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = begin, end, _refuse
+    for piece in pieces:
+        parser.Parse(piece)
+    parser.Parse(b"", True)
+    return [RowRange(starts[0], a, b) for a, b in zip(starts, [*starts[1:], stop], strict=True)]
+
 
+def _pieces(f, low: int, high: int | None = None, size: int = 1 << 20) -> Iterator[bytes]:
+    """Bytes low to high of an open part, or to its end; what comes before is inflated, not parsed."""
+    f.seek(low)
+    while (high is None or low < high) and (piece := f.read(size if high is None else min(size, high - low))):
+        low += len(piece)
+        yield piece
 
-def _cell_kind(values: list[object]) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
+
+def _kind(kinds: set[type]) -> T.DataType:
     if kinds == {bool}:
         return T.BooleanType()
     if kinds and kinds <= {int, float}:
@@ -129,38 +216,59 @@ def _cell_text(value: object) -> str | None:
     return None if value is None else str(value).lower() if isinstance(value, bool) else repr(value) if isinstance(value, float) else str(value)
 
 
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str, sheet: str | None, rows_each: int, schema: T.StructType):
+        self.path, self.sheet, self.rows_each, self.schema = path, sheet, rows_each, schema
+
+    def partitions(self) -> list[RowRange]:
+        known = _known(shared.version(self.path), self.sheet)
+        with shared.opened(self.path) as f, zipfile.ZipFile(f) as book, book.open(known.part) as part:
+            return _ranges(_pieces(part, 0), self.rows_each) or [RowRange(0, 0, 0)]
+
+    def read(self, partition: RowRange) -> Iterator[tuple]:
+        known = _known(shared.version(self.path), self.sheet)
+        width = len(self.schema)
+        casts = [(lambda v: None if v is None else float(v)) if isinstance(f.dataType, T.DoubleType) else _cell_text if isinstance(f.dataType, T.StringType) else (lambda v: v) for f in self.schema]
+        with shared.opened(self.path) as f, zipfile.ZipFile(f) as book, book.open(known.part) as part:
+            rows = map(known.row, _rows(chain(_pieces(part, 0, partition.head), _pieces(part, partition.low, partition.high))))
+            if partition.low == partition.head:
+                next(rows, None)  # the header
+            for row in rows:
+                if any(v is not None for v in row):
+                    yield tuple(cast(v) for cast, v in zip(casts, (row + [None] * width)[:width], strict=True))
+
+
 class WorkbookSource(DataSource):
-    """Format ``tallyline_xlsx``: options path, sheet. Columns of one kind keep it, mixed ones become canonical text."""
+    """Format ``tallyline_xlsx``: options path, sheet, rows_per_partition. Columns of one kind keep it, mixed ones become canonical text.
+
+    Partitions are ranges of the sheet's rows. The driver passes over the sheet for the kinds and for the ranges and keeps
+    no rows; a task inflates up to its range and parses that alone. The path must be one that executors reach.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "tallyline_xlsx"
 
-    def _load(self) -> tuple[T.StructType, list[tuple]]:
-        with open(self.options["path"], "rb") as f:
-            rows = workbook_rows(f.read(), self.options.get("sheet"))
-            names = headers.normalise_all(next(rows, []))
-            body = [(r + [None] * len(names))[: len(names)] for r in rows if any(v is not None for v in r)]
-        kinds = [_cell_kind([r[i] for r in body]) for i in range(len(names))]
-        cast = [(lambda v: None if v is None else float(v)) if isinstance(k, T.DoubleType) else _cell_text if isinstance(k, T.StringType) else (lambda v: v) for k in kinds]
-        return T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]), [tuple(f(v) for f, v in zip(cast, r, strict=True)) for r in body]
-
     def schema(self) -> T.StructType:
-        return self._load()[0]
+        path, sheet = self.options["path"], self.options.get("sheet")
+        known = _known(shared.version(path), sheet)
+        with shared.opened(path) as f, zipfile.ZipFile(f) as book, book.open(known.part) as part:
+            rows = map(known.row, _rows(_pieces(part, 0)))
+            names = headers.normalise_all(next(rows, []))
+            kinds: list[set[type]] = [set() for _ in names]
+            for row in rows:
+                for held, value in zip(kinds, row, strict=False):
+                    if value is not None:
+                        held.add(type(value))
+        return T.StructType([T.StructField(n, _kind(k)) for n, k in zip(names, kinds, strict=True)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        rows = self._load()[1]
-
-        class Reader(DataSourceReader):
-            def read(self, partition):
-                yield from rows
-
-        return Reader()
+        return WorkbookReader(self.options["path"], self.options.get("sheet"), int(self.options.get("rows_per_partition", "50000")), schema)
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, rows_per_partition: int = 50_000) -> DataFrame:
     spark.dataSource.register(WorkbookSource)
-    return spark.read.format("tallyline_xlsx").options(path=path, **({"sheet": sheet} if sheet else {})).load()
+    return spark.read.format("tallyline_xlsx").options(path=path, rows_per_partition=rows_per_partition, **({"sheet": sheet} if sheet else {})).load()
 
 
 READERS = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json, ".ndjson": read_ndjson, ".jsonl": read_ndjson, ".xlsx": read_xlsx, ".xlsm": read_xlsx}

@@ -1,13 +1,15 @@
+import datetime as dt
 import json
 import shutil
 import socket
+import zipfile
 from pathlib import Path
 
 import pytest
 
 from tallyline.operators.canonical import semantic_hash
 from tallyline.plans import annotations, crypto, pipeline, receipts
-from tallyline.sources import feeds, readers, writers
+from tallyline.sources import feed_stream, feeds, readers, shared, writers
 from tallyline.streaming import watch
 
 ROWS = [("2026-05-01", "1", "x"), ("2026-05-02", "2.50", None), ("2026-05-03", "3", 'q"u,o')]
@@ -45,6 +47,104 @@ def test_workbook_kinds(spark, tmp_path):
     assert dict(got.dtypes) == {"a": "bigint", "b": "double", "c": "boolean", "d": "string"} and got.count() == 2
 
 
+def test_workbook_ranges(spark, tmp_path):
+    rows = [(i, None if i % 3 else f"t <row> {i} é", i / 4, i % 2 == 0) for i in range(53)]
+    rows[20] = (None,) * 4  # a blank row counts for ranges and is no row of the table
+    df = spark.createDataFrame(rows, "a long, b string, c double, d boolean")
+    path = str(writers.write_xlsx(df, tmp_path / "w.xlsx"))
+    want = [r for r in rows if any(v is not None for v in r)]
+    for each in (1, 7, 52, 53, 54, 1000):
+        got = readers.read_xlsx(spark, path, rows_per_partition=each)
+        assert got.rdd.getNumPartitions() == max(1, -(-53 // each))
+        assert [tuple(r) for r in got.collect()] == want
+    assert readers.read_xlsx(spark, "file://" + path, rows_per_partition=9).count() == 52
+    empty = readers.read_xlsx(spark, str(writers.write_xlsx(df.limit(0), tmp_path / "e.xlsx")))
+    assert empty.columns == ["a", "b", "c", "d"] and empty.count() == 0
+
+
+SHEET = """<?xml version="1.0" encoding="UTF-8"?>{doctype}<x:worksheet xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><x:cols/><!-- <row> --><x:sheetData>
+<x:row r="1"><x:c r="A1" t="s"><x:v>0</x:v></x:c><x:c r="B1" t="s"><x:v>1</x:v></x:c></x:row>
+<x:row r="2"><x:c r="A2" s="1"><x:v>45000.5</x:v></x:c><x:c r="B2" t="s"><x:v>2</x:v></x:c></x:row>
+<x:row r="5"><x:c r="B5" t="inlineStr"><x:is><x:t><![CDATA[<row r="9">]]></x:t></x:is></x:c></x:row><x:row r="6"/>
+<x:row r="7"><x:c r="A7" s="1"><x:v>45001</x:v></x:c><x:c r="D7"><x:v>1</x:v></x:c></x:row></x:sheetData><x:mergeCells/></x:worksheet>"""
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16"])
+def test_workbook_of_another_writer(spark, tmp_path, encoding):
+    """Prefixed names, shared texts, dates by style, gaps, and what looks like a row in texts and comments."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def book(name, doctype=""):
+        parts = {
+            "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="q"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="q" Target="/xl/worksheets/s.xml"/></Relationships>',
+            "xl/styles.xml": f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+            "xl/sharedStrings.xml": f"<sst {main}><si><t>When</t></si><si><r><t>Wh</t></r><r><t>at</t></r></si><si><t>x</t></si></sst>",
+            "xl/worksheets/s.xml": SHEET.format(doctype=doctype).replace("UTF-8", encoding.upper()).encode(encoding),
+        }
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for part, data in parts.items():
+                z.writestr(part, data)
+        return str(tmp_path / name)
+
+    path = book("s.xlsx")
+    want = [(dt.datetime(2023, 3, 15, 12), "x"), (None, '<row r="9">'), (dt.datetime(2023, 3, 16), None)]
+    for each in (1, 2, 100):
+        got = readers.read_xlsx(spark, path, "S", each)
+        assert got.columns == ["when", "what"] and [tuple(r) for r in got.collect()] == want
+    with pytest.raises(Exception, match="no sheet named"):
+        readers.read_xlsx(spark, path, "T").count()
+    with pytest.raises(Exception, match="document types"):
+        readers.read_xlsx(spark, book("d.xlsx", '<!DOCTYPE a [<!ENTITY b "c">]>')).count()
+
+
+def test_feed_stream(spark, tmp_path):
+    served, asked, state = tmp_path / "served", tmp_path / "asked", tmp_path / "state"
+
+    class Stub(feed_stream.FeedSource):
+        @staticmethod
+        def fetch(url, etag=None, last_modified=None, **limits):
+            tag, body = served.read_bytes().split(b"|", 1)
+            with open(asked, "a") as f:
+                f.write(f"{etag} ")
+            return feeds.Fetched(None, etag, None, True) if etag == tag.decode() else feeds.Fetched(body, tag.decode())
+
+    seen, failing = [], []
+
+    def batch(df, number):
+        rows = sorted(map(tuple, df.collect()))
+        if failing:
+            raise RuntimeError(failing.pop())
+        seen.append((number, rows))
+
+    def run(body):
+        served.write_bytes(body)
+        stream = feeds.map_records(feed_stream.read_stream(spark, "stub://a", str(state), Stub), {"id": "i", "v": "v"})
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return query
+
+    first, second = b'[{"i": 1, "v": 1.50}, {"i": 2}]', b'[{"i": 3, "v": "\xc3\xa9"}]'
+    run(b"a|" + first)
+    assert seen == [(0, [("1", "1.50"), ("2", "")])]
+    run(b"a|" + first)  # not changed, by its etag
+    run(b"b|" + first)  # not changed, by its content
+    assert len(seen) == 1 and set(asked.read_text().split()) == {"None", "a"}
+    failing.append("once")
+    with pytest.raises(Exception, match="once"):
+        run(b"c|" + second)
+    run(b"d|[]")  # the failed batch is had with the body that it had; an empty feed is a batch without rows
+    run(b"d|[]")
+    assert seen[1:] == [(1, [("3", "é")]), (2, [])]
+    with pytest.raises(Exception, match="UTF-8"):
+        run(b"e|\xff")
+    run(b"f|" + first)
+    assert seen[3:] == [(3, [("1", "1.50"), ("2", "")])]
+    assert len([n for n in shared.names(str(state)) if n.endswith(".body")]) <= 2
+    with pytest.raises(Exception, match="state"):
+        spark.readStream.format("tallyline_feed").options(url="stub://a").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(60)
+
+
 def test_feeds(spark):
     raw = b'[{"t": "a", "v": 1.50, "b": true}, {"t": null, "v": 2}]'
     assert [tuple(r) for r in feeds.json_records(spark, raw, {"when": "t", "value": "v", "flag": "b"}).collect()] == [("a", "1.50", "true"), ("", "2", "")]
