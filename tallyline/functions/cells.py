@@ -223,8 +223,8 @@ def period_key(created: Column, granularity: str) -> Column:
 
 
 def short_hash(value: Column) -> Column:
-    """First four and last two characters."""
-    return F.when(F.length(value) > 8, F.concat(F.substring(value, 1, 4), F.lit("..."), F.substring(value, -2, 2))).otherwise(value)
+    """First four and last two characters of a value of 11 or more."""
+    return F.when(F.length(value) > 10, F.concat(F.substring(value, 1, 4), F.lit("..."), F.substring(value, -2, 2))).otherwise(value)
 
 
 def signed(value: Column) -> Column:

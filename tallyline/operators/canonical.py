@@ -112,13 +112,15 @@ def semantic_hash(df: DataFrame) -> str:
     return found.hexdigest()
 
 
-def semantic_hash_row(df: DataFrame) -> DataFrame:
-    """The hash as a one-row DataFrame, for tables small enough for one task (the whole document is one value)."""
-    canon = canonical_cells(df)
+def semantic_hash_row(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """The hash as a one-row DataFrame, for small tables: the whole document is one value of one task. More than ``most_rows`` rows raise an error."""
+    canon = canonical_cells(df).limit(most_rows + 1)
     key = F.struct(*[F.coalesce(F.concat(F.lit("1"), F.col(f"`{n}`").cast("string")), F.lit("0")) for n in canon.columns])
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), row_json(canon).alias("r")))), lambda x: x["r"]), ",")
     names = json.dumps(canon.columns, ensure_ascii=False, separators=(",", ":"))
-    return canon.agg(F.sha2(F.concat(F.lit(f'{{"headers":{names},"rows":['), rows, F.lit("]}")), 256).alias("semantic_hash"))
+    document = F.sha2(F.concat(F.lit(f'{{"headers":{names},"rows":['), rows, F.lit("]}")), 256)
+    small = F.count(F.lit(1)) <= most_rows
+    return canon.agg(F.when(small, document).otherwise(F.raise_error(F.lit(f"more than {most_rows} rows: use semantic_hash or a content tree"))).alias("semantic_hash"))
 
 
 def row_fingerprint(df: DataFrame) -> DataFrame:

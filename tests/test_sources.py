@@ -6,8 +6,10 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyline.operators.canonical import semantic_hash
+from tallyline.functions import cells
+from tallyline.operators.canonical import semantic_hash, semantic_hash_row
 from tallyline.plans import annotations, crypto, pipeline, receipts
 from tallyline.sources import feed_stream, feeds, readers, shared, writers
 from tallyline.streaming import watch
@@ -47,6 +49,22 @@ def test_workbook_kinds(spark, tmp_path):
     assert dict(got.dtypes) == {"a": "bigint", "b": "double", "c": "boolean", "d": "string"} and got.count() == 2
 
 
+def test_bounds_of_small_forms(spark, tmp_path, monkeypatch):
+    df = spark.range(20)
+    assert semantic_hash_row(df, 20).first()[0] == semantic_hash(df)
+    with pytest.raises(Exception, match="more than 19 rows"):
+        semantic_hash_row(df, 19).collect()
+    assert writers.csv_text(df).count("\n") == 21
+    with pytest.raises(ValueError, match="longer than 10"):
+        writers.csv_text(df, 10)
+    monkeypatch.setattr(writers, "SHEET_ROWS", 21)
+    assert readers.read_xlsx(spark, str(writers.write_xlsx(df, tmp_path / "a.xlsx"))).count() == 20
+    with pytest.raises(ValueError, match="at most 21 rows"):
+        writers.write_xlsx(spark.range(21), tmp_path / "b.xlsx")
+    shorts = spark.createDataFrame([("a" * n,) for n in (8, 10, 11, 64)], "h string").select("h", cells.short_hash(F.col("h")).alias("s")).collect()
+    assert all(r.s == receipts.short(r.h) for r in shorts)
+
+
 def test_workbook_ranges(spark, tmp_path):
     rows = [(i, None if i % 3 else f"t <row> {i} é", i / 4, i % 2 == 0) for i in range(53)]
     rows[20] = (None,) * 4  # a blank row counts for ranges and is no row of the table
