@@ -64,12 +64,12 @@ def scan(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _holds(key: pd.Series, message: pd.Series, signature: pd.Series) -> pd.Series:
-    return pd.Series([crypto.holds(*row) for row in zip(key, message, signature, strict=True)], dtype=bool)
+    return pd.Series(crypto.all_hold(zip(key, message, signature, strict=True)), dtype=bool)
 
 
 @F.pandas_udf(T.StringType())
 def _sign(seed: pd.Series, message: pd.Series) -> pd.Series:
-    return pd.Series([crypto.signature(bytes(s), m.encode()) for s, m in zip(seed, message, strict=True)], dtype=object)
+    return pd.Series(crypto.signatures((bytes(s), m.encode()) for s, m in zip(seed, message, strict=True)), dtype=object)
 
 
 def holds(key: Column, message: Column, signature: Column) -> Column:
