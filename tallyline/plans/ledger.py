@@ -82,15 +82,32 @@ def sign(seed: Column, message: Column) -> Column:
     return _sign(seed, message)
 
 
+@F.pandas_udf(T.IntegerType())
+def _first_that_holds(keys: pd.Series, message: pd.Series, signature: pd.Series) -> pd.Series:
+    """The place of the first of a row's keys under which its signature holds, null if there is none."""
+    found: list[int | None] = [None] * len(keys)
+    left, place = [n for n, s in enumerate(signature) if s is not None and keys[n] is not None], 0
+    while left := [n for n in left if place < len(keys[n])]:
+        held = crypto.all_hold((keys[n][place], message[n], signature[n]) for n in left)
+        for n, good in zip(left, held, strict=True):
+            found[n] = place if good else None
+        left, place = [n for n, good in zip(left, held, strict=True) if not good], place + 1
+    return pd.Series(found, dtype="Int32")
+
+
 def signers(receipts: DataFrame, keys: DataFrame) -> DataFrame:
     """receipts (chain, body, signature, ...) with signer: "trusted", "chain" or "none"; keys: chain, key, own (the chain's embedded one).
 
-    A chain's few keys are tried on each of its receipts. A key that is both counts as trusted.
+    A chain's few keys are tried on each of its receipts, the trusted ones first. A key that is both counts as trusted and is tried once.
     """
-    rows = receipts.withColumn("row", F.monotonically_increasing_id())
-    tried = rows.select("row", "chain", "body", "signature").join(keys.select("chain", "key", "own"), "chain")
-    found = tried.filter(holds(F.col("key"), F.col("body"), F.col("signature"))).groupBy("row").agg(F.min("own").alias("own"))
-    return rows.join(found, "row", "left").withColumn("signer", F.when(F.col("own").isNull(), "none").when(F.col("own"), "chain").otherwise("trusted")).drop("row", "own")
+    once = keys.filter("key is not null and own is not null").groupBy("chain", "key").agg(F.min("own").alias("own"))
+    held = once.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("own", "key"))).alias("held"))
+    of = held.select("chain", F.col("held.key").alias("keys of chain"), F.size(F.filter("held", lambda x: ~x["own"])).alias("trusted of chain"))
+    tried = receipts.join(of, "chain", "left")
+    place = _first_that_holds(F.col("keys of chain"), F.col("body").cast("string"), F.col("signature").cast("string"))
+    found = tried.withColumn("place of key", place)
+    signer = F.when(F.col("place of key").isNull(), "none").when(F.col("place of key") < F.col("trusted of chain"), "trusted").otherwise("chain")
+    return found.select(*[F.col(f"`{c}`") for c in receipts.columns], signer.alias("signer"))
 
 
 def key_caveats(signed: DataFrame) -> DataFrame:

@@ -316,6 +316,28 @@ def test_signers_of_many_chains(spark):
     assert [r.signer for r in got.orderBy("chain", "position").collect()] == ["trusted", "chain", "none", "trusted", "none", "trusted", "none", "none"]
 
 
+def test_signers_take_each_receipt_once(spark):
+    from tallyline.plans import ledger
+
+    counted = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        counted.add(1)
+        return x
+
+    seeds = {n: bytes([k]) * 32 for k, n in enumerate("abc")}
+    keys = [("x", crypto.public_of(seeds["a"]), False), ("x", crypto.public_of(seeds["a"]), True), ("x", crypto.public_of(seeds["b"]), True), ("x", "zz", False), ("x", None, True), (None, crypto.public_of(seeds["a"]), True)]
+    rows = [("x" if k % 5 else None, k, f"{k}", crypto.signature(seeds["abc"[k % 3]], b"%d" % k) if k % 7 else None) for k in range(60)]
+    rows.append(("none", 60, "60", rows[1][3]))
+    receipts_ = spark.createDataFrame(rows, "chain string, position int, body string, signature string").repartition(5)
+    seen = receipts_.withColumn("signature", F.udf(tick, "string").asNondeterministic()("signature"))
+    got = ledger.signers(seen, spark.createDataFrame(keys, "chain string, key string, own boolean"))
+    assert got.columns == ["chain", "position", "body", "signature", "signer"]
+    want = [["trusted", "chain", "none"][k % 3] if k % 7 and k % 5 else "none" for k in range(60)] + ["none"]
+    assert [r.signer for r in sorted(got.collect(), key=lambda r: r.position)] == want
+    assert counted.value == 61
+
+
 def test_a_step_is_computed_once(spark, chain, seed):
     folder, out = chain
     counted = spark.sparkContext.accumulator(0)
