@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
@@ -80,36 +81,70 @@ def _pack(limit: int):
     return run
 
 
-def document_parts(df: DataFrame, cell_bytes: int = 16_000_000) -> Iterator[bytes]:
-    """The canonical document's bytes in order. Rows are sorted and packed by all tasks at once and kept on executors' disks; the driver holds one partition's cells."""
+#: Rows are sorted and packed to cells of about so many bytes.
+CELL_BYTES = 1_000_000
+
+
+@contextlib.contextmanager
+def _cells(df: DataFrame, cell_bytes: int) -> Iterator[tuple[bytes, DataFrame]]:
+    """The canonical document's head, and its rows as cells (range, place, part), by which they are in order; all tasks sort and pack."""
     canon = canonical_cells(df)
     names = json.dumps(canon.columns, ensure_ascii=False, separators=(",", ":")).encode()
-    yield b'{"headers":' + names + b',"rows":['
-    cells_ = [f"c{i}" for i in range(len(canon.columns))]
+    at = [f"c{i}" for i in range(len(canon.columns))]
     # Written once: a sort by ranges reads its input twice, to sample it and to sort it.
-    made = written(canon.toDF(*cells_).withColumn("row", row_json(canon, kinds(headers.merge(df)), lambda n: F.col(cells_[canon.columns.index(n)]))), "canonical-rows")
-    order = [F.col(c).asc_nulls_first() for c in cells_]
-    # With their number given, partitions stay as many, so that a sorted one is never more than its share.
-    sorted_ = made.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order) if order else made
-    packed = sorted_.select("row").mapInArrow(_pack(cell_bytes), "part binary").persist(StorageLevel.DISK_ONLY)
+    made = written(canon.toDF(*at).withColumn("row", row_json(canon, kinds(headers.merge(df)), lambda n: F.col(at[canon.columns.index(n)]))), "canonical-rows")
     try:
-        packed.count()
-        first = True
-        for row in packed.toLocalIterator(prefetchPartitions=True):
-            yield (b"" if first else b",") + bytes(row[0])
-            first = False
+        order = [F.col(c).asc_nulls_first() for c in at]
+        # With their number given, partitions stay as many, so that a sorted one is never more than its share.
+        sorted_ = made.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order) if order else made
+        packed = sorted_.select("row").mapInArrow(_pack(cell_bytes), "part binary")
+        number = F.monotonically_increasing_id()  # partition and place in it
+        yield b'{"headers":' + names + b',"rows":[', packed.select(F.shiftright(number, 33).cast("int").alias("range"), number.bitwiseAND((1 << 33) - 1).alias("place"), "part")
     finally:
-        packed.unpersist()
         discard(made)
-    yield b"]}"
+
+
+def document_parts(df: DataFrame, cell_bytes: int = 16_000_000) -> Iterator[bytes]:
+    """The canonical document's bytes in order, for files that the driver writes. Cells are kept on executors' disks; the driver holds one partition's."""
+    with _cells(df, cell_bytes) as (head, found):
+        yield head
+        packed = found.select("part").persist(StorageLevel.DISK_ONLY)
+        try:
+            packed.count()
+            first = True
+            for row in packed.toLocalIterator(prefetchPartitions=True):
+                yield (b"" if first else b",") + bytes(row[0])
+                first = False
+        finally:
+            packed.unpersist()
+        yield b"]}"
+
+
+def _digest(head: bytes):
+    """SHA-256 of a document's head, its parts as they come, and its end, in hexadecimal."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, between = hashlib.sha256(head), b""
+        for batch in batches:
+            for part in batch.column(batch.schema.get_field_index("part")):
+                found.update(between)
+                found.update(part.as_buffer())
+                between = b","
+        if between:
+            found.update(b"]}")
+            yield pa.RecordBatch.from_arrays([pa.array([found.hexdigest()])], names=["digest"])
+
+    return run
 
 
 def semantic_hash(df: DataFrame) -> str:
-    """SHA-256 of the canonical document: equal for equal tables in any format and row order."""
-    found = hashlib.sha256()
-    for part in document_parts(df):
-        found.update(part)
-    return found.hexdigest()
+    """SHA-256 of the canonical document: equal for equal tables in any format and row order.
+
+    SHA-256 takes its bytes one after another. A task takes the sorted cells, as a stream that it doesn't hold, and the driver gets the digest alone.
+    """
+    with _cells(df, CELL_BYTES) as (head, found):
+        row = found.repartition(1).sortWithinPartitions("range", "place").mapInArrow(_digest(head), "digest string").first()
+    return row[0] if row else hashlib.sha256(head + b"]}").hexdigest()
 
 
 def semantic_hash_row(df: DataFrame, most_rows: int = 100_000) -> DataFrame:

@@ -79,6 +79,19 @@ def test_hash_ignores_order_partitions_and_spelling(spark):
     assert canonical.semantic_hash(df.limit(0)) == hashlib.sha256(b'{"headers":["k","v","w"],"rows":[]}').hexdigest()
 
 
+def test_the_hash_is_made_by_tasks(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("cast(id * 7919 % 3001 as string) as k", "if(id % 5 = 0, null, repeat('é', cast(id % 40 as int))) as v").repartition(6)
+    want = hashlib.sha256(document(df).encode()).hexdigest()
+    monkeypatch.setattr(canonical, "CELL_BYTES", 300)
+
+    def through_the_driver(*_, **__):
+        raise AssertionError("the document went through the driver")
+
+    monkeypatch.setattr(type(df), "toLocalIterator", through_the_driver)
+    assert canonical.semantic_hash(df) == want
+    assert canonical.semantic_hash(df.limit(0)) == hashlib.sha256(b'{"headers":["k","v"],"rows":[]}').hexdigest()
+
+
 def test_row_fingerprint_counts_repeated_rows(spark):
     df = spark.createDataFrame([(1,), (2,)], "k long")
     once, twice = (canonical.row_fingerprint(x).first() for x in (df, df.unionAll(df)))
