@@ -19,11 +19,15 @@ from pyspark.sql import types as T
 DEC = "decimal(38,18)"
 #: White space in the sense of Python's str.strip(), as a regular expression class.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: ISO shapes that count as days, and thousands-grouped numbers. Fixed patterns.
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 GROUPED = r"^[+-]?[0-9]{1,3}([,   ][0-9]{3})+(\.[0-9]+)?$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Numbers of which the form alone says that DECIMAL(38,18) holds them, so that most cells meet one pattern.
+PLAIN = r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{0,18})?|\.[0-9]{1,18}|[0-9]{1,10}(?:\.[0-9]{0,9})?[eE][+-]?[0-9])$"
 #: What Python reads as a decimal beyond that: other scripts' digits, underscores between digits.
 WIDE_NUMBER = r"^[+-]?[\p{Nd}_]*\.?[\p{Nd}_]*([eE][+-]?[\p{Nd}_]+)?$"
 _EXACT = Context(prec=28, rounding=ROUND_HALF_EVEN)
@@ -34,9 +38,9 @@ def _visible(code: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """The text without outer white space; what begins and ends with visible ASCII skips the pattern."""
+    """The text without outer white space; what begins and ends with visible ASCII is it already."""
     bare = _visible(F.ascii(text)) & _visible(F.ascii(F.substring(text, -1, 1)))
-    return F.when(bare, text).otherwise(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.when(bare, text).otherwise(F.trim(text, F.lit(SPACES)))
 
 
 def may_be_number(stripped: Column) -> Column:
@@ -105,16 +109,19 @@ def needs_python(text: Column, stripped: bool = False) -> Column:
     t = text if stripped else strip(text)
     # Nested conditions: what stands behind an "and" may be computed for every cell.
     narrow = F.when(t.rlike(NUMBER), _fits(t)).otherwise(False)
-    return F.when(may_be_number(t), F.when(t.rlike(WIDE_NUMBER), t.rlike(r"\p{Nd}") & ~narrow).otherwise(False)).otherwise(False)
+    wide = F.when(t.rlike(WIDE_NUMBER), t.rlike(r"\p{Nd}") & ~narrow).otherwise(False)
+    return F.when(may_be_number(t), F.when(t.rlike(PLAIN), False).otherwise(wide)).otherwise(False)
 
 
 def needs_nfc(text: Column) -> Column:
-    return text.rlike(r"[^\x00-\x7f]")
+    """Whether a text isn't ASCII alone."""
+    return (F.octet_length(text) > F.char_length(text)) | ~F.is_valid_utf8(text)
 
 
 def text_number(stripped: Column, slow: bool = False) -> Column:
     """The number that a stripped text reads as, or null."""
-    fast = F.when(may_be_number(stripped), F.when(stripped.rlike(NUMBER), F.when(_fits(stripped), stripped.try_cast(DEC))))
+    held = F.when(stripped.rlike(PLAIN), True).otherwise(F.when(stripped.rlike(NUMBER), _fits(stripped)).otherwise(False))
+    fast = F.when(may_be_number(stripped), F.when(held, stripped.try_cast(DEC)))
     return F.coalesce(fast, _slow_number(F.when(needs_python(stripped, True), stripped))["number"]) if slow else fast
 
 
@@ -146,6 +153,11 @@ def plain_text(number_: Column) -> Column:
     return F.rtrim(F.rtrim(F.bround(number_, 6).cast("decimal(38,6)").cast("string"), F.lit("0")), F.lit("."))
 
 
+def canonical_text(stripped: Column) -> Column:
+    """The canonical text of a stripped text that needs no Python path."""
+    return F.coalesce(plain_text(text_number(stripped)), stripped)
+
+
 def canonical(value: Column, kind: T.DataType, slow: bool = False, nfc: bool = False) -> Column:
     """The cell's canonical text; booleans as true and false; null for null.
 

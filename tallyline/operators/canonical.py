@@ -25,8 +25,10 @@ def python_paths(df: DataFrame) -> tuple[set[str], set[str]]:
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return set(), set()
-    flags = [F.bool_or(check(F.col(f"`{c}`"))).alias(f"{n}{i}") for i, c in enumerate(text) for n, check in (("s", cells.needs_python), ("n", cells.needs_nfc))]
-    row = df.agg(*flags).first()
+    # Each cell is stripped once; one that is ASCII within white space needs no NFC.
+    bare = df.select(*[cells.strip(F.col(f"`{c}`")).alias(f"t{i}") for i, c in enumerate(text)])
+    flags = [x for i in range(len(text)) for x in (F.bool_or(cells.needs_python(F.col(f"t{i}"), True)).alias(f"s{i}"), F.bool_or(cells.needs_nfc(F.col(f"t{i}"))).alias(f"n{i}"))]
+    row = bare.agg(*flags).first()
     return {c for i, c in enumerate(text) if row[f"s{i}"]}, {c for i, c in enumerate(text) if row[f"n{i}"]}
 
 
@@ -38,16 +40,25 @@ def canonical_cells(df: DataFrame) -> DataFrame:
     """The table with normalised names in code-point order, every cell in canonical text (booleans stay booleans)."""
     pin(df.sparkSession)
     df = headers.merge(df)
-    return df.select(*canonical_columns(df))
+    slow, nfc = python_paths(df)
+    # A projection strips text, the next one reads it, so that a cell is stripped once.
+    bare = {n for n, kind in kinds(df).items() if isinstance(kind, T.StringType)} - slow - nfc
+    first = df.select(*[(cells.strip(F.col(f"`{n}`")) if n in bare else F.col(f"`{n}`")).alias(n) for n in df.columns])
+    return first.select(*_columns(first, slow, nfc, bare))
 
 
 def canonical_columns(df: DataFrame) -> list[Column]:
     """The columns of canonical_cells() over a table with normalised names."""
-    slow, nfc = python_paths(df)
+    return _columns(df, *python_paths(df), set())
+
+
+def _columns(df: DataFrame, slow: set[str], nfc: set[str], bare: set[str]) -> list[Column]:
+    """bare: text columns that are stripped already and need no Python path."""
     out = []
     for name, kind in sorted(kinds(df).items()):
         col = F.col(f"`{name}`")
-        out.append((col if isinstance(kind, T.BooleanType) else cells.canonical(col, kind, name in slow, name in nfc)).alias(name))
+        cell = cells.canonical_text(col) if name in bare else col if isinstance(kind, T.BooleanType) else cells.canonical(col, kind, name in slow, name in nfc)
+        out.append(cell.alias(name))
     return out
 
 

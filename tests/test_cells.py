@@ -44,6 +44,24 @@ def test_text_cells(spark):
     assert document(spark.createDataFrame(rows, "t string")) == reference_document(rows, ["t"])
 
 
+def test_number_forms_at_their_bounds_in_one_pass_over_stripped_text(spark):
+    rng = random.Random(11)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert list(cells.SPACES) == spaces
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"{s}{digits(w)}{p}{digits(f) if p else ''}{e}" for s in ("", "+", "-") for w in (0, 1, 9, 10, 11, 19, 20) for p in ("", ".") for f in (0, 1, 9, 10, 18) for e in ("", "e9", "E-9", "e+0", "e10", "e-18", "e")]
+    texts = [t for t in texts if (d := cells.python_decimal(t)) is None or abs(d) < 10**20 and (d == 0 or d.as_tuple().exponent >= -18)]
+    rows = [("".join(rng.choices(spaces, k=rng.randrange(3))) + t + "".join(rng.choices(spaces, k=rng.randrange(3))), f" n{k % 7}") for k, t in enumerate([*texts, "", "a b"])]
+    df = spark.createDataFrame(rows, "t string, u string")
+    assert document(df) == reference_document(rows, ["t", "u"])
+    assert [r[0] for r in df.select(cells.needs_nfc(df["t"])).collect()] == [not r[0].isascii() for r in rows]
+    # Where no cell needs Python, each column is trimmed in one place, a projection below the one that reads it, and by no pattern.
+    forms = spark.createDataFrame([(" 10e-1", " n1"), ("+1.", None)], "t string, u string")
+    assert [tuple(r) for r in canonical.canonical_cells(forms).collect()] == [("1", "n1"), ("1", None)]
+    plan = canonical.canonical_cells(forms)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and plan.count("else trim(") == plan.count("project [") == 2
+
+
 def test_number_beyond_22_digits_is_an_error(spark):
     with pytest.raises(Exception, match="22 integer digits"):
         document(spark.createDataFrame([("12345678901234567890123",)], "t string"))
